@@ -27,8 +27,17 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(column(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+WHITE = " \t\n\r\f\x0b"
+
+
 def strip(text: str | Column) -> Column:
-    return F.regexp_replace(column(text), r"^\s+|\s+$", "")
+    """Trim any white space, not only blanks."""
+    return F.btrim(column(text), F.lit(WHITE))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, for expressions that refer to it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def squeeze(text: str | Column) -> Column:
@@ -57,12 +66,8 @@ def loose_title(text: str | Column) -> Column:
 
 
 def grams(text: str | Column, n: int) -> Column:
-    """Distinct character n-grams; empty for shorter texts."""
-    text = column(text)
-    return F.when(
-        F.length(text) >= n,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams, read off in one pass by a look-ahead; empty for shorter texts."""
+    return F.array_distinct(F.regexp_extract_all(column(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def count_of(text: str | Column, needle: str) -> Column:

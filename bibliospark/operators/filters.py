@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibliospark.functions.text import strip
+
 # The kinds of a knowledge term.
 VALID_KINDS = ["definition", "theorem", "lemma", "proposition", "corollary", "example", "exercise", "axiom", "notation"]
 
@@ -28,11 +30,6 @@ def contains_ci(column: str | Column, needle: str) -> Column:
     return F.contains(F.lower(column), F.lit(needle.lower()))
 
 
-def strip(column: str | Column) -> Column:
-    """Trim any white space, not only blanks."""
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
-
-
 def browse_catalog(books: DataFrame, author=None, msc=None, year=None, keyword=None, limit: int = 100) -> DataFrame:
     """Metadata filters over (title, author, year, msc_class, summary, tags, id), newest first."""
     if author:

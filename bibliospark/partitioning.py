@@ -9,6 +9,7 @@ and a running count over a global order goes through bucket totals.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], k: int, *order: Column | str
 
 def with_key_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Group size on every row, as a counted aggregate joined back (the join side that is skewed stays splittable)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    condition = [df[k].eqNullSafe(counts[k]) for k in keys]
-    for other in condition[1:]:
-        condition[0] = condition[0] & other
-    return df.join(counts, condition[0]).select(*[df[c] for c in df.columns], counts[name])
+    counts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(counts, same).select(*df.columns, name)
 
 
 def halo_buckets(df: DataFrame, position: str, before: int, after: int, width: int = 256) -> DataFrame:

@@ -3,3 +3,6 @@
 from bibliospark.plans.registry import ORACLES, QUERIES  # noqa: F401
 from bibliospark.plans import filters  # noqa: F401,E402
 from bibliospark.plans import joins  # noqa: F401,E402
+from bibliospark.plans import aggregate  # noqa: F401,E402
+from bibliospark.plans import sources  # noqa: F401,E402
+from bibliospark.plans import retrieval  # noqa: F401,E402
