@@ -104,3 +104,18 @@ def rows_before(df: DataFrame, position: str, bucket: Column, name: str) -> Data
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
         .select(position, name)
     )
+
+
+def rank_in_key(df: DataFrame, keys: Sequence[str], position: str, name: str, width: int = 4096) -> DataFrame:
+    """Zero-based rank of the distinct integer positions of a key, plus ``<name>_of``, the size of the key.
+
+    Buckets of ``width`` positions are ranked on their own and shifted by the rows in earlier buckets of the key.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(position) / width).cast("long"))
+    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(
+        *keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias(f"{name}_of"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(position)) - 1
+    return rows.withColumn("_r", inside).join(shift, [*keys, "_b"]).withColumn(name, F.col("_shift") + F.col("_r")).drop("_b", "_r", "_shift")

@@ -6,3 +6,4 @@ from bibliospark.plans import joins  # noqa: F401,E402
 from bibliospark.plans import aggregate  # noqa: F401,E402
 from bibliospark.plans import sources  # noqa: F401,E402
 from bibliospark.plans import retrieval  # noqa: F401,E402
+from bibliospark.plans import pages  # noqa: F401,E402

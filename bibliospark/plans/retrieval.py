@@ -6,7 +6,7 @@ from bibliospark.functions import text as tx
 from bibliospark.operators import anchoring, retrieval as op, vectors
 from bibliospark.plans import fixtures as fx
 from bibliospark.plans.registry import query
-from bibliospark.plans.sources import POSTINGS_SQL, TOKENS, latex_terms, search_docs
+from bibliospark.plans.sources import HARVEST_SQL, TOKENS, latex_terms, search_docs
 from bibliospark.sources import index
 
 DIM = 64
@@ -119,8 +119,7 @@ def search_filters(t):
 @query("index_lookup")
 def index_lookup(t):
     pair = F.regexp_extract("text", r"^\p{L}+[^\p{L}]+(\p{L}+ \p{L}+)", 1)
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), pair.alias("query")).unionByName(
-        t.documents.select((F.col("doc_id") + 1000000).alias("query_id"), pair.alias("query"))).filter("query <> ''")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), pair.alias("query")).filter("query <> ''")
     docs = search_docs(t)
     hits = op.bm25_search(index.postings(docs, ["title"]), index.corpus_stats(docs, ["title"]), asked, {"title": 4.0}, 1000)
     texts = docs.select("doc_id", F.regexp_replace("text", r"[.,]", ", 12, 14-16, 20 ").alias("index_text"))
@@ -226,11 +225,12 @@ FORMULA_QUERY = "src3 + ?a"
 
 @query("rrf_term_search", f"""WITH {bm25_sql(TERM_FIELDS.replace("@docs", "(SELECT * FROM documents WHERE lang <> 'de')"), TERM_BOOSTS)},
 {knn_sql(250, ASKED, "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'de'))")},
+{HARVEST_SQL},
 ch AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS concept_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM {ASKED} a, {CONCEPTS} b) WHERE rank <= 3),
 tx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scores QUALIFY r <= 250),
 fu AS (SELECT query_id, doc_id, tx.r AS r1, h.rank AS r2 FROM tx FULL JOIN (SELECT query_id, id AS doc_id, rank FROM hits) h USING (query_id, doc_id)),
 sc AS (SELECT fu.query_id, fu.doc_id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) + CASE WHEN ch.concept_id IS NULL THEN 0 ELSE 0.15 END
-    + CASE WHEN d.source = 'src3' THEN 0.2 ELSE 0 END, 6) AS score
+    + CASE WHEN fu.doc_id IN (SELECT id FROM u WHERE regexp_matches(fs[idx + 1], 's\\s*r\\s*c\\s*3\\s*\\+\\s*\\S')) THEN 0.2 ELSE 0 END, 6) AS score
   FROM fu LEFT JOIN embeddings e ON e.vec_id = fu.doc_id LEFT JOIN ch ON ch.query_id = fu.query_id AND ch.concept_id = e.label LEFT JOIN documents d ON d.doc_id = fu.doc_id)
 SELECT query_id, s.doc_id, score, {fx.TITLE_SQL} AS name, lang AS kind, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.doc_id) AS position
 FROM sc s JOIN documents d ON d.doc_id = s.doc_id QUALIFY position <= 100""")

@@ -119,12 +119,13 @@ def latex_terms(t):
         s("n_chars").cast("string"), F.lit("\\end{align} \\begin{equation}\\end{equation}")).alias("latex"))
 
 
-@query("formula_harvest", rf"""
-WITH d AS (SELECT doc_id AS id, {LATEX_SQL} AS latex FROM documents),
+HARVEST_SQL = rf"""d AS (SELECT doc_id AS id, {LATEX_SQL} AS latex FROM documents),
 f AS (SELECT id, list_concat(list_concat(list_concat(regexp_extract_all(latex, '\\\[(.*?)\\\]', 1, 's'), regexp_extract_all(latex, '\$\$(.*?)\$\$', 1, 's')),
   regexp_extract_all(latex, '\\begin\{{equation\}}(.*?)\\end\{{equation\}}', 1, 's')), regexp_extract_all(latex, '\\begin\{{align\}}(.*?)\\end\{{align\}}', 1, 's')) AS fs FROM d),
-u AS (SELECT id, unnest(range(len(fs))) AS idx, fs FROM f)
-SELECT id, idx, trim(fs[idx + 1]) AS formula FROM u WHERE trim(fs[idx + 1]) <> ''""")
+u AS (SELECT id, unnest(range(len(fs))) AS idx, fs FROM f)"""
+
+
+@query("formula_harvest", f"WITH {HARVEST_SQL} SELECT id, idx, trim(fs[idx + 1], ' ' || chr(10)) AS formula FROM u WHERE trim(fs[idx + 1], ' ' || chr(10)) <> ''")
 def formula_harvest(t):
     return index.formula_harvest(latex_terms(t))
 
