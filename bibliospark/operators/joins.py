@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bibliospark.functions import text as tx
 from bibliospark.functions.similarity import partial_ratio
 from bibliospark.operators.blocking import containment_join, rare_key_pairs
-from bibliospark.partitioning import first_per_key, top_per_key
+from bibliospark.partitioning import first_per_key, spread, top_per_key
 
 # Words that mark a German title.
 GERMAN_TITLE_WORDS = ["und", "der", "die", "das", "für", "lehrbuch", "grundzüge", "einführung", "vorlesungen"]
@@ -232,7 +232,8 @@ def registry_link(books: DataFrame, registry: DataFrame) -> DataFrame:
     every_word = F.size(F.array_except(words, have)) == 0
     three_words = F.size(F.array_except(first_words, have)) == 0
     stage = F.when(confirmed & phrase, 1).when(confirmed & every_word, 2).when(confirmed & three_words, 3).when(phrase, 4)
-    scored = rows.withColumn("stage", stage).filter("stage IS NOT NULL").withColumn(
+    staged = rows.withColumn("stage", stage).filter("stage IS NOT NULL")
+    scored = spread(staged, "needle_id", "text_id").withColumn(
         "score", partial_ratio(F.col("_title"), F.col("text")) + F.when(confirmed, 5.0).otherwise(0.0))
     accepted = scored.filter((F.col("score") > 85) | (has_author & (F.col("score") > 65)))
     return first_per_key(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bibliospark.functions import text as tx
 from bibliospark.functions.passages import marker_position, recovery_position
 from bibliospark.operators.blocking import containment_join
-from bibliospark.partitioning import halo_buckets, rank_in_key, runs, top_per_key
+from bibliospark.partitioning import halo_buckets, rank_in_key, runs, spread, top_per_key
 
 # Words that mark contents pages and bibliographies.
 TOC_MARKERS = ["contents", "inhaltsverzeichnis", "inhalt", "table des matières"]
@@ -172,7 +172,7 @@ def locate_passage(pairs: DataFrame) -> DataFrame:
     same, folded = F.instr(F.col("content"), F.col("marker")), F.instr(F.lower("content"), F.lower("marker"))
     staged = pairs.filter("marker <> ''").withColumn("_at", F.when(same > 0, same).when(folded > 0, folded)).withColumn("stage", F.when(same > 0, "exact").when(folded > 0, "lower"))
     found = staged.filter("stage IS NOT NULL").select("id", (F.col("_at") - 1).alias("position"), "stage")
-    rest = staged.filter("stage IS NULL").select("id", marker_position("content", "marker").alias("position"), F.lit("fuzzy").alias("stage"))
+    rest = spread(staged.filter("stage IS NULL").select("id", "content", "marker"), "id").select("id", marker_position("content", "marker").alias("position"), F.lit("fuzzy").alias("stage"))
     return found.unionByName(rest.filter("position >= 0"))
 
 
@@ -219,7 +219,7 @@ def recover_placeholders(terms: DataFrame, pages: DataFrame, fuzzy: bool = True,
     rows = near.withColumn("_at", at)
     hits = rows.filter("_at >= 0")
     if fuzzy:
-        hits = hits.unionByName(rows.filter("_at < 0").withColumn("_at", recovery_position("content", "marker")).filter("_at >= 0"))
+        hits = hits.unionByName(spread(rows.filter("_at < 0"), "id", "page").withColumn("_at", recovery_position("content", "marker")).filter("_at >= 0"))
     body = F.expr("substring(content, _at + 1)")
     return hits.groupBy("id").agg(F.min_by(F.struct("page", body.alias("body")), "page").alias("_h")).select("id", "_h.*")
 

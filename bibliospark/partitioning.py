@@ -20,6 +20,11 @@ def descending(column: str | Column) -> Column:
     return -(F.col(column) if isinstance(column, str) else column)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions ahead of a Python step whose cost is per row, not per byte."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
     """One row per key: the row with the smallest ``order`` values. Partial aggregation, no group sort."""
     rest = [c for c in df.columns if c not in keys]
