@@ -8,3 +8,4 @@ from bibliospark.plans import sources  # noqa: F401,E402
 from bibliospark.plans import retrieval  # noqa: F401,E402
 from bibliospark.plans import pages  # noqa: F401,E402
 from bibliospark.plans import quality  # noqa: F401,E402
+from bibliospark.plans import resolve  # noqa: F401,E402
