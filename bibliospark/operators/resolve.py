@@ -169,7 +169,7 @@ def term_insert_filter(terms: DataFrame, existing: DataFrame) -> DataFrame:
     fresh = fresh.join(firsts, "id", "left_semi")
     head = F.substring("latex", 1, 200)
     left = fresh.filter(F.length("latex") > 50).select("id", head.alias("text"), "book_id", F.col("page").cast("long").alias("page"))
-    right = existing.filter("latex <> ''").select("id", head.alias("text"), "book_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).cast("long").alias("page"))
+    right = existing.filter("latex <> ''").select("id", head.alias("text"), "book_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"))
     alike = matching_pairs(left, right, ["book_id", "page"], "indel", 85.0).select(F.col("left_id").alias("id"))
     return fresh.join(alike, "id", "left_anti").drop("_name")
 

@@ -186,11 +186,11 @@ def concept_merge(t):
 
 
 @query("ingest_concepts", r"""
-WITH r AS (SELECT page_id AS id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS name, split_part(url, '/', 4) AS subject_area, regexp_replace(trim(concat('Ref[12] ', regexp_extract(html, '<p>([^<]*)', 1), '[3]')), '\[\d+\]', '', 'g') AS summary FROM pages),
+WITH r AS (SELECT page_id AS id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS name, split_part(url, '/', 4) AS subject_area, regexp_replace(trim(concat('Ref[12] ', regexp_extract(html, '<p>([^<]+)', 1), '[3]')), '\[\d+\]', '', 'g') AS summary FROM pages),
 e AS (SELECT DISTINCT name, subject_area FROM r WHERE length(summary) % 5 = 0)
 SELECT min(id) AS id, name, subject_area, arg_min(summary, id) AS summary FROM r WHERE length(name) > 1 AND length(summary) > 5 AND NOT EXISTS (SELECT 1 FROM e WHERE e.name = r.name AND e.subject_area = r.subject_area) GROUP BY name, subject_area""")
 def ingest_concepts(t):
     rows = t.pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"), F.split_part("url", F.lit("/"), F.lit(4)).alias("subject_area"),
-                          F.concat(F.lit("Ref[12] "), F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("[3]")).alias("summary"))
+                          F.concat(F.lit("Ref[12] "), F.regexp_extract("html", "<p>([^<]+)", 1), F.lit("[3]")).alias("summary"))
     shown = rows.select(F.trim("name").alias("name"), "subject_area", F.regexp_replace(F.trim("summary"), r"\[\d+\]", "").alias("s")).filter(F.length("s") % 5 == 0)
     return op.ingest_concepts(rows, shown.select("name", "subject_area").distinct())
