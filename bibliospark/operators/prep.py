@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bibliospark.functions import text as tx
 from bibliospark.functions.latex import environment_dropper
 from bibliospark.functions.markup import text_of_html
-from bibliospark.partitioning import with_key_count
+from bibliospark.partitioning import top_per_key, with_key_count
 
 # Display environments masked before embedding.
 DISPLAY_ENVS = ["equation", "equation*", "align", "align*", "aligned", "gather", "gather*"]
@@ -58,13 +58,11 @@ def embedding_text_concepts(concepts: DataFrame, style: str = "sentence") -> Dat
     return concepts.select("id", text.alias("text"))
 
 
-def embedding_text_books(books: DataFrame, chapters: DataFrame, max_chapters: int = 50, index_chars: int = 1000, max_chars: int = 30000) -> DataFrame:
+def embedding_text_books(books: DataFrame, chapters: DataFrame, max_chapters: int = 50, index_chars: int = 1000, max_chars: int = 9500) -> DataFrame:
     """(id, text): labelled fields that are set, the first chapters in page order, the head of the index.
 
     Only the chapters that can appear are collected: the top of each book by page.
     """
-    from bibliospark.partitioning import top_per_key
-
     first = top_per_key(chapters.filter("title <> ''"), ["book_id"], max_chapters, "page", "id")
     listed = first.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("_c"))
 

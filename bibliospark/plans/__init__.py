@@ -10,3 +10,4 @@ from bibliospark.plans import pages  # noqa: F401,E402
 from bibliospark.plans import quality  # noqa: F401,E402
 from bibliospark.plans import resolve  # noqa: F401,E402
 from bibliospark.plans import prep  # noqa: F401,E402
+from bibliospark.plans import streams  # noqa: F401,E402

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +29,22 @@ def build_session(app: str = "bibliospark", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, else the caller's fallback."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir``. A fresh local one stands in when Spark runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for one run below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
