@@ -43,6 +43,9 @@ ENGLISH_WORDS = ["and", "the", "for", "introduction", "textbook", "lectures", "v
 SUBJECT_WORDS = ["analysis", "algebra", "mathematik", "geometrie", "stochastik", "physik"]
 
 
+DIGITS = "0123456789"
+
+
 def any_in(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
@@ -54,7 +57,7 @@ def page_class(content: str | Column) -> Column:
         back = reduce(lambda a, b: a | b, [head.startswith(m) | F.contains(head, F.lit("\n" + m)) for m in BACK_MARKERS])
         size = F.greatest(F.length(text), F.lit(1))
         dots = tx.count_of(text, ".") / size
-        digits = (F.length(text) - F.length(F.regexp_replace(text, r"[0-9]", ""))) / size
+        digits = (F.length(text) - F.length(F.translate(text, DIGITS, ""))) / size
         return F.when((F.length(text) < 100) | any_in(head, FRONT_MARKERS) | back | ((dots > 0.1) & (digits > 0.1)), "skip").otherwise("content")
 
     return tx.let(tx.strip(F.coalesce(tx.column(content), F.lit(""))), judge)
@@ -77,8 +80,9 @@ def lint_counts(latex: str | Column) -> tuple[Column, list[Column]]:
     """Environment-count error and the remaining count-based errors, null where fine. All native."""
     latex = tx.column(latex)
     begins, ends = F.regexp_count(latex, F.lit(r"\\begin\{[^}]+\}")), F.regexp_count(latex, F.lit(r"\\end\{[^}]+\}"))
-    bare = F.regexp_replace(F.replace(latex, F.lit("\\\\"), F.lit("")), r"\\[{]", "")
-    bare = F.regexp_replace(bare, r"\\[}]", "")
+    bare = latex
+    for escaped in ("\\\\", r"\{", r"\}"):
+        bare = F.replace(bare, F.lit(escaped), F.lit(""))
     opening, closing = tx.count_of(bare, "{"), tx.count_of(bare, "}")
     dollars = tx.count_of(F.replace(F.replace(latex, F.lit(r"\$"), F.lit("")), F.lit("$$"), F.lit("")), "$")
     loose = F.regexp_count(latex, F.lit(r"(?<!\\)&"))
@@ -202,13 +206,17 @@ def index_metrics(text: str | Column) -> Column:
     text = F.coalesce(tx.column(text), F.lit(""))
 
     def measure(lines: Column) -> Column:
-        dense = F.regexp_replace(text, r"\s+", "")
-        digits = F.length(dense) - F.length(F.regexp_replace(dense, "[0-9]", ""))
-        piped = F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|")) & x.rlike(r"[\d,\s-]+$")))
-        listed = F.size(F.filter(lines, lambda x: (F.contains(x, F.lit("|")) & x.rlike(r"[\d,\s-]+$")) | x.rlike(r",\s*[\divxIVX]+(?:[-–][\divxIVX]+)?$")))
+        solid = F.length(F.translate(text, tx.WHITE, ""))
+        digits = F.length(text) - F.length(F.translate(text, DIGITS, ""))
+
+        def is_piped(line: Column) -> Column:
+            return F.contains(line, F.lit("|")) & line.rlike(r"[\d,\s-]$")
+
+        piped = F.size(F.filter(lines, is_piped))
+        listed = F.size(F.filter(lines, lambda x: is_piped(x) | x.rlike(r",\s*[\divxIVX]+(?:[-–][\divxIVX]+)?$")))
         count = F.size(lines)
         return F.struct(
-            F.length(text).alias("chars"), count.alias("lines"), F.try_divide(digits, F.length(dense)).alias("density"),
+            F.length(text).alias("chars"), count.alias("lines"), F.try_divide(digits, solid).alias("density"),
             F.try_divide(listed, count).alias("structured"), F.try_divide(piped, count).alias("piped"))
 
     return tx.let(tx.lines(text), measure)

@@ -58,12 +58,15 @@ def duplicate_report(books: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def duplicate_resolve(books: DataFrame, listing: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, removed_by): missing files go first, then each key removes redundant rows of what is left."""
+    """(id, removed_by): missing files go first, then each key removes redundant rows of what is left.
+
+    The removed ids of a key are checkpointed before the next key looks at the rest.
+    """
     rows = books.select("id", "path", *keys)
     removed = rows.join(listing.select("path"), "path", "left_anti").select("id", F.lit("missing").alias("removed_by"))
     left = rows.join(listing.select("path"), "path", "left_semi")
     for key in keys:
-        gone = duplicate_groups(left, key).filter("id <> survivor").select("id", F.lit(key).alias("removed_by"))
+        gone = cut_lineage(duplicate_groups(left, key).filter("id <> survivor").select("id", F.lit(key).alias("removed_by")))
         removed = removed.unionByName(gone)
         left = left.join(gone, "id", "left_anti")
     return removed
@@ -73,16 +76,16 @@ def tagged(keys: Column, tag: str) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
 
 
-def title_author_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+def title_author_pairs(needles: DataFrame, texts: DataFrame, title_keys=text_keys) -> DataFrame:
     """(needle_id, text_id) where the title holds the needle title and the author holds the needle author, if any.
 
     needles(needle_id, title, author), texts(text_id, title, author), all lower case. Blocked on the rarest gram of
-    title and author together.
+    title and author together; ``title_keys`` may leave out the short grams when no needle title is short.
     """
     def both(title: Column, author: Column) -> Column:
         return F.concat(tagged(F.coalesce(title, F.array().cast("array<string>")), "t"), tagged(F.coalesce(author, F.array().cast("array<string>")), "a"))
 
-    pairs = rare_key_pairs(needles, texts, both(substring_keys("title"), substring_keys("author")), both(text_keys("title"), text_keys("author")))
+    pairs = rare_key_pairs(needles, texts, both(substring_keys("title"), substring_keys("author")), both(title_keys("title"), text_keys("author")))
     n = needles.select("needle_id", F.col("title").alias("_nt"), F.col("author").alias("_na"))
     return pairs.join(n, "needle_id").join(texts, "text_id").filter(
         F.contains("title", F.col("_nt")) & (F.coalesce("_na", F.lit("")).eqNullSafe("") | F.contains("author", F.col("_na")))).select("needle_id", "text_id")
@@ -101,7 +104,7 @@ def incoming_duplicate(incoming: DataFrame, catalogue: DataFrame, ignore_unsorte
     open_rows = rows.filter("match_id IS NULL").select("id", word.alias("_w"), F.lower(F.coalesce("author", F.lit(""))).alias("_a")).filter(F.length("_w") > 4)
     needles = open_rows.select(F.struct("_w", "_a").alias("needle_id"), F.col("_w").alias("title"), F.col("_a").alias("author")).distinct()
     texts = catalogue.select(F.col("id").alias("text_id"), F.lower("title").alias("title"), F.lower(F.coalesce("author", F.lit(""))).alias("author"))
-    first = title_author_pairs(needles, texts).groupBy("needle_id").agg(F.min("text_id").alias("match_id")).select("needle_id.*", "match_id")
+    first = title_author_pairs(needles, texts, lambda title: tx.grams(title, 3)).groupBy("needle_id").agg(F.min("text_id").alias("match_id")).select("needle_id.*", "match_id")
     semantic = open_rows.join(first, ["_w", "_a"]).select("id", F.lit("SEMANTIC").alias("kind"), "match_id")
     return hashed.unionByName(semantic)
 

@@ -40,7 +40,7 @@ def token_weights(queries: DataFrame, df: DataFrame, stats: DataFrame, boosts: d
     for field, value in boosts.items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)
     return (
-        query_tokens(queries).join(df.filter(F.col("field").isin(list(boosts))), "token").join(stats, "field")
+        query_tokens(queries).join(df, "token").join(stats, "field")
         .select("query_id", "field", "token", (F.col("qtf") * boost * raw * 2.2).alias("weight"), "avgdl")
     )
 
@@ -49,16 +49,18 @@ def bm25_scores(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: d
                 df: DataFrame | None = None, idf: str = "lucene") -> DataFrame:
     """(query_id, doc_id, score) of every matching document; ``combine`` takes the best field or the sum of fields.
 
-    The large side (postings) meets the small table of weights once and is summed by (query, document).
+    Postings are cut down to the words asked for before anything is counted or shuffled; what remains meets the small
+    table of weights once and is summed by (query, document).
     """
-    weights = token_weights(queries, token_stats(post) if df is None else df, stats, boosts, idf)
+    asked = post.join(query_tokens(queries).select("token").distinct(), "token", "left_semi").filter(F.col("field").isin(list(boosts)))
+    weights = token_weights(queries, token_stats(asked) if df is None else df, stats, boosts, idf)
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("weight") * tf / (tf + 1.2 * (0.25 + 0.75 * dl / F.col("avgdl")))
     fields = [F.coalesce(F.sum(F.when(F.col("field") == f, part)), F.lit(0.0)) for f in boosts]
     total = fields[0]
     for f in fields[1:]:
         total = F.greatest(total, f) if combine == "best" else total + f
-    return post.join(weights, ["field", "token"]).groupBy("query_id", "doc_id").agg(F.round(total, 6).alias("score"))
+    return asked.join(weights, ["field", "token"]).groupBy("query_id", "doc_id").agg(F.round(total, 6).alias("score"))
 
 
 def bm25_search(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 50, **options) -> DataFrame:
@@ -134,9 +136,14 @@ def index_lookup(hits: DataFrame) -> DataFrame:
     return held.unionByName(rest).withColumn("score", F.col("score") + F.when(F.col("index_matches").isNotNull(), 0.5).otherwise(0.0))
 
 
+def word_pattern(words: str | Column) -> Column:
+    """Pattern for any of the words as whole words, ignoring case."""
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def highlight(content: str | Column, words: str | Column, before: str = "<b>", after: str = "</b>", width: int = 100) -> Column:
     """First ``width``-character fragment around the first word hit, hits marked."""
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])("), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = word_pattern(words)
     start = F.greatest(F.lit(1), F.regexp_instr(content, pattern) - 20)
     return F.regexp_replace(F.substring(content, start, F.lit(width)), pattern, F.lit(before + "$1" + after))
 
@@ -163,14 +170,11 @@ def all_words_hits(post: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def word_snippet(content: str | Column, words: str | Column, size: int = 40) -> Column:
-    """``size`` blank-separated words from the first hit on, hits between ``**``."""
-    def cut(parts: Column) -> Column:
-        hits = F.transform(parts, lambda p: F.arrays_overlap(tx.tokens(p), tx.column(words)))
-        start = F.greatest(F.lit(1), F.array_position(hits, True))
-        return F.array_join(F.transform(F.slice(parts, start.cast("int"), size), lambda p: F.when(
-            F.arrays_overlap(tx.tokens(p), tx.column(words)), F.concat(F.lit("**"), p, F.lit("**"))).otherwise(p)), " ")
-
-    return tx.let(F.split(content, " "), cut)
+    """``size`` blank-separated words from the first hit on, words with a hit between ``**``."""
+    content, pattern = tx.column(content), word_pattern(words)
+    ahead = F.substring(content, F.lit(1), F.greatest(F.regexp_instr(content, pattern), F.lit(1)) - 1)
+    shown = F.slice(F.split(content, " "), F.size(F.split(ahead, " ")), size)
+    return F.array_join(F.transform(shown, lambda p: F.when(F.rlike(p, pattern), F.concat(F.lit("**"), p, F.lit("**"))).otherwise(p)), " ")
 
 
 def fts_search(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20, field: str = "content") -> DataFrame:

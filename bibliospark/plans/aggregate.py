@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bibliospark.operators import aggregate as op
 from bibliospark.plans import fixtures as fx
 from bibliospark.plans.registry import query
+from bibliospark.session import cut_lineage
 
 def order_authors(t):
     """(id, author, zb_authors): suppliers of an order as an author string, JSON names for status P."""
@@ -29,7 +30,7 @@ nodes AS (SELECT canon AS id, max(display) AS name, count(*) AS n FROM named GRO
 SELECT 'node' AS kind, id AS a, name AS b, n AS weight FROM nodes WHERE n > 1 OR id IN (SELECT source FROM links) OR id IN (SELECT target FROM links)
 UNION ALL SELECT 'link', source, target, value FROM links""")
 def coauthor_network(t):
-    found = op.author_occurrences(op.canonical_author(op.author_names(order_authors(t))))
+    found = cut_lineage(op.author_occurrences(op.canonical_author(op.author_names(order_authors(t)))))
     links, nodes = op.coauthor_links(found), op.coauthor_nodes(found)
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("count").alias("weight")).unionByName(
         links.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("value").alias("weight")))

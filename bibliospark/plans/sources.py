@@ -6,6 +6,7 @@ from bibliospark.operators import aggregate as agg
 from bibliospark.plans import fixtures as fx
 from bibliospark.plans.aggregate import NAMED_SQL, order_authors
 from bibliospark.plans.registry import query
+from bibliospark.session import cut_lineage
 from bibliospark.sources import catalog, exports, index
 
 
@@ -135,7 +136,7 @@ SELECT 'node' AS kind, id, concat('{{"id":"', id, '","type":"text","text":"### '
 UNION ALL SELECT 'edge', concat(source, '|', target), concat('{{"fromNode":"', source, '","toNode":"', target, '","label":"', value, ' collaborations"}}') FROM links
 WHERE source IN (SELECT id FROM act) AND target IN (SELECT id FROM act)""")
 def export_network_json(t):
-    found = agg.author_occurrences(agg.canonical_author(agg.author_names(order_authors(t))))
+    found = cut_lineage(agg.author_occurrences(agg.canonical_author(agg.author_names(order_authors(t)))))
     return exports.export_network(agg.coauthor_nodes(found), agg.coauthor_links(found), coordinates=False)
 
 

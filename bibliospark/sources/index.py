@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
+from bibliospark.session import work_folder
 
 # Display-math forms in harvest order.
 DISPLAY_MATH = [r"(?s)\\\[(.*?)\\\]", r"(?s)\$\$(.*?)\$\$"] + [
@@ -61,6 +62,20 @@ def corpus_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
     return sizes.filter("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def stored_index(docs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings and corpus statistics of docs(doc_id, <fields>), tokenised once.
+
+    The postings are written to a new folder of the shared directory; frequencies, lengths and every search then read
+    that table instead of the texts.
+    """
+    spark = docs.sparkSession
+    folder = work_folder(spark, "postings")
+    postings(docs, fields).write.parquet(folder)
+    post = spark.read.parquet(folder)
+    lengths = post.groupBy("doc_id", "field").agg(F.max("dl").alias("dl"))
+    return post, lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
 def write_index(post: DataFrame, table: str, buckets: int) -> None:
     """Postings as a table bucketed by token: token joins against it read co-located buckets."""
     post.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").format("parquet").saveAsTable(table)
