@@ -72,7 +72,9 @@ def recover_marker(text: str, marker: str) -> int:
     if not wanted:
         return -1
     if wanted in plainer(text):
-        return anchored(text.lower(), wanted, 12, 60, "a-z0-9")
+        at = anchored(text.lower(), wanted, 12, 60, "a-z0-9")
+        if at >= 0:
+            return at
     return best_window(text, wanted, len(marker) + 50, 85.0, plainer)
 
 

@@ -110,7 +110,7 @@ def incoming_duplicate(incoming: DataFrame, catalogue: DataFrame, ignore_unsorte
 
 
 def near_dup_pairs(terms: DataFrame, pages_apart: int = 5, length_gap: float = 0.3, least: float = 85.0) -> DataFrame:
-    """(id_a, id_b, similarity, copies_a, copies_b): similar bodies at most 5 pages apart in one book, a before b in (page, id).
+    """(id_a, id_b, similarity, copies_a, copies_b, is_copy): similar bodies at most 5 pages apart in one book, a before b in (page, id).
 
     terms(id, book_id, page, latex). Equal bodies on the same page are one text with its number of copies, and every
     copy has a pair with the first of them, so n copies make n - 1 rows and not n squared.
@@ -130,9 +130,9 @@ def near_dup_pairs(terms: DataFrame, pages_apart: int = 5, length_gap: float = 0
     a, b = [place.select(F.col("id").alias(f"id_{x}"), F.col("page").alias(f"page_{x}"), F.col("copies").alias(f"copies_{x}")) for x in "ab"]
     pairs = scored.withColumnsRenamed({"left_id": "id_a", "right_id": "id_b", "score": "similarity"}).join(a, "id_a").join(b, "id_b")
     later = (F.col("page_b") > F.col("page_a")) | ((F.col("page_b") == F.col("page_a")) & (F.col("id_b") > F.col("id_a")))
-    pairs = pairs.filter(later & (F.col("page_b") - F.col("page_a") <= pages_apart)).select("id_a", "id_b", "similarity", "copies_a", "copies_b")
+    pairs = pairs.filter(later & (F.col("page_b") - F.col("page_a") <= pages_apart)).select("id_a", "id_b", "similarity", "copies_a", "copies_b", F.lit(0).alias("is_copy"))
     copies = rows.join(firsts.filter("copies > 1"), ["book_id", "page", "_h"]).filter("id <> _first").select(
-        F.col("_first").alias("id_a"), F.col("id").alias("id_b"), F.lit(100.0).alias("similarity"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
+        F.col("_first").alias("id_a"), F.col("id").alias("id_b"), F.lit(100.0).alias("similarity"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"), F.lit(1).alias("is_copy"))
     return pairs.unionByName(copies)
 
 
@@ -140,10 +140,12 @@ def near_dup_delete(pairs: DataFrame) -> DataFrame:
     """(id) removed by the greedy rule: in (page, id) order, a kept row removes its later similar rows, a removed one does nothing.
 
     Works in rounds over the edges of all books at once: rows without an earlier open neighbour are kept and remove
-    theirs; edges of decided rows fall away. Every round is checkpointed, so its cost is that of the open edges.
+    theirs; edges of decided rows fall away. Every round is checkpointed, so its cost is that of the open edges. Copies
+    always go: what removes the first of them is as similar to the others, and a kept first removes them itself.
     """
-    edges = cut_lineage(pairs.select("id_a", "id_b").distinct())
-    removed = edges.select(F.col("id_b").alias("id")).limit(0)
+    pairs = cut_lineage(pairs.select("id_a", "id_b", "is_copy").distinct())
+    removed = pairs.filter("is_copy = 1").select(F.col("id_b").alias("id"))
+    edges = pairs.filter("is_copy = 0").select("id_a", "id_b")
     while not edges.isEmpty():
         kept = edges.select("id_a").distinct().join(edges.select(F.col("id_b").alias("id_a")), "id_a", "left_anti")
         gone = cut_lineage(edges.join(kept, "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct())
