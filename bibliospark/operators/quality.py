@@ -43,9 +43,6 @@ ENGLISH_WORDS = ["and", "the", "for", "introduction", "textbook", "lectures", "v
 SUBJECT_WORDS = ["analysis", "algebra", "mathematik", "geometrie", "stochastik", "physik"]
 
 
-DIGITS = "0123456789"
-
-
 def any_in(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
@@ -57,7 +54,7 @@ def page_class(content: str | Column) -> Column:
         back = reduce(lambda a, b: a | b, [head.startswith(m) | F.contains(head, F.lit("\n" + m)) for m in BACK_MARKERS])
         size = F.greatest(F.length(text), F.lit(1))
         dots = tx.count_of(text, ".") / size
-        digits = (F.length(text) - F.length(F.translate(text, DIGITS, ""))) / size
+        digits = F.regexp_count(text, F.lit("[0-9]")) / size
         return F.when((F.length(text) < 100) | any_in(head, FRONT_MARKERS) | back | ((dots > 0.1) & (digits > 0.1)), "skip").otherwise("content")
 
     return tx.let(tx.strip(F.coalesce(tx.column(content), F.lit(""))), judge)
@@ -206,8 +203,8 @@ def index_metrics(text: str | Column) -> Column:
     text = F.coalesce(tx.column(text), F.lit(""))
 
     def measure(lines: Column) -> Column:
-        solid = F.length(F.translate(text, tx.WHITE, ""))
-        digits = F.length(text) - F.length(F.translate(text, DIGITS, ""))
+        solid = F.length(text) - F.regexp_count(text, F.lit(r"\s"))
+        digits = F.regexp_count(text, F.lit("[0-9]"))
 
         def is_piped(line: Column) -> Column:
             return F.contains(line, F.lit("|")) & line.rlike(r"[\d,\s-]$")

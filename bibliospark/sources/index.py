@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
@@ -42,12 +42,23 @@ def index_backfill(index: DataFrame, store: DataFrame) -> DataFrame:
     return store.join(index.select("id"), "id", "left_anti")
 
 
+def token_runs(words: Column) -> Column:
+    """'the the the' strings, one per distinct word: sorted words, joined and cut into runs of equal ones."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(words), " "), F.lit(r"(?<!\S)(\S+)(?: \1(?!\S))*"), F.lit(0))
+
+
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(doc_id, field, token, tf, dl) from docs(doc_id, <fields>). The counts of one document meet before the shuffle."""
+    """(doc_id, field, token, tf, dl, lead) from docs(doc_id, <fields>), one row per document.
+
+    All words of a document are in its row, so they are counted there and nothing is shuffled. ``lead`` marks one
+    posting per document and field, for statistics over documents.
+    """
     stacked = docs.select("doc_id", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), tx.tokens(F.coalesce(f, F.lit(""))).alias("words")) for f in fields])).alias("_f"))
-    words = stacked.select("doc_id", "_f.field", F.size("_f.words").cast("long").alias("dl"), F.explode("_f.words").alias("token"))
-    return words.groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    found = stacked.select("doc_id", "_f.field", F.size("_f.words").cast("long").alias("dl"), F.posexplode(token_runs(F.col("_f.words"))).alias("_at", "_run"))
+    token = F.substring_index("_run", " ", 1)
+    tf = ((F.length("_run") + 1) / (F.length(token) + 1)).cast("long")
+    return found.select("doc_id", "field", token.alias("token"), tf.alias("tf"), "dl", (F.col("_at") == 0).alias("lead"))
 
 
 def token_stats(post: DataFrame) -> DataFrame:
@@ -72,8 +83,7 @@ def stored_index(docs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFra
     folder = work_folder(spark, "postings")
     postings(docs, fields).write.parquet(folder)
     post = spark.read.parquet(folder)
-    lengths = post.groupBy("doc_id", "field").agg(F.max("dl").alias("dl"))
-    return post, lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return post, post.filter("lead").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def write_index(post: DataFrame, table: str, buckets: int) -> None:
