@@ -18,11 +18,12 @@ def anchor_tier_a(terms: DataFrame, concepts: DataFrame, dim: int, k: int = 3) -
     LINKED carries the top concept, AMBIGUOUS its candidates as ``concept:score`` in rank order, NONE neither.
     """
     hits = knn(concepts, terms.select(F.col("id").alias("query_id"), "vec"), k, dim, in_place="queries")
-    scored = hits.withColumn("score", F.round((1 + F.col("cosine")) / 2, 6))
+    # The cosine is rounded already; half of it has seven digits, which are kept.
+    scored = hits.withColumn("score", (1 + F.col("cosine")) / 2)
     listed = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("_c"))
     top = F.get(F.col("_c"), F.lit(0))
     status = F.when(top["score"] >= LINK_SCORE, "LINKED").when(top["score"] >= AMBIGUOUS_SCORE, "AMBIGUOUS").otherwise("NONE")
-    shown = F.array_join(F.transform("_c", lambda c: F.concat(c["id"].cast("string"), F.lit(":"), F.format_string("%.6f", c["score"]))), ",")
+    shown = F.array_join(F.transform("_c", lambda c: F.concat(c["id"].cast("string"), F.lit(":"), F.format_string("%.7f", c["score"]))), ",")
     rows = terms.select("id").join(listed, F.col("id") == F.col("query_id"), "left").withColumn("status", F.coalesce(status, F.lit("NONE")))
     return rows.select(
         "id", "status", F.when(F.col("status") == "LINKED", top["id"]).alias("concept_id"),

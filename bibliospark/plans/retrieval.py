@@ -300,10 +300,10 @@ def kb_vs_fulltext_eval(t):
 
 
 TERM_VECS, CONCEPT_VECS = "(SELECT * FROM embeddings WHERE label >= 3)", "(SELECT * FROM embeddings WHERE label < 3)"
-ANCHOR_HITS = f"""hits AS (SELECT query_id, id, rank, round((1 + cosine) / 2, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS cosine,
+ANCHOR_HITS = f"""hits AS (SELECT query_id, id, rank, (1 + cosine) / 2 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS cosine,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM {{0}} a, {{1}} b) WHERE rank <= 3),
 anchor AS (SELECT query_id AS id, CASE WHEN max(score) >= 0.885 THEN 'LINKED' WHEN max(score) >= 0.85 THEN 'AMBIGUOUS' ELSE 'NONE' END AS status,
-  min(id) FILTER (rank = 1) AS top, string_agg(concat(id, ':', printf('%.6f', score)), ',' ORDER BY rank) AS c FROM hits GROUP BY 1)"""
+  min(id) FILTER (rank = 1) AS top, string_agg(concat(id, ':', printf('%.7f', score)), ',' ORDER BY rank) AS c FROM hits GROUP BY 1)"""
 
 
 def term_vectors(t):
