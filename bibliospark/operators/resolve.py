@@ -101,7 +101,9 @@ def incoming_duplicate(incoming: DataFrame, catalogue: DataFrame, ignore_unsorte
     rows = incoming.join(by_hash, "hash", "left")
     hashed = rows.filter("match_id IS NOT NULL").select("id", F.lit("HASH").alias("kind"), "match_id")
     word = F.get(F.filter(F.split(F.replace(F.lower("title"), F.lit(":"), F.lit("")), r"\s+"), lambda w: w != ""), F.lit(0))
-    open_rows = rows.filter("match_id IS NULL").select("id", word.alias("_w"), F.lower(F.coalesce("author", F.lit(""))).alias("_a")).filter(F.length("_w") > 4)
+    # Read by the blocking, the verification and the answer: kept once instead of repeating the hash join.
+    open_rows = cut_lineage(
+        rows.filter("match_id IS NULL").select("id", word.alias("_w"), F.lower(F.coalesce("author", F.lit(""))).alias("_a")).filter(F.length("_w") > 4))
     needles = open_rows.select(F.struct("_w", "_a").alias("needle_id"), F.col("_w").alias("title"), F.col("_a").alias("author")).distinct()
     texts = catalogue.select(F.col("id").alias("text_id"), F.lower("title").alias("title"), F.lower(F.coalesce("author", F.lit(""))).alias("author"))
     first = title_author_pairs(needles, texts, lambda title: tx.grams(title, 3)).groupBy("needle_id").agg(F.min("text_id").alias("match_id")).select("needle_id.*", "match_id")
@@ -117,7 +119,9 @@ def near_dup_pairs(terms: DataFrame, pages_apart: int = 5, length_gap: float = 0
     """
     rows = terms.filter("latex <> ''").select("id", "book_id", F.col("page").cast("long").alias("page"), F.col("latex").alias("text"), F.md5("latex").alias("_h"))
     firsts = rows.groupBy("book_id", "page", "_h").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("copies"))
-    reps = first_per_key(rows, ["book_id", "page", "_h"], "id").join(firsts.select("book_id", "page", "_h", "copies"), ["book_id", "page", "_h"])
+    # One row per distinct body, read four times below.
+    reps = cut_lineage(
+        rows.groupBy("book_id", "page", "_h").agg(F.min("id").alias("id"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     width = pages_apart + 1
     bucket = F.floor(F.col("page") / width).cast("long")
     band = F.floor(F.log(F.length("text")) / -F.log(F.lit(1 - length_gap))).cast("int")

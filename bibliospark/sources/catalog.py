@@ -12,7 +12,7 @@ from bibliospark.operators.filters import file_stem
 from bibliospark.partitioning import first_per_key, top_per_key
 
 # Folders and file types of the library scan.
-IGNORED_FOLDERS = ["mathstudio", "_Admin", "gemini", ".gemini", ".git", ".venv", "notes_output", "archive", "lost+found",
+IGNORED_FOLDERS = ["_Admin", "gemini", ".gemini", ".git", ".venv", "notes_output", "archive", "lost+found",
                    "__pycache__", "compiled_notes", "exports"]
 BOOK_SUFFIXES = ["pdf", "djvu", "epub"]
 
@@ -35,10 +35,13 @@ def title_author(stem: Column) -> tuple[Column, Column]:
     )
 
 
-def catalog_scan(files: DataFrame) -> DataFrame:
-    """Book files of a listing (path, mtime, size) with directory, title and author from the name."""
+def catalog_scan(files: DataFrame, own_folders: Sequence[str] = ()) -> DataFrame:
+    """Book files of a listing (path, mtime, size) with directory, title and author from the name.
+
+    Hidden folders, the fixed list above and the application's ``own_folders`` are skipped.
+    """
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    skipped = F.exists(folders, lambda d: d.isin(IGNORED_FOLDERS) | d.startswith("."))
+    skipped = F.exists(folders, lambda d: d.isin([*IGNORED_FOLDERS, *own_folders]) | d.startswith("."))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     title, author = title_author(file_stem(F.col("path")))
     return files.filter(suffix.isin(BOOK_SUFFIXES) & ~skipped).select(
