@@ -72,14 +72,19 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 5
 
 
+def plain(documents: DataFrame, *more: Column) -> DataFrame:
+    """(_id, text): a null id becomes the largest long (see ``restored_id``), a null text the empty one."""
+    return documents.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
 def batched(documents: DataFrame, chars: int) -> tuple[DataFrame, int]:
     """(_id, text, _batch) and the number of bytes of all texts: documents dealt at random into batches of about ``chars`` bytes.
 
-    A null id becomes the largest long, a null text the empty one. The batch follows from the row alone, so a recomputed
+    The batch follows from the row alone, so a recomputed
     task deals the same rows; both sides of a later cogroup can reuse one exchange of the texts.
     """
-    docs = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = plain(documents)
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     count = max(1, math.ceil(total / chars))
     return docs.withColumn("_batch", F.pmod(F.xxhash64("_id", "text"), F.lit(count)).cast("int")), total

@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import WORD, ascii_lower, hash_words, mix, rolling
+from bibliospark.llm.common import WORD, ascii_lower, hash_words, mix, plain, restored_id, rolling
 
 WIDTH = 5
 EDGE = re.compile(r"^\W+|\W+$")
-HITS = "doc_id long, item_id long, n_item long, n_common long, containment double"
+HITS = "_id long, item_id long, n_item long, n_common long, containment double"
 
 
 def normal_words(text: str) -> list[str]:
@@ -103,7 +103,7 @@ def contained_items(documents: DataFrame, items: DataFrame, threshold: float = 0
     Null or empty texts on either side, texts without a word, and items with a null id match nothing. An item id with
     several texts is searched once per text; repeated document rows give repeated result rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") > 0)
+    docs = plain(documents).filter("text != ''")
     result = documents.sparkSession.createDataFrame([], HITS)
     for rows in _blocks(items, block):
         ids = [key for key, _ in rows]
@@ -111,11 +111,11 @@ def contained_items(documents: DataFrame, items: DataFrame, threshold: float = 0
 
         def search(frames: Iterator[pd.DataFrame], ids=ids, match=match) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                out = [(doc, ids[i], n, c, c / n) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for i, n, c in match(text)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_item", "n_common", "containment"]).astype({"doc_id": "Int64"})
+                out = [(doc, ids[i], n, c, c / n) for doc, text in zip(frame["_id"], frame["text"], strict=True) for i, n, c in match(text)]
+                yield pd.DataFrame(out, columns=["_id", "item_id", "n_item", "n_common", "containment"])
 
         result = result.unionByName(docs.mapInPandas(search, HITS))
-    return result
+    return result.select(restored_id(), "item_id", "n_item", "n_common", "containment")
 
 
 def _clean(match):

@@ -63,6 +63,8 @@ class Encoder:
 
     def _word(self, letters: str) -> list[int]:
         known = letters.lower() if letters.isascii() else self.library.normalizer.normalize_str(letters)
+        if not known.isalpha():  # a letter whose lower case holds a mark
+            return self._whole(letters)
         ids = self.letters.get(known)
         if ids is None:
             ids = self.letters[known] = [t.id for t in self.library.model.tokenize(known if known.isascii() else known.translate(self.bytes))]
