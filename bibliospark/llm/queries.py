@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bibliospark.llm import decontaminate, substrings, tokens
+from bibliospark.llm import decontaminate, jaccard, language, mixing, quality, rules, secret_scan, substrings, tokens, toxicity
+from bibliospark.llm.common import fold
 from bibliospark.session import table, work_folder
 
 QUERIES = {}
@@ -27,11 +29,41 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").filter(fold() != 0)
+    scored = quality.quality_scores(table(spark, folder, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.without_repeats(table(spark, folder, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents")).drop("n_left")
+
+
+@query()
+def op4_language_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language.text_scores(table(spark, folder, "documents"))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").filter(fold() != 0).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = toxicity.toxicity(table(spark, folder, "documents"), labels, ["low_quality", "toxic"])
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "low_quality", "toxic", "predicted")
+
+
+@query()
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return secret_scan.secret_spans(documents, secret_scan.labelled_by_patterns(documents))
+
+
 @query()
 def op7_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = work_folder(spark, "tokens")
@@ -39,6 +71,18 @@ def op7_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
+@query()
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, folder, "documents")).drop("_row")
+
+
+@query()
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = mixing.mixture(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return drawn.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                        (F.col("_size") * F.size("_takes")).alias("taken"))
+
+
 @query()
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
