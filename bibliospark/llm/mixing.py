@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from bibliospark.functions.text import let
 
 WEIGHTS, CAP = (5, 2, 1), 3
-BLOCKS, BLOCK_WORDS, LEVELS, SEED = 4096, 500, 4, 17
+BLOCKS, BLOCK_WORDS, LEVELS, SEED = 4096, 50, 4, 17
 SPACES = r"[\x20\x09-\x0D]+"
 
 

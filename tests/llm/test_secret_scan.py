@@ -34,7 +34,7 @@ def secret_rows():
 def test_base_spans_counts_and_additions(spark, nothing):
     rows = secret_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = secret_spans(docs, labelled_by_patterns(docs)).collect()
+    got = secret_spans(docs, labelled_by_patterns(docs.filter("doc_id < 400"))).collect()
     say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     want = Counter((i, *[sum(k == kind for k, *_ in brute(t)) for kind in LEAST], hashlib.sha256(say(brute(t)).encode()).hexdigest()) for i, t in rows)
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
