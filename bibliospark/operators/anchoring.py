@@ -36,9 +36,9 @@ def anchor_residue(anchored: DataFrame, new_concepts: DataFrame, terms: DataFram
     return anchor_tier_a(terms.join(left, "id", "left_semi"), new_concepts, dim)
 
 
-def calibrate_thresholds(terms: DataFrame, concepts: DataFrame, dim: int, seed: str, samples: int = 200) -> DataFrame:
-    """Distribution of the top score over a seeded sample of terms."""
-    sample = terms.orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), "id").limit(samples)
+def calibrate_thresholds(terms: DataFrame, concepts: DataFrame, dim: int, seed: str = "", samples: int | None = None) -> DataFrame:
+    """Distribution of the top score over all terms, or over a seeded sample of them."""
+    sample = terms if samples is None else terms.orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), "id").limit(samples)
     top = knn(concepts, sample.select(F.col("id").alias("query_id"), "vec"), 1, dim, in_place="queries").select(((1 + F.col("cosine")) / 2).alias("s"))
     stats = {"mean": F.avg("s"), "median": F.median("s"), "min": F.min("s"), "max": F.max("s")}
     stats |= {f"p{p}": F.percentile("s", p / 100) for p in (25, 60, 75, 90)}

@@ -46,10 +46,12 @@ def rare_key_pairs(needles: DataFrame, texts: DataFrame, needle_keys: Column, ke
 def containment_join(needles: DataFrame, texts: DataFrame, passages: bool = False) -> DataFrame:
     """Exact "text contains needle" join: (needle_id, text_id) with needles(needle_id, needle), texts(text_id, text).
 
-    ``passages`` blocks on inner words (needles of at least three words, long texts) instead of trigrams.
+    ``passages`` blocks needles with an inner word (three words or more) on those; shorter ones go by trigrams as well.
     """
     if passages:
-        pairs = rare_key_pairs(needles, texts, inner_words("needle"), F.array_distinct(tx.tokens("text")))
+        inner = F.size(inner_words("needle")) > 0
+        pairs = rare_key_pairs(needles.filter(inner), texts, inner_words("needle"), F.array_distinct(tx.tokens("text"))).unionByName(
+            rare_key_pairs(needles.filter(~inner), texts, substring_keys("needle"), text_keys("text")))
     else:
         pairs = rare_key_pairs(needles, texts, substring_keys("needle"), text_keys("text"))
     return (

@@ -31,8 +31,10 @@ def _histogram(texts) -> np.ndarray:
 def _score(scorer: str, a: str, b: str, least: float) -> float:
     if scorer == "indel":
         return ratio(a, b)
-    match = difflib.SequenceMatcher(None, a, b)
-    return 100.0 * match.ratio() if 100.0 * match.quick_ratio() > least else 0.0
+    match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    if 100.0 * match.quick_ratio() <= least or ratio(a, b) <= least:  # matching blocks form a common subsequence
+        return 0.0
+    return 100.0 * match.ratio()
 
 
 def _evaluate(scorer: str, least: float, length_gap: float | None):

@@ -129,14 +129,13 @@ def page_work_list(ranges: DataFrame, done: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"unknown mode {mode}")
 
 
-def enrich_candidates(books: DataFrame, limit: int | None = 50, after_id: int | None = None) -> DataFrame:
+def enrich_candidates(books: DataFrame, limit: int | None = None, after_id: int | None = None) -> DataFrame:
     """Raw or unset metadata with a usable title, in id order; ``after_id`` continues a sweep."""
     usable = F.col("title").isNotNull() & ~F.lower("title").isin("unknown", "untitled", "")
     rows = books.filter((F.col("metadata_status").isNull() | (F.col("metadata_status") == "raw")) & usable)
     if after_id is not None:
         rows = rows.filter(F.col("id") > after_id)
-    rows = rows.orderBy("id")
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 def prose_repair_candidates(terms: DataFrame) -> DataFrame:

@@ -26,9 +26,10 @@ def book_detail(books: DataFrame, registry: DataFrame, **present: DataFrame) ->
     return out
 
 
-def bibliography_view(entries: DataFrame, registry: DataFrame, limit: int = 50, order=("id",)) -> DataFrame:
-    """The first ``limit`` entries of every book with their registry title, if resolved."""
-    return top_per_key(entries, ["book_id"], limit, *order).join(registry, "zbl_id", "left")
+def bibliography_view(entries: DataFrame, registry: DataFrame, limit: int | None = None, order=("id",)) -> DataFrame:
+    """The entries of every book (all, or the first ``limit`` with their rank) with their registry title, if resolved."""
+    shown = entries if limit is None else top_per_key(entries, ["book_id"], limit, *order)
+    return shown.join(registry, "zbl_id", "left")
 
 
 def conflicts_view(books: DataFrame, registry: DataFrame) -> DataFrame:

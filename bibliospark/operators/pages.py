@@ -35,10 +35,10 @@ def context_window(pages: DataFrame, before: int = 2, after: int = 4) -> DataFra
     return near.select("book_id", "page", F.array_join(F.col("_near._t"), "").alias("context"))
 
 
-def contiguous_blocks(pages: DataFrame, bounds: DataFrame | None = None, shortest: int = 5, longest: int = 25) -> DataFrame:
+def contiguous_blocks(pages: DataFrame, bounds: DataFrame | None = None, shortest: int = 5, longest: int | None = None) -> DataFrame:
     """Next block of pending pages per book: pages(book_id, page, quality_score, harvested) -> block_start, block_end, n_pages.
 
-    The first run of at least ``shortest`` consecutive pending pages, else the whole pending span; cut after ``longest`` more pages.
+    The first run of at least ``shortest`` consecutive pending pages, else the whole pending span; cut after ``longest`` more pages if set.
     """
     pending = pages.filter((F.col("quality_score").isNull() | (F.col("quality_score") >= 0.7)) & ~F.col("harvested"))
     if bounds is not None:
@@ -49,7 +49,8 @@ def contiguous_blocks(pages: DataFrame, bounds: DataFrame | None = None, shortes
     block = runs(pending, ["book_id"], "page").groupBy("book_id").agg(
         F.min(F.when(long_run, F.struct("run_start", "run_end"))).alias("_first"), F.min("run_start").alias("_lo"), F.max("run_end").alias("_hi")
     ).select("book_id", F.coalesce(F.col("_first.run_start"), "_lo").alias("block_start"), F.coalesce(F.col("_first.run_end"), "_hi").alias("_end"))
-    block = block.select("book_id", "block_start", F.least("_end", F.col("block_start") + longest).alias("block_end"))
+    end = F.col("_end") if longest is None else F.least("_end", F.col("block_start") + longest)
+    block = block.select("book_id", "block_start", end.alias("block_end"))
     return pending.join(block, "book_id").filter("page BETWEEN block_start AND block_end").groupBy("book_id", "block_start", "block_end").agg(
         F.count(F.lit(1)).alias("n_pages"))
 
@@ -61,12 +62,14 @@ def printed_numbers(content: Column) -> Column:
     return F.array_distinct(F.concat(*ends))
 
 
-def page_offset_align(pages: DataFrame, sample: int = 20, votes: int = 4) -> DataFrame:
-    """(book_id, page_offset, votes): most frequent page - printed number over the middle pages, if enough agree."""
-    ranked = rank_in_key(pages.select("book_id", "page", printed_numbers(F.col("content")).alias("_p")), ["book_id"], "page", "_rank")
-    size = F.least(F.col("_rank_of"), F.lit(sample))
-    start = F.greatest(F.lit(0), F.floor(F.col("_rank_of") / 2) - F.floor(size / 2))
-    middle = ranked.filter((F.col("_rank") >= start) & (F.col("_rank") < start + size))
+def page_offset_align(pages: DataFrame, sample: int | None = None, votes: int = 4) -> DataFrame:
+    """(book_id, page_offset, votes): most frequent page - printed number over all or the ``sample`` middle pages, if enough agree."""
+    middle = pages.select("book_id", "page", printed_numbers(F.col("content")).alias("_p"))
+    if sample is not None:
+        ranked = rank_in_key(middle, ["book_id"], "page", "_rank")
+        size = F.least(F.col("_rank_of"), F.lit(sample))
+        start = F.greatest(F.lit(0), F.floor(F.col("_rank_of") / 2) - F.floor(size / 2))
+        middle = ranked.filter((F.col("_rank") >= start) & (F.col("_rank") < start + size))
     offsets = middle.select("book_id", "page", F.explode("_p").alias("_s")).withColumn("_n", F.col("_s").cast("long")).filter("_n > 0 AND _n < 2000")
     counted = offsets.groupBy("book_id", (F.col("page") - F.col("_n")).alias("page_offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = counted.groupBy("book_id").agg(F.max_by(F.struct("page_offset", "votes"), F.struct("votes", -F.abs("page_offset"), "page_offset")).alias("_b"))
@@ -105,16 +108,20 @@ def content_bounds(books: DataFrame) -> DataFrame:
     return rows.select("id", "content_start", end.alias("content_end"))
 
 
-def region_detection(pages: DataFrame, front: int = 20, head: int = 50, tail: int = 50) -> DataFrame:
-    """(book_id, n_pages, metadata_end, bibliography_start), zero-based and end-exclusive. Two aggregates, no window."""
+def region_detection(pages: DataFrame, front: int = 20, head: int | None = None, tail: int | None = None) -> DataFrame:
+    """(book_id, n_pages, metadata_end, bibliography_start), zero-based and end-exclusive. Two aggregates, no window.
+
+    Contents markers are looked for on the first ``head`` pages and bibliography markers on the last ``tail``, by default
+    on all; without a bibliography marker its region starts ``tail`` pages before the end, by default at the end.
+    """
     lower = F.lower("content")
     i = F.col("page") - 1
-    sizes = pages.groupBy("book_id").agg(F.max("page").alias("n_pages"), F.min(F.when((i < head) & contains_any(lower, TOC_MARKERS), i)).alias("_toc"))
+    sizes = pages.groupBy("book_id").agg(F.max("page").alias("n_pages"), F.min(F.when((F.lit(True) if head is None else i < head) & contains_any(lower, TOC_MARKERS), i)).alias("_toc"))
     marked = pages.filter(contains_any(lower, BIB_MARKERS)).select("book_id", i.alias("_i")).join(sizes.select("book_id", "n_pages"), "book_id")
-    bib = marked.filter(F.col("_i") >= F.greatest(F.col("n_pages") - tail, F.lit(0))).groupBy("book_id").agg(F.min("_i").alias("_bib"))
+    bib = (marked if tail is None else marked.filter(F.col("_i") >= F.greatest(F.col("n_pages") - tail, F.lit(0)))).groupBy("book_id").agg(F.min("_i").alias("_bib"))
     return sizes.join(bib, "book_id", "left").select(
         "book_id", "n_pages", F.least(F.coalesce(F.col("_toc"), F.lit(0)) + front, "n_pages").alias("metadata_end"),
-        F.coalesce("_bib", F.greatest(F.col("n_pages") - tail, F.lit(0))).alias("bibliography_start"))
+        F.coalesce("_bib", F.greatest(F.col("n_pages") - (tail or 0), F.lit(0))).alias("bibliography_start"))
 
 
 def index_page_score(content: Column) -> Column:
@@ -132,16 +139,18 @@ def index_page_score(content: Column) -> Column:
     return tx.let(tx.lines(content), score)
 
 
-def index_page_candidates(pages: DataFrame, tail: int = 50, least: int = 40) -> DataFrame:
-    """(book_id, n_pages, index_text): likely index pages among the last ``tail`` of every book, joined in order."""
-    last = pages.groupBy("book_id").agg(F.max("page").alias("_last"))
-    kept = pages.join(last, "book_id").filter(F.col("page") > F.col("_last") - tail).filter(index_page_score(F.col("content")) >= least)
+def index_page_candidates(pages: DataFrame, tail: int | None = None, least: int = 40) -> DataFrame:
+    """(book_id, n_pages, index_text): likely index pages of every book (among its last ``tail`` if set), joined in order."""
+    if tail is not None:
+        last = pages.groupBy("book_id").agg(F.max("page").alias("_last"))
+        pages = pages.join(last, "book_id").filter(F.col("page") > F.col("_last") - tail)
+    kept = pages.filter(index_page_score(F.col("content")) >= least)
     listed = kept.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("_l"))
     return listed.select("book_id", F.size("_l").cast("long").alias("n_pages"), F.array_join(F.col("_l.content"), "\n").alias("index_text"))
 
 
-def cross_page_patterns(pages: DataFrame, per_case: int = 5, samples: int = 15, seed: str = "42") -> DataFrame:
-    """(case, book_id, page): extraction edge cases over neighbouring pages, the first ones of each kind, and a seeded sample."""
+def cross_page_patterns(pages: DataFrame, per_case: int | None = None, samples: int = 15, seed: str = "42") -> DataFrame:
+    """(case, book_id, page): extraction edge cases over neighbouring pages (the first ``per_case`` of each kind if set), and a seeded sample."""
     following = pages.select("book_id", (F.col("page") - 1).alias("page"), F.col("content").alias("_next"))
     rows = pages.join(following, ["book_id", "page"], "left").withColumn("_next", F.coalesce("_next", F.lit("")))
     text = F.col("content")
@@ -159,7 +168,7 @@ def cross_page_patterns(pages: DataFrame, per_case: int = 5, samples: int = 15,
     }
     # One pass flags every page with its cases; a top-k per case follows.
     flagged = rows.select("book_id", "page", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()]))).alias("case"))
-    first = top_per_key(flagged, ["case"], per_case, "book_id", "page").select("case", "book_id", "page")
+    first = (flagged if per_case is None else top_per_key(flagged, ["case"], per_case, "book_id", "page")).select("case", "book_id", "page")
     start = F.col("page") - F.when(F.col("case") == "case4_postponed_proof", 1).otherwise(0)
     used = first.select("book_id", F.explode(F.sequence(start, start + 2)).alias("page"))
     rest = pages.filter(F.length(tx.strip("content")) > 100).select("book_id", "page").join(used, ["book_id", "page"], "left_anti")
@@ -245,12 +254,15 @@ def toc_metrics(books: DataFrame) -> DataFrame:
     return rows.select("id", "entries", F.col("_s.depth").alias("depth"), F.col("_s.top").alias("max_page"), F.array_join(flags, ",").alias("flags"))
 
 
-def toc_from_text(pages: DataFrame, head: int = 20, enough: int = 10) -> DataFrame:
-    """(book_id, page, line_no, title, target) from contents-like lines of the first pages, stopping once a page brings more than ``enough``."""
+def toc_from_text(pages: DataFrame, head: int | None = None, enough: int | None = None) -> DataFrame:
+    """(book_id, page, line_no, title, target) from contents-like lines; of the first ``head`` pages, and only until more
+    than ``enough`` lines are found, if these are set."""
     pattern = r"^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$"
-    lines = pages.filter(F.col("page") <= head).select("book_id", "page", F.posexplode(F.transform(F.split("content", r"\r\n|[\n\r]"), tx.strip)).alias("line_no", "_l"))
+    lines = (pages if head is None else pages.filter(F.col("page") <= head)).select("book_id", "page", F.posexplode(F.transform(F.split("content", r"\r\n|[\n\r]"), tx.strip)).alias("line_no", "_l"))
     hits = lines.filter(F.length("_l").between(5, 120) & F.col("_l").rlike(pattern)).select(
         "book_id", "page", "line_no", tx.strip(F.regexp_extract("_l", pattern, 1)).alias("title"), F.regexp_extract("_l", pattern, 2).try_cast("long").alias("target"))
+    if enough is None:
+        return hits
     per_page = hits.groupBy("book_id", "page").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     open_pages = per_page.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_before") <= enough).select("book_id", "page")

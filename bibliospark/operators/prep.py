@@ -58,13 +58,16 @@ def embedding_text_concepts(concepts: DataFrame, style: str = "sentence") -> Dat
     return concepts.select("id", text.alias("text"))
 
 
-def embedding_text_books(books: DataFrame, chapters: DataFrame, max_chapters: int = 50, index_chars: int = 1000, max_chars: int = 9500) -> DataFrame:
-    """(id, text): labelled fields that are set, the first chapters in page order, the head of the index.
+def embedding_text_books(books: DataFrame, chapters: DataFrame, max_chapters: int | None = None, index_chars: int | None = None,
+                         max_chars: int | None = None) -> DataFrame:
+    """(id, text): labelled fields that are set, the chapters in page order, the index; each part cut only on request.
 
-    Only the chapters that can appear are collected: the top of each book by page.
+    The text of a book is one value, so it holds its contents list.
     """
-    first = top_per_key(chapters.filter("title <> ''"), ["book_id"], max_chapters, "page", "id")
-    listed = first.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("_c"))
+    first = chapters.filter("title <> ''").select("book_id", "page", "id", "title")
+    if max_chapters is not None:
+        first = top_per_key(first, ["book_id"], max_chapters, "page", "id")
+    listed = first.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("page", "id", "title"))).alias("_c"))
 
     def labelled(label: str, value: Column) -> Column:
         return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
@@ -73,8 +76,8 @@ def embedding_text_books(books: DataFrame, chapters: DataFrame, max_chapters: in
     parts = F.concat_ws(
         "\n", labelled("Title: ", F.col("title")), labelled("Author: ", F.col("author")), labelled("MSC Classification: ", F.col("msc_class")),
         labelled("Summary: ", F.col("summary")), F.when(F.col("_c").isNotNull(), F.concat(F.lit("Chapters:\n"), F.array_join(titles, "\n"))),
-        labelled("Index Keywords: ", F.substring("index_text", 1, index_chars)))
-    return books.join(listed, "id", "left").select("id", F.substring(parts, 1, max_chars).alias("text"))
+        labelled("Index Keywords: ", F.col("index_text") if index_chars is None else F.substring("index_text", 1, index_chars)))
+    return books.join(listed, "id", "left").select("id", (parts if max_chars is None else F.substring(parts, 1, max_chars)).alias("text"))
 
 
 def missing_embeddings(rows: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def index_audit(books: DataFrame) -> DataFrame:
     return rows.select("id", "chars", "lines", density.alias("density"), structured.alias("structured"), F.array_join(flags, ",").alias("flags"), accept.cast("int").alias("backfill"))
 
 
-def language_mismatch(books: DataFrame, limit: int | None = 50) -> DataFrame:
+def language_mismatch(books: DataFrame, limit: int | None = None) -> DataFrame:
     """Untagged books (id, title, path, filename, content) with German content but an English title, and a title from the file name."""
     title, path = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("path", F.lit("")))
 
@@ -256,12 +256,12 @@ def title_filename_conflict(books: DataFrame, least: float = 40.0) -> DataFrame:
     return rows.withColumn("score", partial_ratio(F.lower("title"), F.lower("filename"))).filter(F.col("score") < least)
 
 
-def extract_identifiers(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """(book_id, isbn, arxiv_id, same_isbn): ISBN in the first five pages, arXiv id in the file name, and sharing books.
+def extract_identifiers(pages: DataFrame, files: DataFrame, head: int | None = None) -> DataFrame:
+    """(book_id, isbn, arxiv_id, same_isbn): first ISBN of the pages (of the first ``head`` if set), arXiv id in the file name, and sharing books.
 
     pages(book_id, page, content), files(book_id, filename).
     """
-    front = pages.filter(F.col("page") <= 5).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("_p"))
+    front = (pages if head is None else pages.filter(F.col("page") <= head)).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("_p"))
     raw = F.regexp_extract(F.array_join(F.col("_p.content"), ""), r"(?i)ISBN(?:-1[03])?:?\s*([\d\- X]{10,17})", 1)
     clean = F.regexp_replace(raw, r"[^\dXx]", "")
     isbn = front.select("book_id", F.when(F.length(clean).isin(10, 13), clean).alias("isbn"))

@@ -169,16 +169,15 @@ def term_insert_filter(terms: DataFrame, existing: DataFrame) -> DataFrame:
     """New terms (id, book_id, page, name, kind, latex) worth inserting beside existing(id, book_id, page, name, latex).
 
     Out go unacceptable terms, names already on the page, repeated names in the batch, and bodies of more than 50
-    characters whose first 200 are more than 85 alike to a body within one page.
+    characters more than 85 alike to a body within one page; bodies are compared whole.
     """
     fresh = acceptable_terms(terms).withColumn("_name", F.lower("name"))
     named = existing.select("book_id", "page", F.lower("name").alias("_name"))
     fresh = fresh.join(named, ["book_id", "page", "_name"], "left_anti")
     firsts = fresh.groupBy("book_id", "page", "_name").agg(F.min("id").alias("id")).select("id")
     fresh = fresh.join(firsts, "id", "left_semi")
-    head = F.substring("latex", 1, 200)
-    left = fresh.filter(F.length("latex") > 50).select("id", head.alias("text"), "book_id", F.col("page").cast("long").alias("page"))
-    right = existing.filter("latex <> ''").select("id", head.alias("text"), "book_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"))
+    left = fresh.filter(F.length("latex") > 50).select("id", F.col("latex").alias("text"), "book_id", F.col("page").cast("long").alias("page"))
+    right = existing.filter("latex <> ''").select("id", F.col("latex").alias("text"), "book_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"))
     alike = matching_pairs(left, right, ["book_id", "page"], "indel", 85.0).select(F.col("left_id").alias("id"))
     return fresh.join(alike, "id", "left_anti").drop("_name")
 

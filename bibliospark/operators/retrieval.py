@@ -84,12 +84,13 @@ def search_filters(books: DataFrame, msc=None, publisher=None, keywords=None) ->
     return books
 
 
-def hybrid_search(text_hits: DataFrame, vector_hits: DataFrame, pool: int = 1000) -> DataFrame:
-    """(query_id, doc_id, score) of text hits and neighbours: text score + 0.4 (1 + cosine) / 2, best ``pool`` per query."""
+def hybrid_search(text_hits: DataFrame, vector_hits: DataFrame, pool: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of text hits and neighbours: text score + 0.4 (1 + cosine) / 2, all or the best ``pool`` per query."""
     vector = vector_hits.select("query_id", F.col("id").alias("doc_id"), (VECTOR_BOOST * (1 + F.col("cosine")) / 2).alias("_v"))
     both = text_hits.select("query_id", "doc_id", F.col("score").alias("_t")).join(vector, ["query_id", "doc_id"], "full")
     score = F.round(F.coalesce("_t", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)), 6)
-    return top_per_key(both.select("query_id", "doc_id", score.alias("score")), ["query_id"], pool, F.col("score").desc(), "doc_id").drop("rank")
+    scored = both.select("query_id", "doc_id", score.alias("score"))
+    return scored if pool is None else top_per_key(scored, ["query_id"], pool, F.col("score").desc(), "doc_id").drop("rank")
 
 
 def result_page(hits: DataFrame, books: DataFrame, sort_by: str = "relevance", limit: int = 20, offset: int = 0) -> DataFrame:
@@ -183,8 +184,8 @@ def fts_search(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int
     return top_per_key(scores.select("query_id", "doc_id", (-F.col("score")).alias("fts_rank")), ["query_id"], limit, "fts_rank", "doc_id")
 
 
-def phrase_snippets(docs: DataFrame, phrase: str, limit: int = 5, back: int = 15000) -> DataFrame:
-    """(doc_id, hit, page, snippet): the first hits of a phrase, page = last ``[[PAGE_n]]`` within ``back`` characters before.
+def phrase_snippets(docs: DataFrame, phrase: str, limit: int | None = None) -> DataFrame:
+    """(doc_id, hit, page, snippet): all (or the first ``limit``) hits of a phrase, page = last ``[[PAGE_n]]`` before it.
 
     Works on the marked text: -100 characters before the opening mark to +150 after the closing one begins.
     """
@@ -192,10 +193,10 @@ def phrase_snippets(docs: DataFrame, phrase: str, limit: int = 5, back: int = 15
     marked = F.replace("content", F.lit(phrase), F.lit(open_mark + phrase + close_mark))
     hits = docs.filter(F.contains("content", F.lit(phrase))).select("doc_id", marked.alias("_m")).withColumn("_parts", F.split("_m", open_mark))
     starts = F.transform(
-        F.sequence(F.lit(1), F.least(F.size("_parts") - 1, F.lit(limit))),
+        F.sequence(F.lit(1), F.size("_parts") - 1 if limit is None else F.least(F.size("_parts") - 1, F.lit(limit))),
         lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(open_mark))
     rows = hits.select("doc_id", "_m", F.posexplode(starts).alias("hit", "_at"))
-    before = F.substring("_m", F.greatest(F.col("_at") - back, F.lit(0)) + 1, F.least(F.col("_at"), F.lit(back)))
+    before = F.substring("_m", F.lit(1), F.col("_at"))
     first = F.greatest(F.col("_at") - 100, F.lit(0))
     last = F.col("_at") + len(open_mark + phrase) + 150
     page = F.element_at(F.array_insert(F.regexp_extract_all(before, F.lit(r"\[\[PAGE_(\d+)\]\]"), F.lit(1)), 1, F.lit("?")), -1)

@@ -67,7 +67,7 @@ def msc_timeline(t):
 @query("bridge_authors", """
 WITH p AS (SELECT DISTINCT concat('C ', c) AS author, code FROM (SELECT o_custkey AS c, lpad(CAST(p_size AS VARCHAR), 2, '0') AS code
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey))
-SELECT author, count(*) AS count, string_agg(code, ',' ORDER BY code) AS categories FROM p GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+SELECT author, count(*) AS count, string_agg(code, ',' ORDER BY code) AS categories FROM p GROUP BY 1 HAVING count(*) > 1""")
 def bridge_authors(t):
     books = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(
         F.concat(F.lit("C. "), F.col("o_custkey").cast("string"), F.lit(" ;Various")).alias("author"),

@@ -96,13 +96,13 @@ def page_work_list(t):
 
 
 @query("enrich_candidates", """SELECT o_orderkey AS id, o_orderpriority AS title FROM orders
-WHERE o_orderstatus <> 'P' AND o_orderpriority <> '4-NOT SPECIFIED' AND o_orderkey > 100 ORDER BY id LIMIT 500""")
+WHERE o_orderstatus <> 'P' AND o_orderpriority <> '4-NOT SPECIFIED' AND o_orderkey > 100""")
 def enrich_candidates(t):
     books = t.orders.select(
         F.col("o_orderkey").alias("id"),
         F.expr("CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'Unknown' ELSE o_orderpriority END").alias("title"),
         F.expr("CASE o_orderstatus WHEN 'O' THEN 'raw' WHEN 'P' THEN 'verified' END").alias("metadata_status"))
-    return op.enrich_candidates(books, limit=500, after_id=100).select("id", "title")
+    return op.enrich_candidates(books, after_id=100).select("id", "title")
 
 
 @query("prose_repair_candidates", r"""

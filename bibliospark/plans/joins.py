@@ -25,13 +25,12 @@ def book_detail(t):
 
 
 @query("bibliography_view", """
-SELECT book_id, id, zbl_id, rank, p_name AS zb_title FROM (SELECT l_suppkey AS book_id, l_orderkey * 10 + l_linenumber AS id, l_partkey AS zbl_id,
-  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS rank FROM lineitem) x
-LEFT JOIN (SELECT * FROM part WHERE p_type <> 'PROMO') ON p_partkey = zbl_id WHERE rank <= 50""")
+SELECT book_id, id, zbl_id, p_name AS zb_title FROM (SELECT l_suppkey AS book_id, l_orderkey * 10 + l_linenumber AS id, l_partkey AS zbl_id FROM lineitem) x
+LEFT JOIN (SELECT * FROM part WHERE p_type <> 'PROMO') ON p_partkey = zbl_id""")
 def bibliography_view(t):
     entries = t.lineitem.select(F.col("l_suppkey").alias("book_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("zbl_id"))
     registry = t.part.filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("zbl_id"), F.col("p_name").alias("zb_title"))
-    return op.bibliography_view(entries, registry, order=("id", "zbl_id"))
+    return op.bibliography_view(entries, registry)
 
 
 @query("conflicts_view", """

@@ -33,7 +33,7 @@ WITH p AS (SELECT DISTINCT user_id AS book_id, datediff('day', TIMESTAMP '2024-0
 q AS (SELECT * FROM p JOIN (SELECT user_id AS book_id, min(datediff('day', TIMESTAMP '2024-01-01', ts)) + 2 AS lo FROM events GROUP BY 1) USING (book_id) WHERE page >= lo),
 r AS (SELECT book_id, min(page) AS s, max(page) AS e FROM (SELECT book_id, page, page - row_number() OVER (PARTITION BY book_id ORDER BY page) AS g FROM q) GROUP BY book_id, g),
 f AS (SELECT book_id, min(s) AS lo, max(e) AS hi, min(s) FILTER (e - s >= 4) AS fs, arg_min(e, s) FILTER (e - s >= 4) AS fe FROM r GROUP BY 1),
-b AS (SELECT book_id, coalesce(fs, lo) AS block_start, least(coalesce(fe, hi), coalesce(fs, lo) + 25) AS block_end FROM f)
+b AS (SELECT book_id, coalesce(fs, lo) AS block_start, coalesce(fe, hi) AS block_end FROM f)
 SELECT b.book_id, block_start, block_end, count(*) AS n_pages FROM b JOIN q ON q.book_id = b.book_id AND page BETWEEN block_start AND block_end GROUP BY 1, 2, 3""")
 def contiguous_blocks(t):
     day = F.expr("datediff(cast(ts as date), date'2024-01-01')") + 1
@@ -55,8 +55,7 @@ def numbered(t):
 
 
 OFFSETS = f"""off AS (SELECT book_id, page_offset, votes FROM (SELECT book_id, page - CAST(n AS BIGINT) AS page_offset, count(*) AS votes FROM (
-  SELECT book_id, page, unnest({NUMBERS}) AS n FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n FROM {NUMBERED})
-    WHERE i >= greatest(0, n // 2 - least(n, 20) // 2) AND i < greatest(0, n // 2 - least(n, 20) // 2) + least(n, 20))
+  SELECT book_id, page, unnest({NUMBERS}) AS n FROM {NUMBERED})
   WHERE CAST(n AS BIGINT) > 0 AND CAST(n AS BIGINT) < 2000 GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY votes DESC, abs(page_offset), page_offset DESC) = 1)"""
 
@@ -91,8 +90,8 @@ MARKED = f"""(SELECT book_id, page, CASE WHEN length(content) % 7 = 0 THEN conca
 
 @query("region_detection", f"""
 WITH p AS {MARKED}, n AS (SELECT book_id, max(page) AS n_pages FROM p GROUP BY 1)
-SELECT p.book_id, n_pages, least(n_pages, coalesce(min(page - 1) FILTER (page <= 50 AND (contains(lower(content), 'contents') OR contains(lower(content), 'inhalt') OR contains(lower(content), 'table des matières'))), 0) + 20) AS metadata_end,
-  coalesce(min(page - 1) FILTER (page - 1 >= n_pages - 50 AND (contains(lower(content), 'bibliograph') AND regexp_matches(lower(content), 'bibliography|bibliographie') OR contains(lower(content), 'references') OR contains(lower(content), 'literaturverzeichnis'))), greatest(n_pages - 50, 0)) AS bibliography_start
+SELECT p.book_id, n_pages, least(n_pages, coalesce(min(page - 1) FILTER (contains(lower(content), 'contents') OR contains(lower(content), 'inhalt') OR contains(lower(content), 'table des matières')), 0) + 20) AS metadata_end,
+  coalesce(min(page - 1) FILTER (contains(lower(content), 'bibliograph') AND regexp_matches(lower(content), 'bibliography|bibliographie') OR contains(lower(content), 'references') OR contains(lower(content), 'literaturverzeichnis')), n_pages) AS bibliography_start
 FROM p JOIN n ON n.book_id = p.book_id GROUP BY 1, 2""")
 def region_detection(t):
     size = F.length("content")
@@ -109,7 +108,7 @@ WITH p AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)),
 s AS (SELECT book_id, page, content, max(page) OVER (PARTITION BY book_id) AS n, lower(array_to_string(l[1:3], ' ')) AS h, len(list_filter(l, lambda x: regexp_matches(x, '\d+$'))) / len(l) AS d FROM p WHERE len(l) > 0),
 c AS (SELECT *, greatest(0, CASE WHEN contains(h, 'index') THEN 50 ELSE 0 END + CASE WHEN contains(h, 'subject index') OR contains(h, 'author index') THEN 70 ELSE 0 END
   + CASE WHEN d > 0.15 THEN 20 ELSE 0 END + CASE WHEN d > 0.30 THEN 20 ELSE 0 END - CASE WHEN contains(h, 'bibliography') OR contains(h, 'references') THEN 100 ELSE 0 END) AS score FROM s)
-SELECT book_id, count(*) AS n_pages, md5(string_agg(content, chr(10) ORDER BY page)) AS index_text FROM c WHERE page > n - 50 AND score >= 40 GROUP BY 1""")
+SELECT book_id, count(*) AS n_pages, md5(string_agg(content, chr(10) ORDER BY page)) AS index_text FROM c WHERE score >= 40 GROUP BY 1""")
 def index_page_candidates(t):
     c, lang = F.col("content"), F.col("lang")
     text = (F.when(lang == "de", F.concat(F.lit("Subject Index\n"), c)).when(lang == "fr", F.concat(F.lit("  "), F.replace(c, F.lit("\n"), F.lit(" 7\n")), F.lit(" 12 ")))
@@ -142,7 +141,7 @@ f AS (SELECT 'case1_spanning_proof' AS "case", book_id, page FROM j WHERE regexp
   UNION ALL SELECT 'case3_dense_page', book_id, page FROM j WHERE contains(c, '\begin{{theorem}}') AND contains(c, '\begin{{lemma}}') AND len(string_split(c, '\begin{{proof}}')) > 2
   UNION ALL SELECT 'case4_postponed_proof', book_id, page FROM j WHERE contains(lower(c), '\begin{{proof}}[proof of theorem')
   UNION ALL SELECT 'case5_long_proof', book_id, page FROM j WHERE contains(c, '\begin{{proof}}') AND NOT contains(c, '\end{{proof}}') AND NOT contains(nx, '\end{{proof}}')),
-t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY book_id, page) <= 5),
+t AS (SELECT * FROM f),
 u AS (SELECT book_id, page + unnest([0, 1, 2]) - CASE WHEN "case" = 'case4_postponed_proof' THEN 1 ELSE 0 END AS page FROM t),
 r AS (SELECT book_id, page FROM p WHERE length(trim(c, ' ' || chr(10))) > 100 AND NOT EXISTS (SELECT 1 FROM u WHERE u.book_id = p.book_id AND u.page = p.page) ORDER BY md5(concat('42:', book_id, ':', page)), book_id, page LIMIT 15)
 SELECT * FROM t UNION ALL SELECT 'case6_random', book_id, page FROM r""")
@@ -164,9 +163,17 @@ def locate_passage(t):
     return op.locate_passage(page_markers(t))
 
 
-@query("locate_passage_exact", """SELECT item_id AS needle_id, doc_id AS text_id, position(b.text IN d.text) - 1 AS position FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+@query("locate_passage_exact", """
+WITH b AS (SELECT item_id AS needle_id, text AS needle FROM benchmark UNION ALL SELECT 100000 + item_id, split_part(text, ' ', 3) FROM benchmark UNION ALL SELECT 200000 + item_id, concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) FROM benchmark)
+SELECT needle_id, doc_id AS text_id, position(needle IN d.text) - 1 AS position FROM b JOIN documents d ON contains(d.text, needle) WHERE needle <> ''""")
 def locate_passage_exact(t):
-    return op.locate_in_corpus(t.benchmark.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle")), t.documents.select(F.col("doc_id").alias("text_id"), "text"))
+    def word(i):
+        return F.split_part("text", F.lit(" "), F.lit(i))
+
+    needles = t.benchmark.select(F.explode(F.array(
+        *[F.struct((F.col("item_id") + shift).alias("needle_id"), needle.alias("needle")) for shift, needle in (
+            (0, F.col("text")), (100000, word(3)), (200000, F.concat(word(2), F.lit(" "), word(3))))])).alias("n")).select("n.*").filter("needle <> ''")
+    return op.locate_in_corpus(needles, t.documents.select(F.col("doc_id").alias("text_id"), "text"))
 
 
 ENDED = f"""(SELECT book_id * 10 + page AS id, book_id, page, content, split_part(content, ' ', 2) AS marker, CASE WHEN role = 'user' THEN 'zqz' WHEN length(content) % 3 = 0 THEN NULL ELSE split_part(content, ' ', 6) END AS end_marker FROM {fx.PAGES_SQL})"""
@@ -232,11 +239,10 @@ LISTED = f"""(SELECT book_id, page, concat('Chapter ', page, '.1 ', {fx.TITLE_SQ
 
 
 @query("toc_from_text", rf"""
-WITH l AS (SELECT book_id, page, unnest(range(len(string_split(content, chr(10))))) AS line_no, list_transform(string_split(content, chr(10)), lambda x: trim(x)) AS ls FROM {LISTED} WHERE page <= 20),
-h AS (SELECT book_id, page, line_no, ls[line_no + 1] AS x FROM l WHERE length(ls[line_no + 1]) BETWEEN 5 AND 120 AND regexp_matches(ls[line_no + 1], '^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$')),
-c AS (SELECT book_id, page, coalesce(sum(n) OVER (PARTITION BY book_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT book_id, page, count(*) AS n FROM h GROUP BY 1, 2))
+WITH l AS (SELECT book_id, page, unnest(range(len(string_split(content, chr(10))))) AS line_no, list_transform(string_split(content, chr(10)), lambda x: trim(x)) AS ls FROM {LISTED}),
+h AS (SELECT book_id, page, line_no, ls[line_no + 1] AS x FROM l WHERE length(ls[line_no + 1]) BETWEEN 5 AND 120 AND regexp_matches(ls[line_no + 1], '^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$'))
 SELECT book_id, page, line_no, trim(regexp_extract(x, '^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$', 1)) AS title,
-  CAST(regexp_extract(x, '^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$', 2) AS BIGINT) AS target FROM h JOIN c USING (book_id, page) WHERE before <= 10""")
+  CAST(regexp_extract(x, '^((?:Chapter|Section|Part|Appendix)?\s*[\d\.]+\s+.*?)\s+[\.\s]*(\d+)$', 2) AS BIGINT) AS target FROM h""")
 def toc_from_text(t):
     page = F.col("page").cast("string")
     text = F.concat(F.lit("Chapter "), page, F.lit(".1 "), F.regexp_extract("content", r"^[^.\n]*", 0), F.lit(" .... "), (F.col("page") + 3).cast("string"), F.lit("\n"), "content", F.lit("\n  "), page, F.lit(" Short  9\n"), page, F.lit(". x"))

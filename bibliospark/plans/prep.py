@@ -40,16 +40,16 @@ def embedding_text_concepts(t):
 
 @query("embedding_text_books", """
 WITH c AS (SELECT l_suppkey AS id, string_agg(concat('- ', l_returnflag, l_partkey), chr(10) ORDER BY l_linenumber, o) AS cs FROM (SELECT *, l_orderkey * 10000000 + l_partkey AS o, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey * 10000000 + l_partkey) AS r
-  FROM lineitem WHERE l_linestatus = 'F') WHERE r <= 50 GROUP BY 1)
+  FROM lineitem) GROUP BY 1)
 SELECT s_suppkey AS id, substr(concat_ws(chr(10), concat('Title: ', s_name), CASE WHEN s_nationkey > 5 THEN concat('Author: ', s_nationkey) END, concat('Summary: ', repeat(s_name, 20)), concat('Chapters:', chr(10), cs),
-  concat('Index Keywords: ', substr(repeat(s_name, 80), 1, 1000))), 1, 1800) AS text FROM supplier LEFT JOIN c ON c.id = s_suppkey""")
+  concat('Index Keywords: ', repeat(s_name, 80))), 1) AS text FROM supplier LEFT JOIN c ON c.id = s_suppkey""")
 def embedding_text_books(t):
     books = t.supplier.select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_nationkey") > 5, F.col("s_nationkey").cast("string")).otherwise("").alias("author"),
         F.lit(None).cast("string").alias("msc_class"), F.repeat("s_name", 20).alias("summary"), F.repeat("s_name", 80).alias("index_text"))
-    chapters = t.lineitem.filter("l_linestatus = 'F'").select(
+    chapters = t.lineitem.select(
         F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("page"), (F.col("l_orderkey") * 10000000 + F.col("l_partkey")).alias("id"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("title"))
-    return op.embedding_text_books(books, chapters, max_chars=1800)
+    return op.embedding_text_books(books, chapters)
 
 
 @query("missing_embeddings", "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -68,12 +68,12 @@ def html_to_chunks(t):
 
 
 @query("term_rows_from_output", rf"""
-WITH p AS (SELECT *, split_part(content, ' ', 2) AS w FROM {fx.PAGES_SQL} WHERE role <> 'system'),
+WITH p AS (SELECT *, replace(split_part(content, ' ', 2), chr(10), '-') AS w FROM {fx.PAGES_SQL} WHERE role <> 'system'),
 r AS (SELECT book_id, page, 0 AS block_no, trim(w) AS name, 'theorem' AS kind, 'a b, c' AS used_terms, content AS x, role, w FROM p UNION ALL SELECT book_id, page, 2, concat(w, ' two'), 'definition', '', concat('see  and', chr(10), content), role, w FROM p)
-SELECT book_id, page, block_no, name, kind, used_terms, {STRIP.format('x')} AS latex FROM r WHERE length(name) >= 3 AND NOT contains(w, chr(10))""")
+SELECT book_id, page, block_no, name, kind, used_terms, {STRIP.format('x')} AS latex FROM r WHERE length(name) >= 3""")
 def term_rows_from_output(t):
-    word = F.split_part("content", F.lit(" "), F.lit(2))
-    pages = fx.pages(t).filter(~F.contains(word, F.lit("\n")))
+    word = F.replace(F.split_part("content", F.lit(" "), F.lit(2)), F.lit("\n"), F.lit("-"))
+    pages = fx.pages(t)
     text = F.concat(F.lit("### "), word, F.lit("  (Theorem) \n\nKeywords: a b ,c\n"), "content", F.lit(" Page 12\n### Index (Lemma)\nx\n###  "), word, F.lit(" two(Definition)\n\nsee page 3 and\n"), "content", F.lit("\nIntroduction to modern analysis"))
     raw = F.when(F.col("role") == "system", F.lit("NO_TERMS_FOUND")).when(F.col("role") == "user", F.concat(F.lit("```markdown\n"), text, F.lit("\n```\n"))).otherwise(text)
     return op.term_rows_from_output(pages.select("book_id", "page", raw.alias("raw")))

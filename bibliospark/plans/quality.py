@@ -203,7 +203,7 @@ def language_mismatch(t):
         F.col("doc_id").alias("id"), title.alias("title"), F.when((source == "src2") & (lang == "en"), "x/German/a").when(lang == "fr", "y/(English)/b").otherwise("z").alias("path"),
         F.when(source == "src1", F.concat(F.lit("Algebra "), doc, F.lit(" - Band.pdf"))).when(source == "src2", F.concat(F.lit("Author - Titel "), doc, F.lit(".v2.pdf"))).otherwise("plain.pdf").alias("filename"),
         F.col("text").alias("content"))
-    return op.language_mismatch(books, limit=None)
+    return op.language_mismatch(books)
 
 
 @query("title_filename_conflict")
@@ -213,7 +213,7 @@ def title_filename_conflict(t):
 
 @query("extract_identifiers", rf"""
 WITH p AS (SELECT book_id, page, CASE WHEN role = 'user' AND page > 2 THEN concat(content, ' isbn-13: 978-', lpad(CAST(book_id // 2 AS VARCHAR), 10, '0'), ' ') ELSE content END AS c FROM {fx.PAGES_SQL}),
-x AS (SELECT book_id, regexp_replace(regexp_extract(string_agg(c, '' ORDER BY page), 'ISBN(?:-1[03])?:?\s*([\d\- X]{{10,17}})', 1, 'i'), '[^\dXx]', '', 'g') AS i FROM p WHERE page <= 5 GROUP BY 1),
+x AS (SELECT book_id, regexp_replace(regexp_extract(string_agg(c, '' ORDER BY page), 'ISBN(?:-1[03])?:?\s*([\d\- X]{{10,17}})', 1, 'i'), '[^\dXx]', '', 'g') AS i FROM p GROUP BY 1),
 y AS (SELECT book_id, CASE WHEN length(i) IN (10, 13) THEN i END AS isbn FROM x),
 f AS (SELECT DISTINCT book_id, CASE WHEN book_id % 3 = 0 THEN concat('2101.', lpad(CAST(book_id AS VARCHAR), 5, '0')) WHEN book_id % 3 = 1 THEN concat('math-ph/', lpad(CAST(book_id AS VARCHAR), 7, '0')) END AS arxiv_id FROM p)
 SELECT f.book_id, isbn, arxiv_id, CASE WHEN isbn IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY isbn) END AS same_isbn FROM f LEFT JOIN y ON y.book_id = f.book_id""")

@@ -94,12 +94,11 @@ def catalogue(t):
 
 
 @query("hybrid_search", f"""WITH {BM25}, {knn_sql(100, ASKED, 'embeddings')}, {HYBRID},
-pool AS (SELECT * FROM hyb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 1000),
 r AS (SELECT query_id, doc_id, score, title, author, year, count(*) OVER (PARTITION BY query_id) AS total,
-  row_number() OVER (PARTITION BY query_id ORDER BY year DESC, score DESC, doc_id) AS position FROM pool JOIN {fx.BOOKS_SQL} b ON b.id = doc_id)
+  row_number() OVER (PARTITION BY query_id ORDER BY year DESC, score DESC, doc_id) AS position FROM hyb JOIN {fx.BOOKS_SQL} b ON b.id = doc_id)
 SELECT * FROM r WHERE position > 5 AND position <= 25""")
 def hybrid_search(t):
-    hits = op.hybrid_search(searched(t), vectors.knn(corpus(t), query_vectors(t), 100, DIM), 1000)
+    hits = op.hybrid_search(searched(t), vectors.knn(corpus(t), query_vectors(t), 100, DIM))
     return op.result_page(hits.join(catalogue(t).select("doc_id"), "doc_id", "left_semi"), catalogue(t), "year", limit=20, offset=5)
 
 
@@ -108,7 +107,7 @@ FILTERED = "(SELECT * FROM documents WHERE starts_with(lang, 'e') AND source = '
 
 @query("search_filters", f"""WITH {BM25}, f AS (SELECT doc_id FROM {FILTERED}),
 {knn_sql(100, ASKED, '(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ' + FILTERED + '))')},
-{HYBRID} SELECT query_id, doc_id, score FROM hyb WHERE doc_id IN (FROM f) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 1000""")
+{HYBRID} SELECT query_id, doc_id, score FROM hyb WHERE doc_id IN (FROM f)""")
 def search_filters(t):
     docs = search_docs(t).withColumnsRenamed({"lang": "msc_class", "source": "publisher"})
     kept = op.search_filters(docs, msc="e", publisher="src1").select("doc_id")
@@ -197,9 +196,9 @@ MARKED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x,
 @query("phrase_snippets", rf"""
 WITH d AS (SELECT doc_id, replace({MARKED}, 'the ', '<b>the </b>') AS m FROM documents WHERE contains({MARKED}, 'the ')),
 p AS (SELECT doc_id, m, string_split(m, '<b>') AS parts FROM d),
-h AS (SELECT doc_id, m, parts, unnest(range(least(len(parts) - 1, 5))) AS hit FROM p),
+h AS (SELECT doc_id, m, parts, unnest(range(len(parts) - 1)) AS hit FROM p),
 a AS (SELECT doc_id, m, hit, CAST(list_sum(list_transform(parts[1:hit + 1], lambda x: length(x))) + hit * 3 AS BIGINT) AS o FROM h)
-SELECT doc_id, hit, coalesce(list_last(regexp_extract_all(substr(m, greatest(o - 15000, 0) + 1, least(o, 15000)), '\[\[PAGE_(\d+)\]\]', 1)), '?') AS page,
+SELECT doc_id, hit, coalesce(list_last(regexp_extract_all(substr(m, 1, o), '\[\[PAGE_(\d+)\]\]', 1)), '?') AS page,
   replace(substr(m, greatest(o - 100, 0) + 1, o + 157 - greatest(o - 100, 0)), chr(10), ' ') AS snippet FROM a""")
 def phrase_snippets(t):
     marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[[PAGE_"), (i + 1).cast("string"), F.lit("]]"), x)), "\n")
@@ -341,11 +340,11 @@ def anchor_residue(t):
 
 
 @query("calibrate_thresholds", f"""
-WITH s AS (SELECT * FROM {TERM_VECS} ORDER BY md5(concat('c', vec_id)), vec_id LIMIT 200), m AS (SELECT a.vec_id, (1 + max({COSINE})) / 2 AS s FROM s a, {CONCEPT_VECS} b GROUP BY 1)
+WITH s AS (SELECT * FROM {TERM_VECS} ), m AS (SELECT a.vec_id, (1 + max({COSINE})) / 2 AS s FROM s a, {CONCEPT_VECS} b GROUP BY 1)
 SELECT round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(min(s), 6) AS min, round(max(s), 6) AS max, round(quantile_cont(s, 0.25), 6) AS p25, round(quantile_cont(s, 0.6), 6) AS p60,
   round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.9), 6) AS p90 FROM m""")
 def calibrate_thresholds(t):
-    return anchoring.calibrate_thresholds(term_vectors(t), concept_vectors(t), DIM, "c")
+    return anchoring.calibrate_thresholds(term_vectors(t), concept_vectors(t), DIM)
 
 
 @query("concept_terms", f"""SELECT lang AS kind, count(*) AS n, string_agg({fx.TITLE_SQL}, '; ' ORDER BY {fx.TITLE_SQL}) AS names FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 3 GROUP BY 1""")
