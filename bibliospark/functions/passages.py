@@ -1,8 +1,14 @@
-"""Approximate location of a marker inside one page (small per-row helpers behind Arrow functions)."""
+"""Approximate location of a marker inside one page (small per-row helpers behind Arrow functions).
+
+Text and marker are reduced to one comparable form: letters and digits, lower case, command names out. The form keeps
+the source offset of each of its characters, so a hit in it is a position in the page. What is not found that way is
+aligned: every place that a word of the marker proposes is scored, or every place of the page if no word survived.
+"""
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,81 +16,69 @@ from pyspark.sql import types as T
 
 from bibliospark.functions.similarity import Subsequence, partial
 
-MACRO = re.compile(r"\\[a-z]+\{([^}]*)\}")
-CLEAN = str.maketrans("~=", "  ", "$\\{}")
-OPTION_MACRO = re.compile(r"\\[a-z]+(\[[^\]]*\])?\{([^}]*)\}")
+COMMAND = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?")
+WORD = re.compile(r"[^\W_]+")
+SLACK = 40
+
 
+class Form:
+    """The comparable form of a text: ``text`` and, for each of its characters, the offset in the source."""
 
-def plain(text: str) -> str:
-    """Macros, math signs and braces out, blanks squeezed, lower case."""
-    text = MACRO.sub(r"\1", text).translate(str.maketrans("", "", "$\\{}"))
-    return re.sub(r"\s+", " ", text).strip().lower()
+    def __init__(self, source: str):
+        skipped = [False] * len(source)
+        for m in COMMAND.finditer(source):
+            skipped[m.start() : m.end()] = [True] * (m.end() - m.start())
+        chars = [(c, i) for i, ch in enumerate(source) if not skipped[i] and ch.isalnum() for c in ch.lower() if c.isalnum()]
+        self.text = "".join(c for c, _ in chars)
+        self.offsets = [i for _, i in chars]
 
 
-def plainer(text: str) -> str:
-    """As ``plain``, but argument-less macros go too and ``~`` and ``=`` become blanks."""
-    if "\\" in text:
-        text = re.sub(r"\\[a-z]+", " ", OPTION_MACRO.sub(r"\2", text))
-    return " ".join(text.translate(CLEAN).split()).lower()
+def words_of(text: str) -> list[tuple[str, int]]:
+    return [(m.group(), m.start()) for m in WORD.finditer(text)]
 
 
-def anchored(text: str, marker: str, size: int, window: int, alphabet: str) -> int:
-    """First position from where ``window`` characters, letters and digits only, begin like the marker."""
-    head = re.sub(r"\s+", "", marker)[:size]
-    if head:
-        for i in range(len(text) - size):
-            if re.sub(f"[^{alphabet}]", "", text[i : i + window]).lower().startswith(head):
-                return i
-    return -1
+def proposed_starts(text: str, marker: str) -> list[int]:
+    """Places where the marker would begin if one of its words stood at the same word of the text; all without a common word."""
+    places: dict[str, list[int]] = {}
+    for word, at in words_of(marker):
+        if len(word) >= 3:
+            places.setdefault(word, []).append(at)
+    starts = {max(0, at - inside) for word, at in words_of(text) for inside in places.get(word, ())}
+    last = max(0, len(text) - len(marker))
+    return sorted({min(s, last) for s in starts}) if starts else list(range(last + 1))
 
 
-def best_window(text: str, marker: str, width: int, least: float, view) -> int:
-    """Start of the best window in steps of 5 with a partial ratio above ``least``.
+def aligned(text: str, marker: str, least: float, starts: list[int] | None = None) -> int:
+    """The first start of the window with the best partial ratio above ``least``, -1 if none.
 
-    A window is scored only if the common subsequence with the marker leaves it a chance.
+    A window is scored only if its common subsequence with the marker leaves it a chance to beat the best so far.
     """
-    best, best_at, common_with = least, -1, Subsequence(marker)
-    for i in range(0, len(text) - len(marker), 5):
-        part = view(text[i : i + width])
-        common = common_with.length(part)
-        if len(marker) + common and 200.0 * common / (len(marker) + common) > best:
-            score = partial(marker, part, best)
+    best, found, common = least, -1, Subsequence(marker)
+    for start in proposed_starts(text, marker) if starts is None else starts:
+        window = text[start : start + len(marker) + SLACK]
+        shared = common.length(window)
+        if 200.0 * shared > best * (len(marker) + shared):
+            score = partial(marker, window, best)
             if score > best:
-                best, best_at = score, i
-    return best_at
+                best, found = score, start
+    return found
 
 
-def find_marker(text: str, marker: str) -> int:
-    """Position of a marker that is not in the text verbatim: normalised first, then fuzzy; -1 if absent."""
-    if not marker:
+def locate(text: str, marker: str, least: float = 85.0) -> int:
+    """Position of a marker that is not in the text verbatim; -1 if absent or if the marker holds no letter or digit."""
+    page, wanted = Form(text), Form(marker)
+    if not wanted.text:
         return -1
-    wanted = plain(marker)
-    if wanted and wanted in plain(text):
-        at = anchored(text, wanted, 8, 30, "a-zA-Z0-9")
-        if at >= 0:
-            return at
-    return best_window(text, marker.lower(), len(marker) + 40, 85.0, str.lower)
-
-
-def recover_marker(text: str, marker: str) -> int:
-    """As ``find_marker`` with the stronger normalisation used for recovery."""
-    wanted = plainer(marker) if marker else ""
-    if not wanted:
-        return -1
-    if wanted in plainer(text):
-        at = anchored(text.lower(), wanted, 12, 60, "a-z0-9")
-        if at >= 0:
-            return at
-    return best_window(text, wanted, len(marker) + 50, 85.0, plainer)
-
-
-def _positions(fn):
-    @F.pandas_udf(T.IntegerType())
-    def batch(text: pd.Series, marker: pd.Series) -> pd.Series:
-        return pd.Series([-1 if t is None or m is None else fn(t, m) for t, m in zip(text, marker)], dtype="int32")
-
-    return batch
-
-
-marker_position = _positions(find_marker)
-recovery_position = _positions(recover_marker)
+    at = page.text.find(wanted.text)
+    if at >= 0:
+        return page.offsets[at]
+    lower = text.lower()
+    at = aligned(lower, marker.lower(), least)
+    if at < 0 or len(lower) == len(text):
+        return at
+    return [i for i, n in enumerate(accumulate(len(ch.lower()) for ch in text)) if n > at][0]
+
+
+@F.pandas_udf(T.IntegerType())
+def marker_position(text: pd.Series, marker: pd.Series) -> pd.Series:
+    return pd.Series([-1 if t is None or m is None else locate(t, m) for t, m in zip(text, marker)], dtype="int32")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
-from bibliospark.functions.passages import marker_position, recovery_position
+from bibliospark.functions.passages import marker_position
 from bibliospark.operators.blocking import containment_join
 from bibliospark.partitioning import halo_buckets, rank_in_key, runs, spread, top_per_key
 
@@ -228,7 +228,7 @@ def recover_placeholders(terms: DataFrame, pages: DataFrame, fuzzy: bool = True,
     rows = near.withColumn("_at", at)
     hits = rows.filter("_at >= 0")
     if fuzzy:
-        hits = hits.unionByName(spread(rows.filter("_at < 0"), "id", "page").withColumn("_at", recovery_position("content", "marker")).filter("_at >= 0"))
+        hits = hits.unionByName(spread(rows.filter("_at < 0"), "id", "page").withColumn("_at", marker_position("content", "marker")).filter("_at >= 0"))
     body = F.expr("substring(content, _at + 1)")
     return hits.groupBy("id").agg(F.min_by(F.struct("page", body.alias("body")), "page").alias("_h")).select("id", "_h.*")
 

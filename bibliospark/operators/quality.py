@@ -102,7 +102,7 @@ def latex_lint(terms: DataFrame, nesting: bool = True) -> DataFrame:
         "id", F.when(empty, F.array(F.lit("Empty LaTeX code"))).otherwise(F.concat(F.array_compact(F.array("_env")), "_other")).alias("errors"))
     if not nesting:
         return plain
-    return plain.unionByName(rows.filter(nested).select("id", F.concat(environment_errors("latex"), "_other").alias("errors")))
+    return plain.unionByName(rows.filter(nested).select("id", F.concat(environment_errors(F.col("latex")), "_other").alias("errors")))
 
 
 def latex_lint_simple(latex: str | Column) -> Column:

@@ -46,21 +46,31 @@ def token_weights(queries: DataFrame, df: DataFrame, stats: DataFrame, boosts: d
 
 
 def bm25_scores(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: dict[str, float], combine: str = "best",
-                df: DataFrame | None = None, idf: str = "lucene") -> DataFrame:
+                df: DataFrame | None = None, idf: str = "lucene", all_words: bool = False, scope: tuple[str, DataFrame] | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every matching document; ``combine`` takes the best field or the sum of fields.
 
     Postings are cut down to the words asked for before anything is counted or shuffled; what remains meets the small
-    table of weights once and is summed by (query, document).
+    table of weights once and is summed by (query, document). ``all_words`` keeps documents that hold every word of the
+    query in some field, counted in the same aggregate. ``scope`` is a column of the queries and a table (doc_id, column):
+    a query then meets the documents of its own scope only, with the word statistics of all.
     """
     asked = post.join(query_tokens(queries).select("token").distinct(), "token", "left_semi").filter(F.col("field").isin(list(boosts)))
-    weights = token_weights(queries, token_stats(asked) if df is None else df, stats, boosts, idf)
+    weights, keys = token_weights(queries, token_stats(asked) if df is None else df, stats, boosts, idf), ["field", "token"]
+    if scope is not None:
+        column, places = scope
+        weights, asked, keys = weights.join(queries.select("query_id", column), "query_id"), asked.join(places.select("doc_id", column), "doc_id"), [*keys, column]
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("weight") * tf / (tf + 1.2 * (0.25 + 0.75 * dl / F.col("avgdl")))
     fields = [F.coalesce(F.sum(F.when(F.col("field") == f, part)), F.lit(0.0)) for f in boosts]
     total = fields[0]
     for f in fields[1:]:
         total = F.greatest(total, f) if combine == "best" else total + f
-    return asked.join(weights, ["field", "token"]).groupBy("query_id", "doc_id").agg(F.round(total, 6).alias("score"))
+    held = F.size(F.collect_set("token")) if len(boosts) > 1 else F.count(F.lit(1))
+    scored = asked.join(weights, keys).groupBy("query_id", "doc_id").agg(F.round(total, 6).alias("score"), *([held.alias("_held")] if all_words else []))
+    if not all_words:
+        return scored
+    need = query_tokens(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
+    return scored.join(need, "query_id").filter("_held = _need").select("query_id", "doc_id", "score")
 
 
 def bm25_search(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 50, **options) -> DataFrame:
@@ -102,39 +112,57 @@ def result_page(hits: DataFrame, books: DataFrame, sort_by: str = "relevance", l
     return ranked.filter(F.col("position") > offset).join(totals, "query_id")
 
 
-NUMBERS = re.compile(r"[\s,]*(\d+(?:[\s,–\.-]+\d+)*)")
+NUMBERS = r"[\s,]*(\d+(?:[\s,–\.-]+\d+)*)"
 
 
-def pages_after(index_text: str, query: str) -> str | None:
-    """Page numbers in the 300 characters after the first useful hit of the query and of its hyphen variants."""
-    variants = [query] + [query.replace(a, b) for a, b in (("-", " "), (" ", "-")) if a in query]
-    found: dict[str, None] = {}
-    for variant in variants:
-        for hit in re.finditer(re.escape(variant), index_text, re.IGNORECASE):
-            for number in NUMBERS.findall(index_text[hit.end() : hit.end() + 300]):
-                cleaned = number.strip(" .,-")
-                if cleaned:
-                    found.setdefault(cleaned)
-            if found:
-                break
-    return ", ".join(found) or None
+def index_pages(index_text: str | Column, query: str | Column, reach: int = 300) -> Column:
+    """Page numbers that follow the query in a back-of-book index, joined by comma; null without any.
 
+    Of the query and its spellings with blanks or hyphens exchanged, each gives the numbers in the ``reach`` characters
+    after its first occurrence that has any; once numbers are known, a further spelling gives those of its first one.
+    """
+    text, query = F.lower(index_text), F.lower(query)
+
+    def numbers_after(spelling: Column) -> Column:  # one array of numbers per occurrence
+        def occurrences(pieces: Column) -> Column:
+            def numbers(i: Column) -> Column:
+                end = F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + i * F.length(spelling)
+                found = F.regexp_extract_all(F.substring(text, end + 1, F.lit(reach)), F.lit(NUMBERS), F.lit(1))
+                return F.filter(F.transform(found, lambda x: F.btrim(x, F.lit(" .,-"))), lambda x: x != "")
+
+            return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), numbers))
+
+        quoted = F.concat(F.lit("\\Q"), F.replace(spelling, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return tx.let(F.split(text, quoted, -1), occurrences)
+
+    nothing = F.array().cast("array<string>")
 
-@F.pandas_udf(T.StringType())
-def index_pages(index_text: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([pages_after(t, q) if t and q else None for t, q in zip(index_text, query)], dtype="object")
+    def extended(before: Column, spelling: Column) -> Column:
+        def more(found: Column) -> Column:
+            useful = F.get(F.filter(found, lambda x: F.size(x) > 0), F.lit(0))
+            return F.concat(before, F.coalesce(F.when(F.size(before) > 0, F.get(found, F.lit(0))).otherwise(useful), nothing))
+
+        return tx.let(numbers_after(spelling), more)
+
+    spelled = [query] + [F.when(F.contains(query, F.lit(a)), F.replace(query, F.lit(a), F.lit(b))) for a, b in (("-", " "), (" ", "-"))]
+    def with_spelling(spelling: Column):
+        return lambda before: extended(before, spelling)
+
+    known = extended(nothing, spelled[0])
+    for spelling in spelled[1:]:
+        known = tx.let(known, with_spelling(spelling))
+    return tx.let(F.array_distinct(known), lambda x: F.when((query != "") & (F.size(x) > 0), F.array_join(x, ", ")))
 
 
 def index_lookup(hits: DataFrame) -> DataFrame:
     """Search hits (query, index_text, score) with their index pages and half a point for having any.
 
-    Only rows whose index holds the query or a hyphen variant reach Python.
+    The spellings are only looked up in texts that hold one of them.
     """
     text, query = F.lower("index_text"), F.lower("query")
     holds = F.contains(text, query) | F.contains(text, F.replace(query, F.lit("-"), F.lit(" "))) | F.contains(text, F.replace(query, F.lit(" "), F.lit("-")))
-    held = hits.filter(holds).withColumn("index_matches", index_pages("index_text", "query"))
-    rest = hits.filter(~F.coalesce(holds, F.lit(False))).withColumn("index_matches", F.lit(None).cast("string"))
-    return held.unionByName(rest).withColumn("score", F.col("score") + F.when(F.col("index_matches").isNotNull(), 0.5).otherwise(0.0))
+    matched = hits.withColumn("index_matches", F.when(holds, index_pages("index_text", "query")))
+    return matched.withColumn("score", F.col("score") + F.when(F.col("index_matches").isNotNull(), 0.5).otherwise(0.0))
 
 
 def word_pattern(words: str | Column) -> Column:
@@ -149,11 +177,12 @@ def highlight(content: str | Column, words: str | Column, before: str = "<b>", a
     return F.regexp_replace(F.substring(content, start, F.lit(width)), pattern, F.lit(before + "$1" + after))
 
 
-def search_within(scores: DataFrame, pages: DataFrame, queries: DataFrame, limit: int = 50, snippets: bool = True) -> DataFrame:
-    """Best pages of the asked book per query: scores from the whole corpus, then the book filter.
+def search_within(post: DataFrame, stats: DataFrame, pages: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 50, snippets: bool = True) -> DataFrame:
+    """Best pages of the asked book per query; word statistics are those of the whole corpus, other books are not scored.
 
-    scores(query_id, doc_id, score), pages(doc_id, book_id, page, content), queries(query_id, query, book_id).
+    pages(doc_id, book_id, page, content), queries(query_id, query, book_id).
     """
+    scores = bm25_scores(post, stats, queries, boosts, scope=("book_id", pages))
     asked = queries.select("query_id", "book_id", tx.tokens("query").alias("_words"))
     inside = scores.join(pages, "doc_id").join(asked, ["query_id", "book_id"])
     best = top_per_key(inside, ["query_id"], limit, F.col("score").desc(), "page")
@@ -162,14 +191,6 @@ def search_within(scores: DataFrame, pages: DataFrame, queries: DataFrame, limit
     return best.drop("_words", "content")
 
 
-def all_words_hits(post: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of documents that hold every word of the query in some field."""
-    words = query_tokens(queries).select("query_id", "token")
-    need = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
-    have = post.select("doc_id", "token").distinct().join(words, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_have"))
-    return have.join(need, "query_id").filter("_have = _need").select("query_id", "doc_id")
-
-
 def word_snippet(content: str | Column, words: str | Column, size: int = 40) -> Column:
     """``size`` blank-separated words from the first hit on, words with a hit between ``**``."""
     content, pattern = tx.column(content), word_pattern(words)
@@ -180,7 +201,7 @@ def word_snippet(content: str | Column, words: str | Column, size: int = 40) ->
 
 def fts_search(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20, field: str = "content") -> DataFrame:
     """Documents holding all words, best rank first; the rank is negative, smaller is better."""
-    scores = bm25_scores(post, stats, queries, {field: 1.0}, idf="fts").join(all_words_hits(post, queries), ["query_id", "doc_id"], "left_semi")
+    scores = bm25_scores(post, stats, queries, {field: 1.0}, idf="fts", all_words=True)
     return top_per_key(scores.select("query_id", "doc_id", (-F.col("score")).alias("fts_rank")), ["query_id"], limit, "fts_rank", "doc_id")
 
 

@@ -2,7 +2,7 @@
 
 The smaller side is packed into blocks of about ``block`` rows, the larger is packed batch by batch where it lies, and
 the two meet in an equi-join on the block number. Each task multiplies one corpus block with one query block and emits
-at most the best k of every query (plus ties), so neither a row-by-row product nor a whole side is ever materialised.
+exactly the best k of every query (equal cosines by id), so neither a row-by-row product nor a whole side is ever materialised.
 A single travelling block is small enough for Spark to broadcast, and then the large side is not shuffled at all.
 """
 
@@ -43,9 +43,13 @@ def _best(k: int):
         for frame in frames:
             for ids, vecs, queries, query_vecs in zip(frame["ids"], frame["vecs"], frame["qids"], frame["qvecs"]):
                 scores = np.nan_to_num(_unit(query_vecs) @ _unit(vecs).T, nan=-2.0)
-                cut = np.partition(scores, max(scores.shape[1] - k, 0), axis=1)[:, max(scores.shape[1] - k, 0)]
-                rows, cols = np.nonzero((scores >= cut[:, None] - 1e-6) & (scores > -2.0))
-                yield pd.DataFrame({"query_id": np.asarray(queries)[rows], "id": np.asarray(ids)[cols], "cosine": scores[rows, cols]})
+                by_id = np.argsort(np.asarray(ids), kind="stable")  # equal cosines stay in order of id
+                scores, ids = np.round(scores[:, by_id], 6), np.asarray(ids)[by_id]
+                cols = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, cols, 1)
+                rows = np.repeat(np.arange(len(queries)), cols.shape[1]).reshape(cols.shape)
+                real = found > -2.0
+                yield pd.DataFrame({"query_id": np.asarray(queries)[rows[real]], "id": ids[cols[real]], "cosine": found[real]})
 
     return best
 

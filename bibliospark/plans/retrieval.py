@@ -149,8 +149,7 @@ SELECT * FROM (SELECT s.query_id, q.book_id, doc_id, doc_id - q.book_id * 10 AS
   FROM scores s JOIN {PAGE_QUERIES} q ON q.query_id = s.query_id AND q.book_id = doc_id // 10) WHERE rank <= 50""")
 def search_within(t):
     post, stats = page_index(t)
-    scores = op.bm25_scores(post, stats, page_queries(t), {"content": 1.0})
-    return op.search_within(scores, page_docs(t).select("doc_id", "book_id", "page", "content"), page_queries(t), snippets=False)
+    return op.search_within(post, stats, page_docs(t).select("doc_id", "book_id", "page", "content"), page_queries(t), {"content": 1.0}, snippets=False)
 
 
 SHORT_QUERIES = f"(SELECT conv_id * 10 AS query_id, array_to_string({TOKENS.format('text')}[1:2], ' ') AS query FROM conversations WHERE turn = 1)"

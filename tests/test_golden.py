@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
-from bibliospark.functions.latex import drop_environment, nesting_errors
+from bibliospark.functions.latex import drop_environment, environment_errors
 from bibliospark.functions.markup import html_to_text
 from bibliospark.functions.similarity import ratio, token_set
 from bibliospark.operators import filters, matcher, quality, resolve, retrieval, vectors
@@ -152,7 +152,8 @@ def test_file_listing(spark):
 
 
 def test_latex_helpers(spark):
-    assert nesting_errors(r"\begin{a}\begin{b}\end{a}\end{b}") == [r"Environment nesting error: expected \end{b}, found \end{a}", r"Environment nesting error: expected \end{a}, found \end{b}"]
+    crossed = spark.createDataFrame([(r"\begin{a}\begin{b}\end{a}\end{b}",)], "x string").select(environment_errors(F.col("x"))).first()[0]
+    assert crossed == [r"Environment nesting error: expected \end{b}, found \end{a}", r"Environment nesting error: expected \end{a}, found \end{b}"]
     assert drop_environment(r"x\begin{p}a\begin{p}b\end{p}c\end{p}y\begin{p}z", "p", "-") == "x-y-"
     rows = spark.createDataFrame([(1, r"\begin{a}{x}\end{a} $y$"), (2, ""), (3, r"\end{b}\begin{b}"), (4, r"a & b $")], "id long, latex string")
     got = {r["id"]: list(r["errors"]) for r in quality.latex_lint(rows).collect()}

@@ -1,5 +1,7 @@
 """Registry link, insert filter, enrichment and file-name conflicts on small cases."""
 
+from pyspark.sql import functions as F
+
 from bibliospark.operators import joins, quality, resolve
 
 
@@ -38,3 +40,16 @@ def test_enrich_from_registry(spark):
 def test_title_filename_conflict(spark):
     books = spark.createDataFrame([(1, "Real Analysis", "folland real_analysis.pdf"), (2, "Topology", "zzz.djv")], "id long, title string, filename string")
     assert {r["id"] for r in quality.title_filename_conflict(books).collect()} == {2}
+
+
+def test_knn_emits_k_per_query_and_block_for_equal_vectors(spark):
+    from bibliospark.operators import vectors
+
+    corpus = spark.range(5000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "query_id long, vec array<double>")
+    got = [(r.query_id, r.id) for r in vectors.knn(corpus, queries, 3, 2, block=500).orderBy("query_id", "rank").collect()]
+    assert got == [(q, i) for q in (1, 2) for i in range(3)]
+    import pandas as pd
+
+    block = pd.DataFrame({"ids": [list(range(1000))], "vecs": [[[1.0, 2.0]] * 1000], "qids": [[1, 2]], "qvecs": [[[1.0, 2.0], [2.0, 1.0]]]})
+    assert [len(f) for f in vectors._best(3)(iter([block]))] == [6]

@@ -3,7 +3,7 @@
 import random
 
 from bibliospark.functions.similarity import lcs_length, partial, ratio, token_set
-from bibliospark.functions.passages import best_window, find_marker, recover_marker
+from bibliospark.functions.passages import Form, aligned, locate
 
 
 def brute_lcs(a, b):
@@ -59,21 +59,24 @@ def test_token_set():
     assert token_set("x abc", "x abd") == max(ratio("x abc", "x abd"), ratio("x", "x abc"), ratio("x", "x abd"))
 
 
-def test_best_window_skips_nothing():
+def test_alignment_skips_nothing():
     rng = random.Random(9)
     for _ in range(40):
         text, marker = words(rng, 80), words(rng, 8)
         expected, at = 50.0, -1
-        for i in range(0, len(text) - len(marker), 5):
-            score = brute_partial(marker, text[i : i + 20])
+        for i in range(len(text) - len(marker)):
+            score = brute_partial(marker, text[i : i + len(marker) + 40])
             if score > expected:
                 expected, at = score, i
-        assert best_window(text, marker, 20, 50.0, str) == at
+        assert aligned(text, marker, 50.0, list(range(len(text) - len(marker)))) == at
 
 
 def test_markers():
     text = "Intro text. Let $x$ be a $compact$  set in the plane, then every cover is finite and so on."
-    assert text[find_marker(text, "be a compact set in") :].startswith("$ be a")
-    assert find_marker(text, "be a cmpact sets in the plane then") >= 0
-    assert find_marker(text, "zzzz qqqq kkkk wwww vvvv") == -1
-    assert recover_marker(text, "let x be a compact") >= 0
+    assert text[locate(text, "be a compact set in") :].startswith("be a $compact$")
+    assert 10 < locate(text, "be a cmpact sets in the plane then") < text.index("compact")
+    assert locate(text, "zzzz qqqq kkkk wwww vvvv") == -1 and locate(text, "$ -") == -1
+    assert text[locate(text, "let x be a compact") :].startswith("Let $x$")
+    damaged = "a \\emph{b}C~d\\section*[x]{E}"
+    assert Form(damaged).text == "abcde" and [damaged[i] for i in Form(damaged).offsets] == ["a", "b", "C", "d", "E"]
+    assert damaged[locate(damaged, "\\textbf{c} d e") :].startswith("C~d")
