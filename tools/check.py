@@ -7,6 +7,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -74,7 +75,8 @@ def main():
                   or (a.startswith("@") and QUERIES[q].__globals__ is not None and MODULE.get(q) == a[1:])]
     names = names or list(QUERIES)
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                               "spark.driver.memory": "12g"})
+                                               "spark.driver.memory": "12g",
+                                               "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     bad = 0
