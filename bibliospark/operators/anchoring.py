@@ -46,6 +46,6 @@ def calibrate_thresholds(terms: DataFrame, concepts: DataFrame, dim: int, seed:
 
 
 def concept_terms(terms: DataFrame, concept_id: int) -> DataFrame:
-    """Terms of a concept by type: (kind, n, names)."""
-    return terms.filter(F.col("concept_id") == concept_id).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"))
+    """Terms of a concept as rows (kind, n, name), n being the size of their type."""
+    own = terms.filter(F.col("concept_id") == concept_id)
+    return own.select("kind", "name").join(own.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind").select("kind", "n", "name")

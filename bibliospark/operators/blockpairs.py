@@ -71,9 +71,9 @@ def matching_pairs(left: DataFrame, right: DataFrame, keys: list[str], scorer: s
                    block: int = 256) -> DataFrame:
     """(left_id, right_id, score) of pairs in a common bucket scoring above ``least``: left/right(id, text, keys).
 
-    ``scorer`` is "sequence" (order of arguments matters) or "indel".
+    ``scorer`` is "sequence" (order of arguments matters) or "indel". A left row has one bucket, so pairs come once.
     """
     meet = _pack(left, keys, block, "l").join(_pack(right, keys, block, "r"), keys)
     columns = meet.select("lids", "ltexts", "rids", "rtexts")
     spread = columns.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInPandas(_evaluate(scorer, least, length_gap), "left_id bigint, right_id bigint, score double").distinct()
+    return spread.mapInPandas(_evaluate(scorer, least, length_gap), "left_id bigint, right_id bigint, score double")

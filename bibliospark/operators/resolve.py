@@ -49,12 +49,11 @@ def duplicate_groups(books: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_report(books: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups of all identifier columns: (kind, key, id, survivor, n)."""
-    out = None
-    for key in keys:
-        part = duplicate_groups(books, key).withColumn("kind", F.lit(key))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Groups of all identifier columns: (kind, key, id, survivor, n), from one scan, one aggregate and one join."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), duplicate_key(k).cast("string").alias("key")) for k in keys])).alias("_k")
+    rows = books.select("id", F.struct(survivor_rank().alias("rank"), F.col("id")).alias("_order"), each).select("id", "_order", "_k.*").filter("key IS NOT NULL")
+    groups = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("_best")).filter("n > 1")
+    return rows.select("id", "kind", "key").join(groups.select("kind", "key", "n", F.col("_best.id").alias("survivor")), ["kind", "key"])
 
 
 def duplicate_resolve(books: DataFrame, listing: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +104,7 @@ def incoming_duplicate(incoming: DataFrame, catalogue: DataFrame, ignore_unsorte
     open_rows = cut_lineage(
         rows.filter("match_id IS NULL").select("id", word.alias("_w"), F.lower(F.coalesce("author", F.lit(""))).alias("_a")).filter(F.length("_w") > 4))
     needles = open_rows.select(F.struct("_w", "_a").alias("needle_id"), F.col("_w").alias("title"), F.col("_a").alias("author")).distinct()
-    texts = catalogue.select(F.col("id").alias("text_id"), F.lower("title").alias("title"), F.lower(F.coalesce("author", F.lit(""))).alias("author"))
+    texts = catalogue.groupBy(F.lower("title").alias("title"), F.lower(F.coalesce("author", F.lit(""))).alias("author")).agg(F.min("id").alias("text_id"))
     first = title_author_pairs(needles, texts, lambda title: tx.grams(title, 3)).groupBy("needle_id").agg(F.min("text_id").alias("match_id")).select("needle_id.*", "match_id")
     semantic = open_rows.join(first, ["_w", "_a"]).select("id", F.lit("SEMANTIC").alias("kind"), "match_id")
     return hashed.unionByName(semantic)

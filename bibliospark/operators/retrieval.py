@@ -290,11 +290,13 @@ def formula_match(formulas: DataFrame, queries: DataFrame) -> DataFrame:
     Candidates share the rarest literal token of the query; the token pattern decides.
     """
     keyed = formulas.select("id", "formula").withColumn("text_id", F.struct("id", "formula")).withColumn("text", F.col("formula")).select("text_id", "text").distinct()
-    needles = queries.select(F.col("query_id").alias("needle_id"), F.col("query").alias("needle"))
+    asked = queries.select("query_id", "query")
+    needles = asked.select(F.col("query").alias("needle_id"), F.col("query").alias("needle")).distinct()  # equal formulas are searched once
     literals = F.array_distinct(F.filter(formula_tokens("needle"), lambda t: ~t.rlike("^" + WILDCARD + "$")))
     pairs = rare_key_pairs(needles, keyed, literals, F.array_distinct(formula_tokens("text")))
     rows = pairs.join(needles, "needle_id").withColumn("_have", formula_tokens("text_id.formula")).withColumn("_want", formula_tokens("needle"))
-    return rows.filter(formula_fits("_have", "_want")).select(F.col("needle_id").alias("query_id"), "text_id.id").distinct()
+    found = rows.filter(formula_fits("_have", "_want")).select(F.col("needle_id").alias("query"), "text_id.id").distinct()
+    return found.join(asked, "query").select("query_id", "id").distinct()
 
 
 def keyword_and_search(books: DataFrame, query: str, limit: int = 5) -> DataFrame:
@@ -305,10 +307,11 @@ def keyword_and_search(books: DataFrame, query: str, limit: int = 5) -> DataFram
     return books.orderBy("id").limit(limit)
 
 
-def concept_fallback(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Substring search over name and summary."""
+def concept_fallback(concepts: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+    """Substring search over name and summary; the first ``limit`` by id, or all."""
     text = F.lit(query.lower())
-    return concepts.filter(F.contains(F.lower("name"), text) | F.contains(F.lower("summary"), text)).orderBy("id").limit(limit)
+    hits = concepts.filter(F.contains(F.lower("name"), text) | F.contains(F.lower("summary"), text))
+    return hits if limit is None else hits.orderBy("id").limit(limit)
 
 
 def tag_suggestions(notes: DataFrame, registry: DataFrame, prefix: str, limit: int = 10) -> DataFrame:

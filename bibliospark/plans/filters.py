@@ -166,6 +166,13 @@ def metadata_cleanup(t):
     return op.metadata_cleanup(books).select("id", "author", "title", "description")
 
 
+@query("clear_index", """SELECT s_suppkey AS id, CASE WHEN s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3) THEN s_name END AS index_text,
+  CASE WHEN s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3) THEN s_nationkey END AS index_version FROM supplier""")
+def clear_index(t):
+    books = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("index_text"), F.col("s_nationkey").alias("index_version"))
+    return op.clear_index(books, t.lineitem.filter("l_returnflag = 'R' AND l_quantity < 3").select(F.col("l_suppkey").alias("id")))
+
+
 @query("metadata_patch", """
 SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN upper(c_name) ELSE c_name END AS title,
   CASE WHEN c_nationkey < 10 THEN NULL ELSE c_mktsegment END AS author,

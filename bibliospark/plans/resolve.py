@@ -175,12 +175,21 @@ def term_insert_pass2(t):
 CONCEPT_NAME = "CASE p_type WHEN 'PROMO' THEN concat('Theorem 3.1: ', p_name) WHEN 'SMALL' THEN concat('1.', CAST(p_size AS {0}), ' ', p_name) WHEN 'LARGE' THEN upper(p_name) WHEN 'MEDIUM' THEN concat('lemma x ', p_name) ELSE p_name END"
 
 
-@query("concept_merge", rf"""
+MERGE_SQL = rf"""
 WITH c AS (SELECT p_partkey AS id, {CONCEPT_NAME.format('VARCHAR')} AS name, p_brand AS subject_area FROM part),
 d AS (SELECT *, contains(name, ':') OR regexp_matches(lower(name), '^(theorem|lemma|proposition|corollary|definition|example|remark) ') OR regexp_matches(name, '^[1-9]\.') AS dirty FROM c),
 k AS (SELECT *, CASE WHEN dirty THEN trim(regexp_replace(regexp_replace(name, '^(Theorem|Lemma|Proposition|Corollary|Definition|Example|Remark)\s+[0-9.]*\s*[:.]?\s*', ''), '^[0-9][0-9.]*\s*[:.]?\s*', '')) ELSE name END AS clean FROM d),
-g AS (SELECT lower(trim(clean)) AS key, subject_area, coalesce(min(id) FILTER (name = lower(trim(clean))), min(id)) AS survivor FROM k GROUP BY 1, 2 HAVING bool_or(dirty))
-SELECT id, survivor, CASE WHEN id = survivor AND dirty AND clean <> name THEN clean END AS new_name FROM k JOIN g ON g.key = lower(trim(k.clean)) AND g.subject_area = k.subject_area""")
+g AS (SELECT lower(trim(clean)) AS key, subject_area, coalesce(min(id) FILTER (name = lower(trim(clean))), min(id)) AS survivor FROM k GROUP BY 1, 2 HAVING bool_or(dirty)),
+m AS (SELECT id, survivor, CASE WHEN id = survivor AND dirty AND clean <> name THEN clean END AS new_name FROM k JOIN g ON g.key = lower(trim(k.clean)) AND g.subject_area = k.subject_area)"""
+
+
+@query("concept_repoint", MERGE_SQL + " SELECT l_orderkey * 10 + l_linenumber AS id, coalesce(survivor, l_partkey) AS concept_id FROM lineitem LEFT JOIN m ON m.id = l_partkey")
+def concept_repoint(t):
+    terms = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("concept_id"))
+    return op.repoint(terms, concept_merge(t)).select("id", "concept_id")
+
+
+@query("concept_merge", MERGE_SQL + " SELECT * FROM m")
 def concept_merge(t):
     return op.concept_merge(t.part.select(F.col("p_partkey").alias("id"), F.expr(CONCEPT_NAME.format("STRING")).alias("name"), F.col("p_brand").alias("subject_area")))
 

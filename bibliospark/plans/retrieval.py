@@ -254,6 +254,12 @@ PART_FIELDS = f"SELECT p_partkey AS doc_id, 'name' AS field, {TOKENS.format('p_n
 PART_QUERIES = "(SELECT n_nationkey AS query_id, concat(CASE WHEN n_regionkey < 2 THEN 'cold' ELSE 'widget' END, ' Brand ', n_nationkey, ' promo') AS query FROM nation)"
 
 
+@query("concept_fallback", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'cold') OR contains(lower(concat(p_type, ' ', p_brand)), 'brand#1')")
+def concept_fallback(t):
+    concepts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("summary"))
+    return op.concept_fallback(concepts, "Cold", None).select("id").unionByName(op.concept_fallback(concepts, "BRAND#1", None).select("id")).distinct()
+
+
 @query("concept_search", f"""WITH {bm25_sql(PART_FIELDS, {'name': 2.0, 'summary': 1.0}, 'sum', PART_QUERIES)}
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 20""")
 def concept_search(t):
@@ -346,7 +352,7 @@ def calibrate_thresholds(t):
     return anchoring.calibrate_thresholds(term_vectors(t), concept_vectors(t), DIM)
 
 
-@query("concept_terms", f"""SELECT lang AS kind, count(*) AS n, string_agg({fx.TITLE_SQL}, '; ' ORDER BY {fx.TITLE_SQL}) AS names FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 3 GROUP BY 1""")
+@query("concept_terms", f"""SELECT lang AS kind, count(*) OVER (PARTITION BY lang) AS n, {fx.TITLE_SQL} AS name FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 3""")
 def concept_terms(t):
     terms = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id")).select(F.col("label").alias("concept_id"), F.col("lang").alias("kind"), fx.title().alias("name"))
     return anchoring.concept_terms(terms, 3)
