@@ -23,6 +23,37 @@ def query(sql: str | None = None):
     return register
 
 
+SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+WHITE_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, text AS raw, coalesce(concat('=', source), '') AS host, coalesce(text, '') AS text, {SQL_WORDS.format("coalesce(text, '')")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {WHITE_SQL}) <> '') AS l FROM documents),
+g AS (SELECT doc_id, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS tri FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM g) WHERE c > 1) GROUP BY 1),
+x AS (SELECT doc_id, host, raw, len({SQL_WORDS.format('line')}) AS n, regexp_replace(regexp_replace(lower(trim(line, {WHITE_SQL})), '\d', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS line
+  FROM (SELECT doc_id, host, raw, unnest(l) AS line FROM d)),
+h AS (SELECT host, count(DISTINCT raw) AS docs FROM d GROUP BY 1),
+f AS (SELECT q.host, line FROM (SELECT host, line, count(DISTINCT raw) AS held FROM x GROUP BY 1, 2) q JOIN h ON h.host = q.host WHERE held > 20 AND held > docs * 0.02),
+o AS (SELECT doc_id, sum(n) AS n FROM x JOIN f ON f.host = x.host AND f.line = x.line GROUP BY 1),
+b AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(o.n, 0) AS lost FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost >= n_words * 0.3 AS kept FROM b"""
+
+NORMAL_SQL = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')), lambda x: x <> '')".format(
+    SQL_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+
+CONTAINED_SQL = f"""
+WITH i AS (SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {NORMAL_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+s AS (SELECT item_id, n, unnest(list_distinct(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1 : k + n], ' ')))) AS sh FROM i),
+c AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY 1),
+d AS (SELECT doc_id, w, n FROM (SELECT doc_id, {NORMAL_SQL} AS w FROM documents), (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+t AS (SELECT doc_id, n, unnest(list_distinct(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1 : k + n], ' ')))) AS sh FROM d),
+j AS (SELECT doc_id, item_id, count(*) AS n_common FROM s JOIN t USING (n, sh) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item, n_common, n_common / n_item AS containment FROM j JOIN c USING (item_id) WHERE 10 * n_common >= 8 * n_item"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -41,7 +72,7 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.without_repeats(table(spark, folder, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query()
+@query(RULES_SQL)
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(table(spark, folder, "documents")).drop("n_left")
 
@@ -83,6 +114,6 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("_size") * F.size("_takes")).alias("taken"))
 
 
-@query()
+@query(CONTAINED_SQL)
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
