@@ -54,6 +54,25 @@ j AS (SELECT doc_id, item_id, count(*) AS n_common FROM s JOIN t USING (n, sh) G
 SELECT doc_id, item_id, n_item, n_common, n_common / n_item AS containment FROM j JOIN c USING (item_id) WHERE 10 * n_common >= 8 * n_item"""
 
 
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+o AS (SELECT win, min(doc_id) AS own FROM g GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN o USING (win) WHERE own < doc_id),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = u.doc_id AND c.p = u.p) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+LINKS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SQL_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(len(w) - least(3, len(w)) + 1), lambda k: array_to_string(w[k + 1 : k + least(3, len(w))], ' '))) AS l FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, len(l) AS n FROM s), e AS (SELECT doc_id, unnest(l) AS sh FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -67,7 +86,7 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query()
+@query(REPEATS_SQL)
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.without_repeats(table(spark, folder, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -102,7 +121,7 @@ def op7_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
-@query()
+@query(LINKS_SQL)
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked_components(table(spark, folder, "documents")).drop("_row")
 
