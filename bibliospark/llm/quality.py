@@ -42,8 +42,9 @@ def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    inside = np.minimum(np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else
-                        np.arange(len(data)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))]), len(_POWERS) - 1)
+    begun = np.zeros(len(data), np.int64)
+    begun[starts] = starts
+    inside = np.minimum(np.arange(len(data)) - np.maximum.accumulate(begun), len(_POWERS) - 1)
     terms = np.where(SPACE[data], np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * _POWERS[inside])
     return starts, ends, mix(np.add.reduceat(terms, starts))
 
