@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from bibliospark.session import work_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 LAST_ID = 2**63 - 1
 
 
@@ -35,7 +35,7 @@ _hashes = _Hashes()
 
 def ascii_lower(text: str) -> str:
     """A-Z to a-z, everything else as it is."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes have ASCII case only
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -62,9 +62,10 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def rows(*keys: Column | str) -> Column:
-    """Hash of the identifying columns of a row."""
-    return F.xxhash64(*keys)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
 
 
 def fold(column: str = "doc_id") -> Column:
@@ -72,6 +73,18 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 5
 
 
+def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges of about ``chars`` characters, one text at least."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def plain(documents: DataFrame, *more: Column) -> DataFrame:
     """(_id, text): a null id becomes the largest long (see ``restored_id``), a null text the empty one."""
     return documents.select(

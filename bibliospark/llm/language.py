@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, batched, hash_words, mix, plain, restored_id, stored
+from bibliospark.llm.common import LAST_ID, WORD, batched, hash_words, mix, plain, restored_id, slices, stored
 
 DEPTH = 4
-BATCH_CHARS, SHARD_BYTES = 8_000_000, 16_000_000
+BATCH_CHARS, SHARD_BYTES = 3_000_000, 16_000_000
 _HALF, _U8 = np.log(0.5), np.uint64(8)
 
 
@@ -44,17 +44,16 @@ def kt_evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(five-byte strings as 40-bit numbers, text of each): every byte and the closing 0, after four bytes (0 before the start)."""
-    data = np.frombuffer(b"".join(b"\0\0\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(t) + 5 for t in texts), np.int64, len(texts))
-    packed = np.zeros(max(0, len(data) - 4), np.uint64)
-    for i in range(5):
-        packed = (packed << _U8) | data[i : i + len(packed)]
-    inside = np.ones(len(data), bool)
-    starts = np.cumsum(sizes) - sizes
-    for i in range(4):  # strings that run over into the next text
-        inside[starts + sizes - 4 + i] = False
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    return packed[inside[: len(packed)]], owner[: len(packed)][inside[: len(packed)]]
+    data = np.frombuffer(b"".join(b"\0\0\0\0" + t + b"\0" for t in texts), np.uint8)
+    packed = data[: max(0, len(data) - 4)].astype(np.uint64)
+    for i in range(1, 5):
+        packed <<= _U8
+        packed |= data[i : i + len(packed)]
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    inside, ends = np.ones(len(data), bool), np.cumsum(sizes + 4)
+    for i in range(1, 5):  # strings that run over into the next text
+        inside[ends - i] = False
+    return packed[inside[: len(packed)]], np.repeat(np.arange(len(texts)), sizes)
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +94,8 @@ def trained_on(ids: np.ndarray, folds: int, held: int) -> np.ndarray:
 
 
 def tokens_and_bytes(texts) -> tuple[list[np.ndarray], list[bytes]]:
-    lower = [ascii_lower(t) for t in texts]
-    return [hash_words(WORD.findall(t)) for t in lower], [t.encode("utf-8", "replace") for t in lower]
+    raw = [t.encode("utf-8", "replace").lower() for t in texts]  # bytes have ASCII case only
+    return [hash_words(WORD.findall(t.decode("utf-8"))) for t in raw], raw
 
 
 # Nodes of one depth: key = context bytes * 256 + (1 and the bits so far); n0, n1 counts; evidence; share of the node's own estimate.
@@ -174,19 +173,26 @@ COUNTS = "_shard int, words binary, word_counts binary, grams binary, gram_count
 
 def _count(frames: Iterator[pd.DataFrame], shards: int, folds: int, held: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        train = trained_on(frame["_id"].to_numpy(), folds, held)
-        words, raw = tokens_and_bytes(frame["text"][train])
-        if not raw:
+        texts = list(frame["text"][trained_on(frame["_id"].to_numpy(), folds, held)])
+        parts = []
+        for a, b in slices(texts):
+            words, raw = tokens_and_bytes(texts[a:b])
+            parts.append((*counted(np.concatenate(words)), *counted(grams(raw)[0])))
+        if not parts:
             continue
-        w, wn = counted(np.concatenate(words))
-        g, gn = counted(grams(raw)[0])
+        (w, wn), (g, gn) = _summed(*zip(*[p[:2] for p in parts], strict=True)), _summed(*zip(*[p[2:] for p in parts], strict=True))
         split = zip(by_shard(w, shard_of_words(w, shards), shards, wn), by_shard(g, shard_of_grams(g, shards), shards, gn), strict=True)
         yield pd.DataFrame([(s, pack(a, 8), an.astype("<u4").tobytes(), pack(b, 5), bn.astype("<u4").tobytes()) for s, ((a, an), (b, bn)) in enumerate(split)],
                            columns=["_shard", "words", "word_counts", "grams", "gram_counts"]).astype({"_shard": "int32"})
 
 
 def _added(parts, size: int, kind: str, counts) -> tuple[np.ndarray, np.ndarray]:
-    values, weight = np.concatenate([unpack(p, size) for p in parts]), np.concatenate([np.frombuffer(c, kind) for c in counts])
+    return _summed([unpack(p, size) for p in parts], [np.frombuffer(c, kind) for c in counts])
+
+
+def _summed(parts, counts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all parts with their summed counts."""
+    values, weight = np.concatenate(parts), np.concatenate(counts)
     order = np.argsort(values, kind="stable")
     values, weight = values[order], weight[order]
     starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
@@ -252,7 +258,15 @@ def _scored(shards: int, folds: int, held: int, n: int, v: int, ends: int, frame
     words, raw = tokens_and_bytes(frame["text"])
     docs = len(raw)
     answers = answers.set_index("_shard")
-    w, g = counted(np.concatenate(words))[0], counted(grams(raw)[0])[0]
+    w = counted(np.concatenate(words))[0]
+    strings, owner_of = grams(raw)
+    strings <<= np.uint64(24)
+    strings |= owner_of.astype(np.uint64)
+    strings.sort()  # by string, then document
+    text_of = (strings & np.uint64(0xFFFFFF)).astype(np.int64)
+    strings >>= np.uint64(24)
+    starts = np.flatnonzero(np.append(True, strings[1:] != strings[:-1]))
+    g = strings[starts]
 
     def gathered(values, shard, column, kind):
         out = np.empty(len(values), kind)
@@ -269,11 +283,7 @@ def _scored(shards: int, folds: int, held: int, n: int, v: int, ends: int, frame
     count = counts[np.searchsorted(w, np.concatenate(words))]
     base = np.bincount(owner, np.log10(count + 0.5), docs) + np.log10(ends + 0.5)
     n_tokens = np.array([len(x) + 1 for x in words])
-    strings, owner_of = grams(raw)
-    merged = np.sort((strings << np.uint64(24)) | owner_of.astype(np.uint64))
-    same = merged >> np.uint64(24)
-    at = np.cumsum(np.append(False, same[1:] != same[:-1]))
-    score = np.bincount((merged & np.uint64(0xFFFFFF)).astype(np.int64), logs[at], docs)
+    score = np.bincount(text_of, np.repeat(logs, np.diff(np.append(starts, len(strings)))), docs)
     return pd.DataFrame({
         "_id": frame["_id"].to_numpy(), "held_out": ~trained_on(frame["_id"].to_numpy(), folds, held), "n_tokens": n_tokens,
         "n_known": np.bincount(owner, count > 0, docs).astype(np.int64) + (ends > 0), "train_tokens": n,

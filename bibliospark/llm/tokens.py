@@ -10,12 +10,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bibliospark.llm.common import slices
+
 END = 2
 PARQUET = {
     "compression": "zstd",
@@ -36,11 +39,11 @@ class Encoder:
 
     Equal words give equal ids, so a table of words met (emptied beyond ``limit`` words) replaces repeated calls. Space
     and line feed part the pieces; other white space stays inside a piece. A piece of Latin letters and closing
-    punctuation is two pre-tokens at least, so its letters go through the library's normalizer and model alone; any other
-    piece goes through the library whole.
+    punctuation is two pre-tokens at least, so its lower-cased letters go to the library's model alone; any other piece
+    goes through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.limit = Tokenizer.from_file(path), limit
@@ -55,52 +58,43 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.place, self.letters, self.parts = {"": 0}, {"": []}, [np.empty(0, np.int32)]
-        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        """Only the empty piece (no ids) and the end of a text (one id) are known."""
+        self.place, self.tails = {"": 0, None: 1}, {"": []}
+        self.flat, self.starts, self.sizes = np.zeros(1, np.int32), np.zeros(2, np.int64), np.array([0, 1])
 
     def _whole(self, piece: str) -> list[int]:
         return self.library.encode(piece, add_special_tokens=False).ids
 
-    def _word(self, letters: str) -> list[int]:
-        known = letters.lower() if letters.isascii() else self.library.normalizer.normalize_str(letters)
-        if not known.isalpha():  # a letter whose lower case holds a mark
-            return self._whole(letters)
-        ids = self.letters.get(known)
-        if ids is None:
-            ids = self.letters[known] = [t.id for t in self.library.model.tokenize(known if known.isascii() else known.translate(self.bytes))]
-        return ids
-
     def _piece(self, piece: str) -> list[int]:
         m = LETTERS.fullmatch(piece)
-        if not m:
+        known = m and m[1].lower()  # letters of this range are composed already
+        if not m or not known.isalpha():  # the lower case of a letter may hold a mark
             return self._whole(piece)
-        tail = m[2]
-        if tail and tail not in self.letters:
-            self.letters[tail] = self._whole(tail)
-        return self._word(m[1]) + self.letters[tail]
+        ids, tail = [t.id for t in self.library.model.tokenize(known if known.isascii() else known.translate(self.bytes))], m[2]
+        if tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+        return ids + self.tails[tail]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with ``end`` after each, number of ids per text)."""
         if len(self.place) > self.limit:
             self.reset()
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        new = sorted(set().union(*pieces) - self.place.keys())
+        self.flat[0] = end
+        pieces = [[*text.replace("\n", " ").split(" "), None] for text in texts]
+        new = list(set().union(*pieces) - self.place.keys())
         if new:
             ids = list(map(self._piece, new))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             first = len(self.place)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
-            self.place.update((w, first + i) for i, w in enumerate(new))
-        closing = len(self.starts)
-        counts = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
-        find = self.place.__getitem__
-        place = np.fromiter((i for p in pieces for i in (*map(find, p), closing)), np.int64, int(counts.sum()))
-        starts, sizes, flat = np.append(self.starts, len(self.flat)), np.append(self.sizes, 1), np.append(self.flat, np.int32(end))
-        lengths = sizes[place]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        lengths = self.sizes[place]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(starts[place] - total[:-1], lengths) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(self.starts[place] - total[:-1], lengths) + np.arange(total[-1])]
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
@@ -111,18 +105,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of about ``chars`` characters, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int = END, options: dict[str, str] | None = None) -> None:
     """Encode every text and write the files: doc_id, n_tokens, ids, in ascending order of (doc_id, text), null ids last.
 
@@ -143,7 +125,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int = END
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.asc_nulls_last("doc_id"), F.asc("text")]
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    rows = docs.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
     rows.write.options(**{**PARQUET, **(options or {})}).parquet(path)
 
 

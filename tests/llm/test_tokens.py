@@ -31,7 +31,8 @@ def test_digests_against_the_library(spark, small, small_rows):
 
 def test_pieces_against_the_library():
     encoder = Encoder(vocabulary(), limit=10)
-    for text in ["don't we'll 'sup it's, a.b!! A.B ÉTÉ é ßẞ ǅ xªºµ ﬁ İ <|startoftext|>x<|endoftext|>..", "a\tb\x0bc d e", "", " ", "\n\n x \n", "12,5% #a##b $$$ Straße.* naïve,'s"]:
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    for text in [" ".join(c + "a" + c + ".,"[i % 2] for i, c in enumerate(letters)), "don't we'll 'sup it's, a.b!! A.B ÉTÉ é ßẞ ǅ xªºµ ﬁ İ <|startoftext|>x<|endoftext|>..", "a\tb\x0bc d e", "", " ", "\n\n x \n", "12,5% #a##b $$$ Straße.* naïve,'s"]:
         ids, sizes = encoder.encode([text, text], 2)
         want = encoder.library.encode(text, add_special_tokens=False).ids + [2]
         assert ids.tolist() == want * 2 and sizes.tolist() == [len(want)] * 2
