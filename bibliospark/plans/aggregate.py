@@ -142,8 +142,7 @@ def book_health(t):
     return op.book_health(books, pages, terms)
 
 
-@query("recent_errors", """SELECT book_id, id, created_at, rank FROM (SELECT user_id AS book_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS created_at,
-  row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) DESC, event_id) AS rank FROM events WHERE event_type = 'error') WHERE rank <= 20""")
+@query("recent_errors", "SELECT user_id AS book_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events WHERE event_type = 'error'")
 def recent_errors(t):
     errors = t.events.filter("event_type = 'error'").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("id"), epoch("ts").alias("created_at"))
     return op.recent_errors(errors)
