@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree. DataFrame functions only.
 
 1. Targets. Sources share all words by weight; a target stops at three times its source, the rest is shared again.
-2. Blocks. A hash deals the documents of a source into at most 4096 blocks. Whole passes over all blocks, then blocks in
+2. Blocks. A hash deals the documents of every source into at most 4096 blocks. Whole passes over all blocks, then blocks in
    a hashed order as long as they fit under the target, give the draws of the source; a last block that would pass the
    target is drawn when that comes nearer.
 3. Tree. The draws of all sources are a population of block quotas. A node splits its quotas in two halves of equal
@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.functions.text import let
+from bibliospark.llm.common import stored
 
 WEIGHTS, CAP = (5, 2, 1), 3
-BLOCKS, BLOCK_WORDS, LEVELS, SEED = 4096, 50, 4, 17
+BLOCKS, LEVELS, SEED = 4096, 4, 17
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -142,33 +143,34 @@ def more_blocks(blocks: Column, rest: Column) -> Column:
     return let(F.aggregate(blocks, start, move), finish)
 
 
-def mixture(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED, blocks: int = BLOCKS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixture(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
     """The documents with _size (words), _source_size, _target and _takes: array of (copy, shard), empty if not drawn.
 
-    Null texts have no words and are drawn like any document of their block. A null source is a source of its own, the
+    A document without words follows its block; a block without words is not drawn. A null source is a source of its own, the
     last. A source without words has target 0 and is not drawn. Copies number 0..cap-1. Repeated rows share a block.
     Columns of these four names are replaced.
     """
     kept = [c for c in documents.columns if c not in ("_size", "_source_size", "_target", "_takes")]
-    sized = documents.select(*kept, n_words("text").alias("_size")).withColumn("_key_", source_key("source"))
     identity = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    want = targets(sized.select(F.col("_key_").alias("_source"), F.col("_size").alias("size")), weights, cap).withColumn(
-        "_blocks", F.least(F.lit(blocks), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("int"))
-    dealt = sized.withColumn("_hash_", identity).join(want.withColumnRenamed("_source", "_key_"), "_key_").withColumn("_block_", F.pmod("_hash_", F.col("_blocks").cast("long")))
-    per_block = dealt.groupBy("_key_", "_block_").agg(F.sum("_size").alias("_words"), *[F.first(c).alias(c) for c in ("source_size", "target", "_rank")])
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    sized = documents.select(*kept, n_words("text").alias("_size"), source_key("source").alias("_key_"), F.pmod(identity, F.lit(blocks).cast("long")).alias("_block_"))
+    per_block = stored(sized.groupBy("_key_", "_block_").agg(F.sum("_size").alias("_words")), "blocks")
+    want = targets(per_block.select(F.col("_key_").alias("_source"), F.col("_words").alias("size")), weights, cap).withColumnRenamed("_source", "_key_")
     entry = F.struct(F.xxhash64(F.lit(seed), F.lit("order"), "_key_", "_block_").alias("h"), F.col("_block_").alias("b"), F.col("_words").alias("w"))
-    listed = per_block.groupBy("_key_", "source_size", "target", "_rank").agg(F.array_sort(F.collect_list(entry)).alias("_all"))  # at most ``blocks`` entries
-    listed = listed.withColumn("_passes", passes).withColumn("_more", more_blocks(F.col("_all"), F.col("target") - F.col("_passes") * F.col("source_size")))
-    one = listed.select("_key_", "_rank", "_passes", "_more", F.explode("_all.b").alias("_block_"))
-    taken = one.withColumn("_n", F.col("_passes") + F.array_contains("_more", F.col("_block_")).cast("long"))
+    listed = per_block.groupBy("_key_").agg(F.array_sort(F.collect_list(entry)).alias("_all")).join(want, "_key_")  # at most ``blocks`` entries
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    more = listed.withColumn("_passes", passes).withColumn("_more", more_blocks(F.col("_all"), F.col("target") - F.col("_passes") * F.col("source_size")))
+    each = more.select("_key_", "_rank", "source_size", "target", "_passes", "_more", F.explode("_all").alias("_one"))
+    taken = each.select("_key_", "_rank", "source_size", "target", F.col("_one.b").alias("_block_"), F.when(
+        F.col("_one.w") > 0, F.col("_passes") + F.array_contains("_more", F.col("_one.b")).cast("long")).otherwise(F.lit(0)).alias("_n"))
+    taken = stored(taken, "drawn")
     draws = taken.filter("_n > 0").select("_key_", "_block_", "_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("copy"))
     deal = Window.partitionBy("_rank").orderBy(F.xxhash64(F.lit(seed), F.lit("deal"), "_key_", "_block_", "copy"), "_block_", "copy")
     numbered = draws.withColumn("_draw", F.row_number().over(deal) - 1)
     placed = numbered.join(shard_quotas(draws, levels, seed), "_rank").withColumn(
         "shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_draw"))) - 1)
     takes = placed.groupBy("_key_", "_block_").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("_takes"))
-    return dealt.join(takes, ["_key_", "_block_"], "left").select(
+    told = taken.select("_key_", "_block_", "source_size", "target").join(takes, ["_key_", "_block_"], "left")
+    return sized.join(told, ["_key_", "_block_"]).select(
         *kept, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
         F.coalesce("_takes", F.array().cast("array<struct<copy:long,shard:int>>")).alias("_takes"))
 

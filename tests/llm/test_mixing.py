@@ -53,10 +53,11 @@ def test_mix_against_its_contract(small, small_rows, nothing):
 
 
 def test_shards_hold_equal_draws_and_rows(spark, small):
-    drawn = mixture(small, levels=3, block_words=100)
-    blocks = drawn.select("source", F.explode("_takes").alias("t")).count()
-    rows = mixed(small, levels=3, block_words=100)
-    assert rows.count() == blocks and rows.columns == small.columns
+    drawn = mixture(small, levels=3, blocks=64)
+    takes = drawn.select(F.explode("_takes").alias("t"))
+    rows = mixed(small, levels=3, blocks=64)
+    assert rows.count() == takes.count() and rows.columns == small.columns
+    assert {r.shard for r in takes.select("t.shard").distinct().collect()} == set(range(8))
 
 
 def test_hypergeometric_has_the_right_distribution(spark):
