@@ -3,11 +3,12 @@
 A document's tokens are its distinct shingles of three lower-case words; two documents link when
 100 * intersection >= 90 * union. In any global order of tokens, two linked documents share a token among the first
 n - ceil(0.9 n) + 1 of each. Candidates must pass that filter under two orders: both put the corpus' most frequent
-tokens last, and shuffle the rest by different hashes. Candidates are then verified on whole token sets.
+tokens last, and shuffle the rest by different hashes. Tokens counted in 256 cells bound the intersection from above, so
+most remaining pairs of unlike texts go without their texts being moved; the rest is verified on whole token sets.
 
 Documents with equal sets form one class and take part once. Classes that meet under a token of the first order are not
 paired with each other at once: each meets the bucket's leader of its length first (a star), verified links are merged
-into components, and only classes of different components that still meet are paired after that. So a group of n near
+into components, and only classes of different components that still meet are compared after that, block against block. So a group of n near
 copies costs about n comparisons, every pair whose link could matter is verified, and no candidate is dropped.
 """
 
@@ -21,25 +22,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, hash_words, mix, plain, rolling, stored
+from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, distinct, hash_words, mix, plain, rolling, stored
 
 WIDTH, PERCENT = 3, 90
-FREQUENT, SEEN = 50_000, 4
-SHARD_BYTES, BLOCK = 40_000_000, 256
+FREQUENT, SEEN = 300_000, 4
+SHARD_BYTES, BLOCK, CELLS, GROUP = 40_000_000, 256, 256, 50_000
 SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than ``width`` make one shingle, no word none."""
     words = WORD.findall(ascii_lower(text))
-    return np.unique(rolling(hash_words(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
+    return distinct(rolling(hash_words(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *map(shingles, frame["text"])]), return_counts=True)
+        values = np.sort(np.concatenate([np.empty(0, np.uint64), *map(shingles, frame["text"])]))
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+        counts = np.diff(np.append(starts, len(values)))
         often = counts >= SEEN
-        yield pd.DataFrame({"token": values[often].view(np.int64), "n": counts[often]})
+        yield pd.DataFrame({"token": values[starts][often].view(np.int64), "n": counts[often]})
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
@@ -53,6 +56,20 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, seed: np.
     return tokens[np.argpartition(order, size - 1)[:size]] if n else tokens
 
 
+def cells(tokens: np.ndarray) -> bytes:
+    """Tokens per cell of 256, one byte each; 255 stands for any larger number."""
+    return np.minimum(np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _can_link(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs whose cells allow an intersection of the wanted size: union = na + nb - intersection."""
+    for frame in frames:
+        a, b = (np.frombuffer(b"".join(frame[k]), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in ("cells", "_cells"))
+        least = np.minimum(a, b)
+        most = least.sum(1) + np.where(((least == 255).any(1)), 1 << 40, 0)
+        yield frame.loc[(100 + percent) * most >= percent * (frame["n"] + frame["_n"]).to_numpy(), ["a", "b"]]
+
+
 def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         sets = [shingles(t) for t in frame["text"]]
@@ -61,7 +78,7 @@ def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.nda
         made = [[prefix(s, frequent, rank, seed, percent) for seed in SEEDS] for s in sets]
         yield pd.DataFrame({
             "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64),
-            "p1": [p.view(np.int64) for p, _ in made], "p2": [(p >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, p in made]})
+            "cells": [cells(s) for s in sets], "p1": [p.view(np.int64) for p, _ in made], "p2": [(p >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, p in made]})
 
 
 def _spread(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
@@ -135,6 +152,56 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def still_open(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, c, n, component) of the tokens under which classes of different components meet."""
+    labelled = buckets.join(components(links).withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("component"))
+    several = labelled.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b").select("token")
+    return stored(labelled.join(several, "token", "left_semi"), "open")
+
+
+def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of a block pair, or of the small tokens of a shard, that cells, lengths and second-order tokens allow."""
+    frame = frame.sort_values(["token", "side", "c"])
+    token, side, c, n, component = (frame[k].to_numpy() for k in ("token", "side", "c", "n", "component"))
+    counts = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(-1, CELLS)
+    p2, out = frame["p2"].to_numpy(), set()
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        sides = side[start:stop]
+        left = np.arange(start, stop)[sides <= 0]
+        right = np.arange(start, stop)[sides >= 0]  # side 0: both
+        for i in left.tolist():
+            others = right[(component[right] != component[i]) & (c[right] != c[i])]
+            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+            if not len(others):
+                continue
+            least = np.minimum(counts[others], counts[i])
+            most = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 40, 0)
+            mine = None
+            for j in others[(100 + percent) * most >= percent * (n[others] + n[i])].tolist():
+                mine = set(p2[i].tolist()) if mine is None else mine
+                if not mine.isdisjoint(p2[j].tolist()):
+                    out.add((max(c[i], c[j]), min(c[i], c[j])))
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+
+def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components that share an open token and may link; every pair of a token is looked at.
+
+    A token's classes are cut into blocks of about ``BLOCK``; every two blocks meet in a group of their own that emits
+    only what passes, and tokens of one block share groups. So no group and no row count grows with the square of a
+    bucket, and a hot bucket spreads over many tasks.
+    """
+    shards = max(16, rest.count() // GROUP)
+    sizes = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "token").join(known.select("c", "p2", "cells"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "p2", "cells")
+    large = placed.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.col("token").alias("key"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
+                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "p2", "cells")
+    return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent), "a long, b long").distinct()
+
+
 def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), _row.
 
@@ -144,21 +211,24 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     """
     docs = plain(documents).withColumn("_row", F.xxhash64("_id", "text"))
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    often = docs.select("text").mapInPandas(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).collect()
-    tokens = np.array([r.token for r in often], np.int64).view(np.uint64)
+    often = docs.select("text").mapInPandas(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).toArrow()
+    tokens = often.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = np.arange(len(tokens), 0, -1).astype(np.uint64)[order]  # the most frequent token is last of all
     described = stored(docs.mapInPandas(
-        partial(_describe, frequent=tokens[order], rank=rank, percent=percent), "_id long, _row long, n long, c long, p1 array<long>, p2 array<int>"), "shingles")
+        partial(_describe, frequent=tokens[order], rank=rank, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>"), "shingles")
     filled = described.filter("n > 0")
-    classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"), F.first("p2").alias("p2"))
+    classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"))
+    known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("p2").alias("p2"), F.first("cells").alias("cells"))
     spread = filled.select("c", "n", "p1").mapInPandas(partial(_spread, shards=max(1, -(-total // shard_bytes))), "_shard int, tokens binary, c binary, n binary")
     buckets = stored(spread.groupBy("_shard").applyInPandas(partial(_buckets, percent=percent), "token long, c long, n long, lead long"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among (a, b): filtered under the second order, then verified in blocks of one leader and members."""
-        right = classes.select(F.col("c").alias("b"), F.col("p2").alias("_p2"))
-        passed = stored(pairs.join(classes.select(F.col("c").alias("a"), "p2"), "a").join(right, "b").filter(F.arrays_overlap("p2", "_p2")).select("a", "b"), "candidates")
+        left, right = (known.select(F.col("c").alias(k), F.col("p2").alias(f"p{k}")) for k in "ab")
+        shared = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
+        left, right = known.select(F.col("c").alias("a"), "n", "cells"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("cells").alias("_cells"))
+        passed = stored(shared.join(left, "a").join(right, "b").mapInPandas(partial(_can_link, percent=percent), "a long, b long"), "candidates")
         blocks = passed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         members = passed.join(blocks, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("c"))
         leaders = blocks.select(F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("c"))
@@ -168,15 +238,8 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
 
     stars = buckets.filter("c != lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     links = verified(stars)
-    known = components(links)
-    labelled = buckets.join(known.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("component"))
-    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b").select("token")
-    rest = labelled.join(open_tokens, "token", "left_semi")
-    left, right = (rest.select("token", F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"k{k}")) for k in "ab")
-    met = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    met = met.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    final = components(links.unionByName(verified(met)))
+    rest = still_open(buckets, links)
+    final = components(links.unionByName(verified(met_in_blocks(rest, known, percent))))
     smallest = final.join(classes.select(F.col("c").alias("node"), "rep"), "node")
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("c"), "least")
     own = classes.select("c", "rep").join(smallest, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
