@@ -26,7 +26,7 @@ from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, distinct, hash_wo
 
 WIDTH, PERCENT = 3, 90
 FREQUENT, SEEN = 300_000, 4
-SHARD_BYTES, BLOCK, CELLS, GROUP = 40_000_000, 256, 256, 50_000
+SHARD_BYTES, BLOCK, CELLS, GROUP = 40_000_000, 256, 256, 1_000
 SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
