@@ -29,46 +29,47 @@ from pyspark.sql import functions as F
 from bibliospark.llm.common import WORD, batched, hash_words, mix, restored_id, rolling
 
 WINDOW, PHRASE = 13, 4
-BATCH_CHARS, SHARD_WINDOWS = 4_000_000, 6_000_000
+BATCH_CHARS, SHARD_WINDOWS = 3_000_000, 2_000_000
 
 
 def windows_of(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, minimizer hash, minimizer place) of every window of one document."""
+    """(key of every window, hash of every phrase, place of every window's minimizer phrase) of one document."""
+    phrases = rolling(hashes, phrase)
     n = len(hashes) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    phrases = rolling(hashes, phrase)
+        return np.empty(0, np.uint64), phrases, np.empty(0, np.int64)
     least, place = phrases[:n].copy(), np.zeros(n, np.int64)
     for i in range(1, window - phrase + 1):
         here = phrases[i : i + n]
         lower = here < least
-        least[lower] = here[lower]
+        np.copyto(least, here, where=lower)
         place[lower] = i
-    return rolling(hashes, window) >> np.uint64(9), least, place + np.arange(n)
+    return rolling(hashes, window) >> np.uint64(9), phrases, place + np.arange(n)
 
 
 class Batch:
     """The windows of a batch: one entry per key, ordered by shard and key, with the place of its smallest document."""
 
     def __init__(self, frame: pd.DataFrame, shards: int, window: int, phrase: int):
+        frame = frame.sort_values("_id", kind="stable")
         self.ids = frame["_id"].to_numpy(np.int64)
         self.words = [WORD.findall(t) for t in frame["text"]]
         made = [windows_of(hash_words(w), window, phrase) for w in self.words]
         sizes = np.fromiter((len(m[0]) for m in made), np.int64, len(made))
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.keys = np.concatenate([m[0] for m in made])
-        self.places = np.concatenate([m[2] for m in made])
+        self.phrases, self.places = [m[1] for m in made], np.concatenate([m[2] for m in made])
         doc = np.repeat(np.arange(len(made)), sizes)
-        shard = (mix(np.concatenate([m[1] for m in made])) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((self.ids[doc], self.keys, shard))
-        keys, ids = self.keys[order], self.ids[doc[order]]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(keys)) - 1
-        self.entry_key, self.entry_id, self.entry_at = keys[starts], ids[starts], order[starts]
-        self.entry_many = ids[ends[: len(starts)]] != ids[starts] if len(starts) else np.empty(0, bool)
-        self.entry_doc, self.entry_shard = doc[order[starts]], shard[order[starts]]
+        order = np.argsort(self.keys, kind="stable")  # documents ascend by id, so the smallest comes first in a key
+        keys = self.keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        at = order[starts]
+        last = order[np.append(starts[1:], len(keys)) - 1] if len(keys) else at
+        least = np.concatenate([m[1][m[2]] for m in made])[at]
+        shard = (mix(least) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+        by = np.argsort(shard, kind="stable")
+        self.entry_shard, self.entry_at, self.entry_key, self.entry_doc = shard[by].astype(np.int64), at[by], keys[starts][by], doc[at][by]
+        self.entry_id, self.entry_many = self.ids[self.entry_doc], self.ids[doc[last]][by] != self.ids[self.entry_doc]
 
 
 def _pack_keys(keys: np.ndarray, many: np.ndarray) -> bytes:
@@ -125,6 +126,17 @@ def automaton(words: list[list[str]], spots: list[tuple[int, int]], phrase: int)
     return found, numbers
 
 
+def occurrences(search, numbers: dict, words: list[str], places: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Where compiled phrases start in a document, streaming the stretches of words around ``places``."""
+    if not len(places):
+        return places
+    number, hits = numbers.get, []
+    cuts = np.flatnonzero(np.diff(places) > window)
+    for a, b in zip(places[np.append(0, cuts + 1)].tolist(), places[np.append(cuts, len(places) - 1)].tolist(), strict=True):
+        hits += [a + end - phrase + 1 for end, _ in search.iter(tuple([number(w, 0) for w in words[a : b + phrase]]))]
+    return np.array(hits, np.int64)
+
+
 def _locate(shards: int, window: int, phrase: int, texts: bool, frame: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
     n = len(frame)
     if not n:
@@ -138,15 +150,15 @@ def _locate(shards: int, window: int, phrase: int, texts: bool, frame: pd.DataFr
     keys, owners = batch.entry_key[entries][order], owners[order]
     removed = [np.zeros(len(w), bool) for w in batch.words]
     if len(keys):
-        doc = batch.entry_doc[entries]
-        spots = set(zip(doc.tolist(), batch.places[batch.entry_at[entries]].tolist(), strict=True))
-        search, numbers = automaton(batch.words, sorted(spots), phrase)
-        number = numbers.get
+        spots = sorted(set(zip(batch.entry_doc[entries].tolist(), batch.places[batch.entry_at[entries]].tolist(), strict=True)))
+        search, numbers = automaton(batch.words, spots, phrase)
+        possible = np.zeros(1 << 22, bool)  # phrase hashes that no compiled phrase has need no automaton
+        possible[(np.array([batch.phrases[d][p] for d, p in spots]) >> np.uint64(42)).astype(np.int64)] = True
         for i, words in enumerate(batch.words):
             count = len(words) - window + 1
             if count <= 0:
                 continue
-            hits = np.fromiter((end for end, _ in search.iter(tuple([number(w, 0) for w in words]))), np.int64) - (phrase - 1)
+            hits = occurrences(search, numbers, words, np.flatnonzero(possible[(batch.phrases[i] >> np.uint64(42)).astype(np.int64)]), window, phrase)
             if not len(hits):
                 continue
             edges = np.zeros(count + 1, np.int32)  # windows that hold a hit whole
