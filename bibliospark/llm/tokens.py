@@ -43,7 +43,7 @@ class Encoder:
     goes through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.limit = Tokenizer.from_file(path), limit
@@ -80,7 +80,9 @@ class Encoder:
         if len(self.place) > self.limit:
             self.reset()
         self.flat[0] = end
-        pieces = [[*text.replace("\n", " ").split(" "), None] for text in texts]
+        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+        for piece in pieces:
+            piece.append(None)
         new = list(set().union(*pieces) - self.place.keys())
         if new:
             ids = list(map(self._piece, new))
