@@ -1,8 +1,8 @@
 """N-gram Jaccard join by filters under several global token orders, and the components of its links.
 
-A document's tokens are its distinct shingles of three lower-case words; two documents link when
-100 * intersection >= 90 * union. In any global order of tokens, two linked documents share a token among the first
-n - ceil(0.9 n) + 1 of each. Candidates must pass that filter under two orders: both put the corpus' most frequent
+A document's tokens are its distinct shingles of ``width`` lower-case words (three unless told otherwise); two documents
+link when 100 * intersection >= ``percent`` * union (90). In any global order of tokens, two linked documents share a
+token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under two orders: both put the corpus' most frequent
 tokens last, and shuffle the rest by different hashes. Tokens counted in 256 cells bound the intersection from above, so
 most remaining pairs of unlike texts go without their texts being moved; the rest is verified on whole token sets.
 
@@ -36,9 +36,9 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return distinct(rolling(hash_words(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frequent(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        values = np.sort(np.concatenate([np.empty(0, np.uint64), *map(shingles, frame["text"])]))
+        values = np.sort(np.concatenate([np.empty(0, np.uint64), *map(partial(shingles, width=width), frame["text"])]))
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
         counts = np.diff(np.append(starts, len(values)))
         often = counts >= SEEN
@@ -70,9 +70,9 @@ def _can_link(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield frame.loc[(100 + percent) * most >= percent * (frame["n"] + frame["_n"]).to_numpy(), ["a", "b"]]
 
 
-def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
+def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.ndarray, width: int, percent: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        sets = [shingles(t) for t in frame["text"]]
+        sets = [shingles(t, width) for t in frame["text"]]
         classes = mix(np.array([[np.bitwise_xor.reduce(mix(s ^ SEEDS[0])), mix(s).sum(dtype=np.uint64), len(s)] if len(s) else [0, 0, 0] for s in sets], np.uint64).reshape(-1, 3))
         classes = mix(classes[:, 0] + mix(classes[:, 1] + mix(classes[:, 2])))
         made = [[prefix(s, frequent, rank, seed, percent) for seed in SEEDS] for s in sets]
@@ -117,9 +117,9 @@ def _buckets(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"token": tokens, "c": c, "n": n, "lead": lead})
 
 
-def _verify(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _verify(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Links between the leader of a block and its members, on whole sets."""
-    sets = dict(zip(frame["c"], map(shingles, frame["text"]), strict=True))
+    sets = dict(zip(frame["c"], map(partial(shingles, width=width), frame["text"]), strict=True))
     lead = frame["lead"].iloc[0]
     own, out = sets[lead], []
     for c, tokens in sets.items():
@@ -202,7 +202,7 @@ def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent), "a long, b long").distinct()
 
 
-def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), _row.
 
     Null and empty texts have no shingles and link with nothing. Documents with equal sets are linked. A null doc_id
@@ -211,12 +211,12 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     """
     docs = plain(documents).withColumn("_row", F.xxhash64("_id", "text"))
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    often = docs.select("text").mapInPandas(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).toArrow()
+    often = docs.select("text").mapInPandas(partial(_frequent, width=width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).toArrow()
     tokens = often.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = np.arange(len(tokens), 0, -1).astype(np.uint64)[order]  # the most frequent token is last of all
     described = stored(docs.mapInPandas(
-        partial(_describe, frequent=tokens[order], rank=rank, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>"), "shingles")
+        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>"), "shingles")
     filled = described.filter("n > 0")
     classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"))
     known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("p2").alias("p2"), F.first("cells").alias("cells"))
@@ -234,7 +234,7 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
         leaders = blocks.select(F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("c"))
         wanted = members.unionByName(leaders).join(classes.select("c", F.col("rep_row").alias("_row")), "c")
         texts = docs.select("_row", "text").join(wanted, "_row").select("lead", "block", "c", "text")
-        return stored(texts.groupBy("lead", "block").applyInPandas(partial(_verify, percent=percent), "a long, b long").distinct(), "verified")
+        return stored(texts.groupBy("lead", "block").applyInPandas(partial(_verify, width=width, percent=percent), "a long, b long").distinct(), "verified")
 
     stars = buckets.filter("c != lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     links = verified(stars)
@@ -248,11 +248,11 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     return result.select(known_id("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("least").alias("component_id"), "_row")
 
 
-def one_per_component(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_per_component(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The documents without those that link, directly or through others, to one kept: of each component the row with the
     smallest (doc_id, text hash) stays. Rows of equal id and text are one document, of which one row stays. All columns
     unchanged; documents without shingles stay."""
-    found = linked_components(documents, percent)
+    found = linked_components(documents, percent, width=width)
     best = found.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(LAST_ID)).alias("_component")).agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)), "_row")).alias("_best"))
     kept = best.select(F.col("_best._row").alias("_kept")).unionByName(found.filter("n_shingles = 0").select(F.col("_row").alias("_kept"))).distinct()
