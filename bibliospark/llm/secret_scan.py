@@ -1,6 +1,6 @@
 """Secret scan: three fixed patterns, plus a character convolutional network over every candidate and its context.
 
-A candidate is a maximal run of at least 12 of A-Za-z0-9+/_.=- that holds a digit or one of +/=. The network reads
+A candidate is a maximal run of at least 12 of A-Za-z0-9+/_.=-, with or without a digit. The network reads
 windows of 40 characters of the candidate (all of them, 20 apart) with 12 characters of context on either side. It is
 trained in numpy on labelled findings, its logits are calibrated on findings kept aside, and the threshold is the
 largest calibrated probability that keeps the wanted recall on them. Spans of the patterns always stay.
@@ -44,7 +44,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if MARKED.search(m.group())]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def windows(text: str, start: int, end: int) -> list[str]:
@@ -140,8 +140,10 @@ def probability(model: dict, pieces: list[str]) -> np.ndarray:
 def labelled_by_patterns(documents: DataFrame, sampled: int = 20_000, findings: int = 4_096) -> DataFrame:
     """(piece, label) findings to train on, from at most ``sampled`` documents and at most ``findings`` rows.
 
-    A candidate that the fixed patterns touch is labelled 1, any other 0. Both bounds choose by a hash, so the sample is
-    the same in every run. Only the first window of a candidate is a finding; scans read all of them.
+    A candidate that the fixed patterns touch is labelled 1, any other 0. Half of the findings may have label 1, a quarter
+    each may be other candidates with and without a digit or one of +/=, so plain words do not crowd out the rest. All
+    bounds choose by a hash, so the sample is the same in every run. Only the first window of a candidate is a finding;
+    scans read all of them.
     """
     ids = documents.select(F.col("doc_id").alias("_sampled")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("_sampled"), "_sampled").limit(sampled)
 
@@ -150,12 +152,14 @@ def labelled_by_patterns(documents: DataFrame, sampled: int = 20_000, findings:
             out = []
             for text in frame["text"]:
                 spans = base_spans(text)
-                out += [(windows(text, a, b)[0], int(any(s < b and a < e for s, e, _ in spans))) for a, b in candidates(text)]
-            yield pd.DataFrame(out, columns=["piece", "label"])
+                out += [(windows(text, a, b)[0], int(any(s < b and a < e for s, e, _ in spans)), MARKED.search(text, a, b) is not None) for a, b in candidates(text)]
+            yield pd.DataFrame(out, columns=["piece", "label", "marked"])
 
     docs = documents.filter(F.length("text") > 0).select("doc_id", "text")
-    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_sampled"), "left_semi").select("text").mapInPandas(run, "piece string, label int")
-    return found.orderBy(F.xxhash64("piece"), "piece", "label").limit(findings)
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_sampled"), "left_semi").select("text").mapInPandas(run, "piece string, label int, marked boolean")
+    parts = [("label = 1", findings // 2), ("label = 0 and marked", findings // 4), ("label = 0 and not marked", findings // 4)]
+    chosen = [found.filter(which).select("piece", "label").orderBy(F.xxhash64("piece"), "piece").limit(most) for which, most in parts]
+    return chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
 
 
 def secret_spans(documents: DataFrame, findings: DataFrame, recall: float = 0.99) -> DataFrame:
@@ -179,7 +183,9 @@ def secret_spans(documents: DataFrame, findings: DataFrame, recall: float = 0.99
                         cut = windows(text, a, b)
                         pieces += cut
                         places += [(i, a, b)] * len(cut)
-            added = {p for p, score in zip(places, probability(model, pieces), strict=True) if score >= model["threshold"]} if model else set()
+            once = {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+            scores = probability(model, list(once)) if model else []
+            added = {p for p, piece in zip(places, pieces, strict=True) if scores[once[piece]] >= model["threshold"]}
             both = [list(s) for s in based]
             for i, a, b in added:
                 both[i].append((a, b, 3))

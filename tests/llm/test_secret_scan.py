@@ -72,3 +72,19 @@ def test_windows_cover_long_candidates():
     pieces = windows(text, 2, 502)
     assert {len(p) for p in pieces} == {64} and pieces[-1].startswith(text[502 - 12 - 20 - 20:][:2]) or len(pieces) > 20
     assert train(["x" * 64] * 20, [1] * 20, 0.99) is None
+
+
+def test_keys_without_digits_are_scored(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain = ["responsibilities", "characterization", "well-understood", "counterexamples.", "representation", "state-of-the-art"]
+    filler = lambda: " ".join(rng.choice(plain + ["lorem", "ipsum"]) for _ in range(rng.randrange(2, 9)))
+    rows = [(i, f"{filler()} token = {letters(24)} {filler()}" if i % 2 else f"{filler()} file_{i}_name_long.txt {filler()}") for i in range(300)]
+    bare = [(1000 + i, f"{filler()} {letters(24)} {filler()}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r.label for r in labelled_by_patterns(docs, findings=200).collect()) == {1: 100, 0: 100}
+    labelled = labelled_by_patterns(docs).collect()
+    assert any(not re.search("[0-9+/=]", r.piece[12:52]) for r in labelled if not r.label)
+    got = {r.doc_id: r for r in secret_spans(spark.createDataFrame(rows + bare, "doc_id long, text string"), spark.createDataFrame(labelled)).collect()}
+    assert sum(any(s == f"cnn:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z]{24}", t) for s in got[i].spans.split(",")) for i, t in bare) >= 5
+    assert sum(got[i].n_cnn for i, _ in rows) <= 30
