@@ -2,13 +2,14 @@
 
 Text and marker are reduced to one comparable form: letters and digits, lower case, command names out. The form keeps
 the source offset of each of its characters, so a hit in it is a position in the page. What is not found that way is
-aligned: every place that a word of the marker proposes is scored, or every place of the page if no word survived.
+aligned: the places that words of the marker propose are scored first, then every other place that can still be better.
 """
 
 from __future__ import annotations
 
 import re
 from itertools import accumulate
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -38,29 +39,42 @@ def words_of(text: str) -> list[tuple[str, int]]:
 
 
 def proposed_starts(text: str, marker: str) -> list[int]:
-    """Places where the marker would begin if one of its words stood at the same word of the text; all without a common word."""
+    """Places where the marker would begin if one of its words stood at the same word of the text."""
     places: dict[str, list[int]] = {}
     for word, at in words_of(marker):
         if len(word) >= 3:
             places.setdefault(word, []).append(at)
     starts = {max(0, at - inside) for word, at in words_of(text) for inside in places.get(word, ())}
     last = max(0, len(text) - len(marker))
-    return sorted({min(s, last) for s in starts}) if starts else list(range(last + 1))
+    return sorted({min(s, last) for s in starts})
 
 
 def aligned(text: str, marker: str, least: float, starts: list[int] | None = None) -> int:
     """The first start of the window with the best partial ratio above ``least``, -1 if none.
 
-    A window is scored only if its common subsequence with the marker leaves it a chance to beat the best so far.
+    Proposed starts come first, so they win ties, and only give the best so far. Every start is looked at after them: a window is scored only if its common
+    subsequence with the marker leaves it a chance, and as that grows by at most one a step, starts that cannot have
+    reached the wanted length are passed over.
     """
-    best, found, common = least, -1, Subsequence(marker)
-    for start in proposed_starts(text, marker) if starts is None else starts:
-        window = text[start : start + len(marker) + SLACK]
+    size, common = len(marker), Subsequence(marker)
+    best, found, reached = least, -1, 0
+    for start in proposed_starts(text, marker) if starts is None else ():
+        window = text[start : start + size + SLACK]
         shared = common.length(window)
-        if 200.0 * shared > best * (len(marker) + shared):
-            score = partial(marker, window, best)
-            if score > best:
-                best, found = score, start
+        score = partial(marker, window, best) if 200.0 * shared > best * (size + shared) else best
+        if score > best:
+            best, found = score, start
+    for start in range(max(0, len(text) - size) + 1) if starts is None else sorted(starts):
+        if start < reached:
+            continue
+        window = text[start : start + size + SLACK]
+        missing = best * size / (200.0 - best) - common.length(window) - 1e-6
+        if missing > 0:
+            reached = start + ceil(missing)
+            continue
+        score = partial(marker, window, best)
+        if score > best:
+            best, found = score, start
     return found
 
 

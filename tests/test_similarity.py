@@ -3,7 +3,7 @@
 import random
 
 from bibliospark.functions.similarity import lcs_length, partial, ratio, token_set
-from bibliospark.functions.passages import Form, aligned, locate
+from bibliospark.functions.passages import Form, aligned, locate, proposed_starts
 
 
 def brute_lcs(a, b):
@@ -80,3 +80,19 @@ def test_markers():
     damaged = "a \\emph{b}C~d\\section*[x]{E}"
     assert Form(damaged).text == "abcde" and [damaged[i] for i in Form(damaged).offsets] == ["a", "b", "C", "d", "E"]
     assert damaged[locate(damaged, "\\textbf{c} d e") :].startswith("C~d")
+
+
+def test_damaged_markers_whose_stop_word_stands_elsewhere():
+    marker, damaged = "the noetherian module condition", "tne noetherlan modu1e conditlon"
+    for text in (f"all the rest of this page is about other things, at some length; {damaged} holds.", f"{damaged} holds, and more than forty characters further on the page ends."):
+        assert abs(locate(text, marker) - text.index(damaged)) <= 40 and locate(text, marker) >= 0
+    rng = random.Random(11)
+    for _ in range(30):
+        marker = " ".join(words(rng, rng.randrange(3, 6), "abc") for _ in range(3))
+        text = " ".join(rng.choice([*marker.split(), words(rng, 4, "abcd"), marker[2:]]) for _ in range(25))
+        expected, at = 60.0, -1
+        for i in [*proposed_starts(text, marker), *range(len(text) - len(marker) + 1)]:
+            score = brute_partial(marker, text[i : i + len(marker) + 40])
+            if score > expected:
+                expected, at = score, i
+        assert aligned(text, marker, 60.0) == at
