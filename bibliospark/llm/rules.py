@@ -3,7 +3,8 @@
 A line is normalised (lower case, digits to 0, white space squeezed) and hashed. Per host (source) the distinct documents
 that hold a line are counted; equal texts are one document, so copies of a text do not turn its lines into boilerplate.
 A line goes when more than ``most_docs`` documents and more than the share ``most_share`` of the documents of its host
-hold it. A document is rejected when a base rule fails or when fewer than ``least_kept`` of its words are left.
+hold it, or, so that a hot host does not lift the limit out of reach, when it has ``LONG`` words and more than ``ENOUGH``
+documents of its host hold it, whatever their share. A document is rejected when a base rule fails or when fewer than ``least_kept`` of its words are left.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from bibliospark.llm.mixing import source_key
 SPACES = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
 MOST_DOCS, MOST_SHARE, LEAST_KEPT = 20, 0.02, 0.3
+ENOUGH, LONG = 500, 4
 
 
 def words(text: Column) -> Column:
@@ -77,12 +79,13 @@ def line_rows(documents: DataFrame) -> DataFrame:
 
 
 def frequent_lines(documents: DataFrame, most_docs: int, most_share: float) -> DataFrame:
-    """(_source, _line) above both limits. Counts are of distinct texts per host, pre-aggregated before the exchange."""
+    """(_source, _line) above both limits, or long and in ``ENOUGH`` documents. Counts are of distinct texts per host, pre-aggregated before the exchange."""
     texts = documents.filter("text is not null").select(source_key("source").alias("_source"), F.xxhash64("text").alias("_text"))
     hosts = texts.groupBy("_source").agg(F.countDistinct("_text").alias("_docs"))
-    lines = line_rows(documents).select("_source", "_line", "_text").distinct()
-    counts = lines.groupBy("_source", "_line").agg(F.count(F.lit(1)).alias("_held")).filter(F.col("_held") > most_docs)
-    return counts.join(hosts, "_source").filter(F.col("_held") > F.col("_docs") * most_share).select("_source", "_line")
+    lines = line_rows(documents).select("_source", "_line", "_text", "_n").distinct()
+    counts = lines.groupBy("_source", "_line").agg(F.count(F.lit(1)).alias("_held"), F.max("_n").alias("_n")).filter(F.col("_held") > most_docs)
+    enough = (F.col("_held") > ENOUGH) & (F.col("_n") >= LONG)
+    return counts.join(hosts, "_source").filter(enough | (F.col("_held") > F.col("_docs") * most_share)).select("_source", "_line")
 
 
 def judged(documents: DataFrame, most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:

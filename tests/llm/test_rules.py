@@ -53,3 +53,11 @@ def test_against_brute_force(spark, small, small_rows, nothing):
     sources = {(i, t): s for i, t, s in rows}
     assert all(len(WORD.findall(r.text)) for r in texts) and sources
     assert judged(nothing).count() == 0
+
+
+def test_a_line_in_one_percent_of_a_hot_host(spark):
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rare = spark.range(99_000).selectExpr("id AS doc_id", "concat('a', id, ' b', id, ' c', id) AS text", "'hot' AS source")
+    held = spark.range(99_000, 100_000).selectExpr("id AS doc_id", f"concat('{long}', '\n', 'see also below', '\n', 'own', id, ' text', id) AS text", "'hot' AS source")
+    got = judged(rare.unionByName(held)).filter("doc_id >= 99000").select("n_words", "base_failed", "n_left", "kept").distinct().collect()
+    assert [tuple(r) for r in got] == [(65, False, 5, False)]
