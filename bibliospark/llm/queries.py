@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import decontaminate, jaccard, language, mixing, quality, rules, secret_scan, substrings, tokens, toxicity
+from bibliospark.llm import decontaminate, jaccard, language, mixing, quality, rules, runs, secret_scan, substrings, tokens, toxicity
 from bibliospark.llm.common import fold
 from bibliospark.session import table, work_folder
 
@@ -73,6 +73,33 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1"""
 
 
+#: One row: the 256 remainders of the CRC-32 polynomial, from its bits.
+CRC_TABLE_SQL = "(SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS crc)"
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, beside a row of CRC_TABLE_SQL."""
+    return f"xor(4294967295, list_reduce(list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(({text})[k]) AS BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295))"
+
+
+RUNS_SQL = f"""
+WITH h AS (SELECT doc_id, {crc_sql("CAST(doc_id AS VARCHAR)")} AS h, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents, {CRC_TABLE_SQL}),
+a AS (SELECT *, len(w) AS n, (h // 10) % 8 AS r, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + r)) END]) ELSE w END AS w FROM a),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 5, 0))) AS i FROM d)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS start, max(i) + 6 - min(i) AS same FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, same + q AS length, min(q) AS period FROM s WHERE same >= greatest(12 - q, q) GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(l := length, s := -start, p := -period)) AS best,
+  sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+u AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.p AS period, 1000 * best.l // -best.p AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -136,3 +163,26 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query(CONTAINED_SQL)
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by their id, with their words repeated periodically from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    n = F.size("_words")
+    a = F.col("_g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8))
+    repeated = F.transform("_words", lambda word, i: F.when(i < F.col("_a"), word).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    rows = documents.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"), F.floor(h / 10).alias("_g"))
+    rows = rows.select("doc_id", "text", "_words", F.when(n > 0, a).alias("_a"), F.when(n > 0, p).alias("_p"))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(RUNS_SQL)
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.floor(F.expr("1000 * _best.length div -_best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
