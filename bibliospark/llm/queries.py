@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import decontaminate, jaccard, language, mixing, quality, rules, runs, secret_scan, substrings, tokens, toxicity
+from bibliospark.llm import conversations, decontaminate, jaccard, language, mixing, quality, rules, runs, secret_scan, substrings, tokens, toxicity
 from bibliospark.llm.common import fold
 from bibliospark.session import table, work_folder
 
@@ -99,6 +99,45 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS leng
   coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
+#: States: 1 nothing yet, 2 after s, 3 after u, 4 after a. The fold runs over the rows of a conversation from its end and
+#: keeps, for each state, the least (cost, audit, repaired lines) to the end; inserts are relaxed twice at each place.
+REPAIR_SQL = f"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc_of AS k FROM (SELECT *, {crc_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS crc_of FROM conversations, {CRC_TABLE_SQL})),
+m AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(sha256(role), text)), copy) AS i, rtrim(text, {WHITE_SQL}) AS shown, left(role, 1) AS r FROM m),
+f AS (SELECT *, CASE WHEN shown = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  concat(lag(r) OVER (PARTITION BY conv_id ORDER BY i), r) NOT IN ('su', 'ua', 'au') AND i > 1 AS wrong FROM n),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (wrong) AS illegal, list(struct_pack(r := r, role := role, text := text, fault := fault) ORDER BY i DESC) AS l FROM f GROUP BY 1),
+q AS (SELECT *, list_reduce(list_transform(l, lambda e: [struct_pack(c := CAST(e.fault AS BIGINT), a := e.r, x := e.role, t := e.text)]), lambda v, e: {{step}},
+  [struct_pack(c := CAST(0 AS BIGINT), a := '', x := '', t := ''), struct_pack(c := CAST(4 AS BIGINT), a := 'II', x := chr(10) || 'user:' || chr(10) || 'assistant:', t := ''),
+   struct_pack(c := CAST(2 AS BIGINT), a := 'I', x := chr(10) || 'assistant:', t := ''), struct_pack(c := CAST(0 AS BIGINT), a := '', x := '', t := '')])[1] AS best FROM c)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.x[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN q ON d.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
+def _fold_sql() -> str:
+    """One step of REPAIR_SQL: the least ways from each state before a row (e[1]), given those after it (v)."""
+    way = lambda cost, letter, to, line="''": f"struct_pack(c := v[{to}].c + {cost}, a := '{letter}' || v[{to}].a, x := {line} || v[{to}].x, t := '')"
+    line = lambda role: f"(chr(10) || {role} || ':' || e[1].t)"
+    made = {1: (3, "'user'"), 2: (3, "'user'"), 3: (4, "'assistant'"), 4: (3, "'user'")}
+    kept = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+    late = "CASE WHEN e[1].c = 3 THEN 1 ELSE 0 END"
+    ways = []
+    for state, (to, role) in made.items():
+        keep = " ".join(f"WHEN e[1].c IN (0, 3) AND e[1].a = '{r}' THEN {way(late, 'K', k, line('e[1].x'))}" for r, k in kept[state].items())
+        turn = f"WHEN e[1].c IN (0, 3) AND e[1].a <> left({role}, 1) THEN {way('2 + ' + late, 'R', to, line(role))}"
+        ways.append(f"list_min(list_filter([{way(3, 'D', state)}, CASE {keep} END, CASE {turn} END], lambda y: y IS NOT NULL))")
+    step = f"[{', '.join(ways)}]"
+    for _ in range(2):
+        inserted = ", ".join(f"least_of(w[{s}], struct_pack(c := w[{to}].c + 2, a := 'I' || w[{to}].a, x := chr(10) || {role} || ':' || w[{to}].x, t := ''))" for s, (to, role) in made.items())
+        step = f"list_transform([{step}], lambda w: [{inserted}])[1]".replace("least_of(", "list_min([").replace("t := ''))", "t := '')])")
+    return step
+
+
+REPAIR_SQL = REPAIR_SQL.replace("{step}", _fold_sql())
+
 
 def vocabulary() -> str:
     import public_tokenizers
@@ -186,3 +225,24 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("_best", best).select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
         F.floor(F.expr("1000 * _best.length div -_best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def with_damage(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of conversation and turn: dropped, emptied, cut, repeated and mislabelled rows."""
+    shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20
+    rows = turns.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), fault.alias("_fault")).filter("_fault <> 0")
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("_fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+@query(REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    summary, rows = conversations.repaired(with_damage(turns))
+    found = conversations.keyed(turns.select("conv_id").distinct(), summary, ["conv_id"], "left")
+    found = conversations.keyed(found, conversations.digests(rows), ["conv_id"], "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
