@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import conversations, decontaminate, jaccard, language, mixing, quality, rules, runs, secret_scan, substrings, tokens, toxicity
+from bibliospark.llm import conversations, decontaminate, jaccard, language, language_id, mixing, quality, rules, runs, secret_scan, substrings, tokens, toxicity
 from bibliospark.llm.common import fold
 from bibliospark.session import table, work_folder
 
@@ -227,6 +227,14 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.expr("1000 * _best.length div -_best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query()
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_id.languages(documents, language_id.fit(documents.filter(~held & F.col("lang").isNotNull())))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def with_damage(turns: DataFrame) -> DataFrame:
     """Conversations with faults put in by a hash of conversation and turn: dropped, emptied, cut, repeated and mislabelled rows."""
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
