@@ -2,13 +2,14 @@
 
 A document's tokens are its distinct shingles of ``width`` lower-case words (three unless told otherwise); two documents
 link when 100 * intersection >= ``percent`` * union (90). In any global order of tokens, two linked documents share a
-token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under two orders: both put the corpus' most frequent
+token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under three orders: all put the corpus' most frequent
 tokens last, and shuffle the rest by different hashes. Tokens counted in 256 cells bound the intersection from above, so
 most remaining pairs of unlike texts go without their texts being moved; the rest is verified on whole token sets.
 
 Documents with equal sets form one class and take part once. Classes that meet under a token of the first order are not
 paired with each other at once: each meets the bucket's leader of its length first (a star), verified links are merged
-into components, and only classes of different components that still meet are compared after that, block against block. So a group of n near
+into components, and only classes of different components that still meet are compared after that, block against block,
+under one token of those that the very same classes hold. So a group of n near
 copies costs about n comparisons, every pair whose link could matter is verified, and no candidate is dropped.
 """
 
@@ -27,7 +28,7 @@ from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, distinct, hash_wo
 WIDTH, PERCENT = 3, 90
 FREQUENT, SEEN = 300_000, 4
 SHARD_BYTES, BLOCK, CELLS, GROUP = 40_000_000, 256, 256, 1_000
-SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -76,9 +77,10 @@ def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.nda
         classes = mix(np.array([[np.bitwise_xor.reduce(mix(s ^ SEEDS[0])), mix(s).sum(dtype=np.uint64), len(s)] if len(s) else [0, 0, 0] for s in sets], np.uint64).reshape(-1, 3))
         classes = mix(classes[:, 0] + mix(classes[:, 1] + mix(classes[:, 2])))
         made = [[prefix(s, frequent, rank, seed, percent) for seed in SEEDS] for s in sets]
+        short = lambda p: (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
         yield pd.DataFrame({
             "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64),
-            "cells": [cells(s) for s in sets], "p1": [p.view(np.int64) for p, _ in made], "p2": [(p >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, p in made]})
+            "cells": [cells(s) for s in sets], "p1": [p[0].view(np.int64) for p in made], "p2": [short(p[1]) for p in made], "p3": [short(p[2]) for p in made]})
 
 
 def _spread(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
@@ -153,18 +155,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_open(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, c, n, component) of the tokens under which classes of different components meet."""
+    """(token, c, n, component) of the tokens under which classes of different components meet.
+
+    Tokens held by the very same classes lead to the same pairs, so one of them stays: 128 bits over the classes and their
+    number tell such tokens.
+    """
     labelled = buckets.join(components(links).withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("component"))
-    several = labelled.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b").select("token")
+    held = [F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("c")).alias("_x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("_y")]
+    several = labelled.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), *held).filter("_a != _b")
+    several = several.groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token")
     return stored(labelled.join(several, "token", "left_semi"), "open")
 
 
 def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block pair, or of the small tokens of a shard, that cells, lengths and second-order tokens allow."""
+    """Pairs of a block pair, or of the small tokens of a shard, that cells, lengths and the tokens of the other orders allow."""
     frame = frame.sort_values(["token", "side", "c"])
     token, side, c, n, component = (frame[k].to_numpy() for k in ("token", "side", "c", "n", "component"))
     counts = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(-1, CELLS)
-    p2, out = frame["p2"].to_numpy(), set()
+    more, out = [frame[k].to_numpy() for k in ("p2", "p3")], set()
     edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         sides = side[start:stop]
@@ -179,8 +187,8 @@ def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             most = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 40, 0)
             mine = None
             for j in others[(100 + percent) * most >= percent * (n[others] + n[i])].tolist():
-                mine = set(p2[i].tolist()) if mine is None else mine
-                if not mine.isdisjoint(p2[j].tolist()):
+                mine = [set(p[i].tolist()) for p in more] if mine is None else mine
+                if not any(own.isdisjoint(p[j].tolist()) for own, p in zip(mine, more, strict=True)):
                     out.add((max(c[i], c[j]), min(c[i], c[j])))
     return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
@@ -194,11 +202,11 @@ def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     shards = max(16, rest.count() // GROUP)
     sizes = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "token").join(known.select("c", "p2", "cells"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "p2", "cells")
+    placed = rest.join(sizes, "token").join(known.select("c", "p2", "p3", "cells"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "p2", "p3", "cells")
     large = placed.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select(F.col("token").alias("key"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
-                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "p2", "cells")
+                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "p2", "p3", "cells")
     return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent), "a long, b long").distinct()
 
 
@@ -216,17 +224,17 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     order = np.argsort(tokens)
     rank = np.arange(len(tokens), 0, -1).astype(np.uint64)[order]  # the most frequent token is last of all
     described = stored(docs.mapInPandas(
-        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>"), "shingles")
+        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>, p3 array<int>"), "shingles")
     filled = described.filter("n > 0")
     classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"))
-    known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("p2").alias("p2"), F.first("cells").alias("cells"))
+    known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("p2").alias("p2"), F.first("p3").alias("p3"), F.first("cells").alias("cells"))
     spread = filled.select("c", "n", "p1").mapInPandas(partial(_spread, shards=max(1, -(-total // shard_bytes))), "_shard int, tokens binary, c binary, n binary")
     buckets = stored(spread.groupBy("_shard").applyInPandas(partial(_buckets, percent=percent), "token long, c long, n long, lead long"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among (a, b): filtered under the second order, then verified in blocks of one leader and members."""
-        left, right = (known.select(F.col("c").alias(k), F.col("p2").alias(f"p{k}")) for k in "ab")
-        shared = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
+        """Links among (a, b): filtered under the other orders, then verified in blocks of one leader and members."""
+        left, right = (known.select(F.col("c").alias(k), F.col("p2").alias(f"p{k}"), F.col("p3").alias(f"q{k}")) for k in "ab")
+        shared = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb") & F.arrays_overlap("qa", "qb")).select("a", "b")
         left, right = known.select(F.col("c").alias("a"), "n", "cells"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("cells").alias("_cells"))
         passed = stored(shared.join(left, "a").join(right, "b").mapInPandas(partial(_can_link, percent=percent), "a long, b long"), "candidates")
         blocks = passed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
