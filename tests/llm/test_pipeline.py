@@ -3,9 +3,8 @@ from collections import Counter
 
 import corpus_pipeline
 from test_decontaminate import brute as contained
-from test_jaccard import brute as components
-from test_jaccard import shingles
 from test_mixing import shares
+from test_pipeline_near import links_by_tokens
 from test_tokens import brute as encoded
 
 from bibliospark.llm.common import WORD
@@ -26,9 +25,7 @@ def test_stages_against_brute_force(spark):
     assert sum(bool(q) == k for q, k in judged) >= 0.95 * len(judged)
 
     second = stages["near_duplicates"](spark, first, folder).cache()
-    given = rows(first)
-    want = {c for i, n, c in components(given) if n} | {i for i, t, _ in given if not shingles(t)}
-    assert second.columns == docs.columns and Counter(i for i, *_ in rows(second)) == Counter(want)
+    assert second.columns == docs.columns and Counter(i for i, *_ in rows(second)) == Counter(links_by_tokens([(i, t) for i, t, _ in rows(first)]))
 
     third = stages["decontamination"](spark, second, folder).cache()
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
