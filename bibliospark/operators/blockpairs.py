@@ -7,7 +7,6 @@ many tasks, and no task or shuffle ever holds all pairs of it.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.functions.similarity import ratio
+from bibliospark.functions.similarity import Blocks, Subsequence, ratio
 
 LETTERS = 64
 
@@ -28,13 +27,21 @@ def _histogram(texts) -> np.ndarray:
     return counts
 
 
-def _score(scorer: str, a: str, b: str, least: float) -> float:
-    if scorer == "indel":
-        return ratio(a, b)
-    match = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    if 100.0 * match.quick_ratio() <= least or ratio(a, b) <= least:  # matching blocks form a common subsequence
+def _score(scorer: str, a: str, b: str, common: _Prepared, least: float) -> float:
+    """The score of two texts, or 0 where it is not above ``least``."""
+    total = len(a) + len(b)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not common[short].at_least(long, least * total / 200.0):  # matching blocks form a common subsequence
         return 0.0
-    return 100.0 * match.ratio()
+    return ratio(a, b) if scorer == "indel" else 200.0 * Blocks(a, b).total(least * total / 200.0) / total
+
+
+class _Prepared(dict):
+    """text -> its letter masks, made once in a meeting of blocks."""
+
+    def __missing__(self, text: str) -> Subsequence:
+        made = self[text] = Subsequence(text)
+        return made
 
 
 def _evaluate(scorer: str, least: float, length_gap: float | None):
@@ -43,7 +50,7 @@ def _evaluate(scorer: str, least: float, length_gap: float | None):
             for lids, ltexts, rids, rtexts in zip(frame["lids"], frame["ltexts"], frame["rids"], frame["rtexts"]):
                 left, right = _histogram(ltexts), _histogram(rtexts)
                 right_size = right.sum(axis=1)
-                rows = []
+                rows, common = [], _Prepared()
                 for i, text in enumerate(ltexts):
                     # Shared letters bound every ratio of the two texts.
                     size = left[i].sum()
@@ -52,7 +59,7 @@ def _evaluate(scorer: str, least: float, length_gap: float | None):
                     if length_gap is not None:
                         keep &= np.abs(size - right_size) <= length_gap * np.maximum(size, right_size)
                     for j in np.nonzero(keep)[0]:
-                        score = _score(scorer, text, rtexts[j], least)
+                        score = _score(scorer, text, rtexts[j], common, least)
                         if score > least:
                             rows.append((lids[i], rids[j], score))
                 yield pd.DataFrame(rows, columns=["left_id", "right_id", "score"])

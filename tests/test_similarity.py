@@ -1,8 +1,9 @@
 """Ratios against brute force."""
 
+import difflib
 import random
 
-from bibliospark.functions.similarity import lcs_length, partial, ratio, token_set
+from bibliospark.functions.similarity import Blocks, Subsequence, lcs_length, partial, ratio, token_set
 from bibliospark.functions.passages import Form, aligned, locate, proposed_starts
 
 
@@ -96,3 +97,50 @@ def test_damaged_markers_whose_stop_word_stands_elsewhere():
             if score > expected:
                 expected, at = score, i
         assert aligned(text, marker, 60.0) == at
+
+
+def test_matching_blocks_are_difflibs():
+    rng = random.Random(12)
+    for k in range(600):
+        letters = "ab" if k % 3 == 0 else "abcdé "
+        a = words(rng, rng.randrange(40), letters)
+        b = "".join(c if rng.random() < 0.8 else rng.choice(letters + "x") for c in a) if k % 2 else words(rng, rng.randrange(40), letters)
+        want = sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        for cells in (0, 10**7):  # row by row, and from one table
+            assert Blocks(a, b, cells).total() == want
+            least = rng.randrange(40)
+            assert Blocks(a, b, cells).total(least) == (want if want > least else 0)
+        for least in (brute_lcs(a, b) - 1, brute_lcs(a, b), brute_lcs(a, b) + 0.5):
+            assert Subsequence(a).at_least(b, least, 3) == (brute_lcs(a, b) >= least)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """near_dup_pairs and term_insert_filter as whole operators, with copies, ties, nulls and empty bodies."""
+    from bibliospark.operators.resolve import near_dup_pairs, term_insert_filter
+
+    rng = random.Random(13)
+    rows, base = [], [words(rng, rng.randrange(40, 120), "abcdefgh ") for _ in range(12)]
+    for i in range(150):
+        body = "".join(c if rng.random() < 0.93 else rng.choice("abxy") for c in rng.choice(base)) if i % 7 else rng.choice([None, "", base[0]])
+        rows.append((i, i % 2, rng.randrange(12), f"name{i % 60}", "lemma", body))
+    terms = spark.createDataFrame(rows, "id long, book_id long, page long, name string, kind string, latex string")
+    alike = lambda a, b: 100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    full = sorted((r for r in rows if r[5]), key=lambda r: (r[2], r[0]))
+    first = {}
+    for r in full:
+        first.setdefault((r[1], r[2], r[5]), r[0])
+    heads = [r for r in full if first[r[1], r[2], r[5]] == r[0]]
+    want = {(a[0], b[0]) for k, a in enumerate(heads) for b in heads[k + 1 :]
+            if a[1] == b[1] and b[2] - a[2] <= 5 and abs(len(a[5]) - len(b[5])) <= 0.3 * max(len(a[5]), len(b[5])) and alike(a[5], b[5]) > 85}
+    got = near_dup_pairs(terms).collect()
+    assert {(r.id_a, r.id_b) for r in got if not r.is_copy} == want and len(want) > 20
+    assert {(r.id_a, r.id_b) for r in got if r.is_copy} == {(first[r[1], r[2], r[5]], r[0]) for r in full if first[r[1], r[2], r[5]] != r[0]}
+    old, new = rows[:75], rows[75:]
+    kept = term_insert_filter(terms.filter("id >= 75"), terms.filter("id < 75"))
+    named, expected = {(r[1], r[2], r[3]) for r in old}, set()
+    for r in new:
+        clash = (r[1], r[2], r[3]) in named or any(s[0] < r[0] and (s[1], s[2], s[3]) == (r[1], r[2], r[3]) for s in new)
+        close = r[5] and len(r[5]) > 50 and any(s[5] and s[1] == r[1] and abs(s[2] - r[2]) <= 1 and brute_ratio(r[5], s[5]) > 85 for s in old)
+        if not clash and not close:
+            expected.add(r[0])
+    assert {r.id for r in kept.collect()} == expected and len(expected) < len(new)
