@@ -2,9 +2,10 @@
 
 A document's tokens are its distinct shingles of ``width`` lower-case words (three unless told otherwise); two documents
 link when 100 * intersection >= ``percent`` * union (90). In any global order of tokens, two linked documents share a
-token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under three orders: all put the corpus' most frequent
-tokens last, and shuffle the rest by different hashes. Tokens counted in 256 cells bound the intersection from above, so
-most remaining pairs of unlike texts go without their texts being moved; the rest is verified on whole token sets.
+token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under three orders before
+their sets are compared: all put the corpus' most frequent tokens last, and shuffle the rest by different hashes. The
+first order's tokens form the buckets; a candidate's other two prefixes are drawn up where its texts meet. Before texts
+move, 1024 parity bits of a set's tokens tell most unlike sets: sets differ in at least as many tokens as bits.
 
 Documents with equal sets form one class and take part once. Classes that meet under a token of the first order are not
 paired with each other at once: each meets the bucket's leader of its length first (a star), verified links are merged
@@ -27,7 +28,7 @@ from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, distinct, hash_wo
 
 WIDTH, PERCENT = 3, 90
 FREQUENT, SEEN = 300_000, 4
-SHARD_BYTES, BLOCK, CELLS, GROUP = 40_000_000, 256, 256, 1_000
+SHARD_BYTES, BLOCK, BITS, GROUP = 40_000_000, 256, 1_024, 10_000
 SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -57,18 +58,24 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, seed: np.
     return tokens[np.argpartition(order, size - 1)[:size]] if n else tokens
 
 
-def cells(tokens: np.ndarray) -> bytes:
-    """Tokens per cell of 256, one byte each; 255 stands for any larger number."""
-    return np.minimum(np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the tokens in each of 1024 cells, as bits."""
+    return np.packbits(np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def near(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches allow a link: linked sets of together ``n`` tokens differ in at most
+    n * (100 - percent) / (100 + percent), and a token that one of them lacks turns one bit."""
+    return (100 + percent) * np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (100 - percent) * n
+
+
+def unpacked(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, BITS // 64)
 
 
 def _can_link(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs whose cells allow an intersection of the wanted size: union = na + nb - intersection."""
     for frame in frames:
-        a, b = (np.frombuffer(b"".join(frame[k]), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in ("cells", "_cells"))
-        least = np.minimum(a, b)
-        most = least.sum(1) + np.where(((least == 255).any(1)), 1 << 40, 0)
-        yield frame.loc[(100 + percent) * most >= percent * (frame["n"] + frame["_n"]).to_numpy(), ["a", "b"]]
+        yield frame.loc[near(unpacked(frame["sketch"]), unpacked(frame["_sketch"]), (frame["n"] + frame["_n"]).to_numpy(), percent), ["a", "b"]]
 
 
 def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.ndarray, width: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -76,11 +83,9 @@ def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.nda
         sets = [shingles(t, width) for t in frame["text"]]
         classes = mix(np.array([[np.bitwise_xor.reduce(mix(s ^ SEEDS[0])), mix(s).sum(dtype=np.uint64), len(s)] if len(s) else [0, 0, 0] for s in sets], np.uint64).reshape(-1, 3))
         classes = mix(classes[:, 0] + mix(classes[:, 1] + mix(classes[:, 2])))
-        made = [[prefix(s, frequent, rank, seed, percent) for seed in SEEDS] for s in sets]
-        short = lambda p: (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
         yield pd.DataFrame({
-            "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64),
-            "cells": [cells(s) for s in sets], "p1": [p[0].view(np.int64) for p in made], "p2": [short(p[1]) for p in made], "p3": [short(p[2]) for p in made]})
+            "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64), "sketch": [sketch(s) for s in sets],
+            "p1": [prefix(s, frequent, rank, SEEDS[0], percent).view(np.int64) for s in sets]})
 
 
 def _spread(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
@@ -119,14 +124,18 @@ def _buckets(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"token": tokens, "c": c, "n": n, "lead": lead})
 
 
-def _verify(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """Links between the leader of a block and its members, on whole sets."""
+def _verify(frame: pd.DataFrame, frequent: np.ndarray, rank: np.ndarray, width: int, percent: int) -> pd.DataFrame:
+    """Links between the leader of a block and its members: a shared token under each further order, then whole sets."""
     sets = dict(zip(frame["c"], map(partial(shingles, width=width), frame["text"]), strict=True))
+    first = lambda tokens: [prefix(tokens, frequent, rank, seed, percent) for seed in SEEDS[1:]]
     lead = frame["lead"].iloc[0]
     own, out = sets[lead], []
+    filters = first(own)
     for c, tokens in sets.items():
+        if c == lead or not all(np.isin(a, b).any() for a, b in zip(filters, first(tokens), strict=True)):
+            continue
         common = np.intersect1d(own, tokens, assume_unique=True).size
-        if c != lead and 100 * common >= percent * (len(own) + len(tokens) - common):
+        if 100 * common >= percent * (len(own) + len(tokens) - common):
             out.append((c, lead))
     return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
@@ -167,30 +176,46 @@ def still_open(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labelled.join(several, "token", "left_semi"), "open")
 
 
+def _meeting(token: np.ndarray, side: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs to look at, in chunks: of each token all pairs of its rows (side 0), or left by right."""
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(starts, len(token)))
+    alone = side[starts] == 0
+    twos = starts[alone & (sizes == 2)]
+    yield twos, twos + 1
+    lefts, rights, held = [], [], 0
+    for start, size, same in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), alone[sizes > 1].tolist(), strict=True):
+        if same and size == 2:
+            continue
+        if same:
+            left, right = np.triu_indices(size, 1)
+        else:
+            cut = int(np.searchsorted(side[start : start + size], 0))
+            left, right = np.repeat(np.arange(cut), size - cut), np.tile(np.arange(cut, size), cut)
+        lefts.append(left + start)
+        rights.append(right + start)
+        held += len(left)
+        if held > most:
+            yield np.concatenate(lefts), np.concatenate(rights)
+            lefts, rights, held = [], [], 0
+    if lefts:
+        yield np.concatenate(lefts), np.concatenate(rights)
+
+
 def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block pair, or of the small tokens of a shard, that cells, lengths and the tokens of the other orders allow."""
+    """Pairs of a block pair, or of the small tokens of a shard, whose lengths and sketches allow a link."""
     frame = frame.sort_values(["token", "side", "c"])
     token, side, c, n, component = (frame[k].to_numpy() for k in ("token", "side", "c", "n", "component"))
-    counts = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(-1, CELLS)
-    more, out = [frame[k].to_numpy() for k in ("p2", "p3")], set()
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        sides = side[start:stop]
-        left = np.arange(start, stop)[sides <= 0]
-        right = np.arange(start, stop)[sides >= 0]  # side 0: both
-        for i in left.tolist():
-            others = right[(component[right] != component[i]) & (c[right] != c[i])]
-            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-            if not len(others):
-                continue
-            least = np.minimum(counts[others], counts[i])
-            most = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 40, 0)
-            mine = None
-            for j in others[(100 + percent) * most >= percent * (n[others] + n[i])].tolist():
-                mine = [set(p[i].tolist()) for p in more] if mine is None else mine
-                if not any(own.isdisjoint(p[j].tolist()) for own, p in zip(mine, more, strict=True)):
-                    out.add((max(c[i], c[j]), min(c[i], c[j])))
-    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+    marks, out = unpacked(frame["sketch"]), [np.empty((0, 2), np.int64)]
+    for left, right in _meeting(token, side):
+        fits = (component[left] != component[right]) & (c[left] != c[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+        left, right = left[fits], right[fits]
+        for i in range(0, len(left), 100_000):
+            a, b = left[i : i + 100_000], right[i : i + 100_000]
+            keep = near(marks[a], marks[b], n[a] + n[b], percent)
+            a, b = c[a[keep]], c[b[keep]]
+            out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
 def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -202,11 +227,11 @@ def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     shards = max(16, rest.count() // GROUP)
     sizes = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "token").join(known.select("c", "p2", "p3", "cells"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "p2", "p3", "cells")
+    placed = rest.join(sizes, "token").join(known.select("c", "sketch"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "sketch")
     large = placed.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select(F.col("token").alias("key"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
-                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "p2", "p3", "cells")
+                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "sketch")
     return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent), "a long, b long").distinct()
 
 
@@ -224,30 +249,27 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     order = np.argsort(tokens)
     rank = np.arange(len(tokens), 0, -1).astype(np.uint64)[order]  # the most frequent token is last of all
     described = stored(docs.mapInPandas(
-        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, cells binary, p1 array<long>, p2 array<int>, p3 array<int>"), "shingles")
+        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, sketch binary, p1 array<long>"), "shingles")
     filled = described.filter("n > 0")
     classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"))
-    known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("p2").alias("p2"), F.first("p3").alias("p3"), F.first("cells").alias("cells"))
+    known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     spread = filled.select("c", "n", "p1").mapInPandas(partial(_spread, shards=max(1, -(-total // shard_bytes))), "_shard int, tokens binary, c binary, n binary")
     buckets = stored(spread.groupBy("_shard").applyInPandas(partial(_buckets, percent=percent), "token long, c long, n long, lead long"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among (a, b): filtered under the other orders, then verified in blocks of one leader and members."""
-        left, right = (known.select(F.col("c").alias(k), F.col("p2").alias(f"p{k}"), F.col("p3").alias(f"q{k}")) for k in "ab")
-        shared = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb") & F.arrays_overlap("qa", "qb")).select("a", "b")
-        left, right = known.select(F.col("c").alias("a"), "n", "cells"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("cells").alias("_cells"))
-        passed = stored(shared.join(left, "a").join(right, "b").mapInPandas(partial(_can_link, percent=percent), "a long, b long"), "candidates")
+    def verified(passed: DataFrame) -> DataFrame:
+        """Links among (a, b), in blocks of one leader and members."""
         blocks = passed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         members = passed.join(blocks, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("c"))
         leaders = blocks.select(F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("c"))
         wanted = members.unionByName(leaders).join(classes.select("c", F.col("rep_row").alias("_row")), "c")
         texts = docs.select("_row", "text").join(wanted, "_row").select("lead", "block", "c", "text")
-        return stored(texts.groupBy("lead", "block").applyInPandas(partial(_verify, width=width, percent=percent), "a long, b long").distinct(), "verified")
+        return stored(texts.groupBy("lead", "block").applyInPandas(partial(_verify, frequent=tokens[order], rank=rank, width=width, percent=percent), "a long, b long").distinct(), "verified")
 
     stars = buckets.filter("c != lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
-    links = verified(stars)
+    left, right = known.select(F.col("c").alias("a"), "n", "sketch"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+    links = verified(stored(stars.join(left, "a").join(right, "b").mapInPandas(partial(_can_link, percent=percent), "a long, b long"), "candidates"))
     rest = still_open(buckets, links)
-    final = components(links.unionByName(verified(met_in_blocks(rest, known, percent))))
+    final = components(links.unionByName(verified(stored(met_in_blocks(rest, known, percent), "candidates"))))
     smallest = final.join(classes.select(F.col("c").alias("node"), "rep"), "node")
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("c"), "least")
     own = classes.select("c", "rep").join(smallest, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
