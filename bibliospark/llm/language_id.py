@@ -28,6 +28,7 @@ LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDERS = (5, 4, 3, 2, 1)
 DOCS, WORDS, GRAMS, CELLS = 4_000, 120_000, 60_000, 8_000_000
 SMOOTHING = 0.5
+FEW_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -44,8 +45,9 @@ def grams_of(word: str, order: int) -> list[str]:
 def sample(documents: DataFrame, docs: int = DOCS) -> DataFrame:
     """(lang, text) of about ``docs`` documents of each language, by a hash threshold per language: no language is sorted."""
     known = documents.select(F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("_at")).filter("lang is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
-    return known.join(sizes, "lang").filter(F.col("_at") < F.lit(float(docs << 40)) / F.col("_size")).select("lang", "text")
+    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")), "languages")
+    few = sizes.count() <= FEW_LANGUAGES  # then texts need no exchange
+    return known.join(F.broadcast(sizes) if few else sizes, "lang").filter(F.col("_at") < F.lit(float(docs << 40)) / F.col("_size")).select("lang", "text")
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
