@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
+from bibliospark.session import cut_lineage
 
 
 def substring_keys(needle: str | Column) -> Column:
@@ -32,8 +33,8 @@ def rare_key_pairs(needles: DataFrame, texts: DataFrame, needle_keys: Column, ke
     nothing and keeps common keys out of the join. needles(needle_id, needle), texts(text_id, text).
     """
     wanted = needles.select("needle_id", F.size(needle_keys).alias("_size"), F.explode(needle_keys).alias("_key"))
-    held = texts.select("text_id", F.explode(keys_of_text).alias("_key")).join(
-        wanted.select("_key").distinct(), "_key", "left_semi")
+    # Read for the counts and for the join; texts are expanded once.
+    held = cut_lineage(texts.select("text_id", F.explode(keys_of_text).alias("_key")).join(wanted.select("_key").distinct(), "_key", "left_semi"))
     counts = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_count"))
     rarest = (
         wanted.join(counts, "_key").groupBy("needle_id", "_size")
@@ -43,18 +44,60 @@ def rare_key_pairs(needles: DataFrame, texts: DataFrame, needle_keys: Column, ke
     return held.join(rarest, "_key").select("needle_id", "text_id")
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def whole_words(text: str | Column) -> Column:
+    """Runs of letters and digits as they are written."""
+    return F.regexp_extract_all(tx.column(text), F.lit(WORD), F.lit(0))
+
+
+def vocabulary_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (needle_id, text_id) whose text holds a word that contains a piece of the needle, for its rarest piece.
+
+    The pieces of a needle are its runs of letters and digits. Where a text holds the needle, each piece lies inside one
+    word of the text. So grams are taken of the distinct words only, a needle's pieces are matched with words, and the
+    piece whose words stand in the fewest texts leads to the texts. Needles without a letter or digit have no pairs here.
+    """
+    held = texts.select("text_id", F.explode(F.array_distinct(whole_words("text"))).alias("_word"))
+    vocabulary = cut_lineage(held.groupBy("_word").agg(F.count(F.lit(1)).alias("_held")))
+    asked = needles.select("needle_id", F.explode(F.array_distinct(whole_words("needle"))).alias("_piece"))
+    pieces, words = asked.select("_piece").distinct().select(F.col("_piece").alias("needle_id"), F.col("_piece").alias("needle")), vocabulary.select(F.col("_word").alias("text_id"), F.col("_word").alias("text"))
+    close = rare_key_pairs(pieces, words, substring_keys("needle"), text_keys("text"))
+    inside = cut_lineage(close.filter(F.contains("text_id", F.col("needle_id"))).select(F.col("needle_id").alias("_piece"), F.col("text_id").alias("_word")))
+    cost = inside.join(vocabulary, "_word").groupBy("_piece").agg(F.sum("_held").alias("_cost"))
+    rarest = asked.join(cost, "_piece", "left").groupBy("needle_id").agg(F.min_by("_piece", F.struct(F.coalesce("_cost", F.lit(0)), "_piece")).alias("_piece"))
+    wanted = rarest.join(inside, "_piece").select("needle_id", "_word")
+    return held.join(wanted, "_word").select("needle_id", "text_id").distinct()
+
+
+def positions(pairs: DataFrame, needles: DataFrame, texts: DataFrame, block: int = 1_000) -> DataFrame:
+    """(needle_id, text_id, position from 1) of the candidate pairs whose text holds the needle.
+
+    The needles of a text travel to it in blocks of about ``block`` and are looked up in place, so a text moves once per
+    block and not once per pair.
+    """
+    blocks = pairs.groupBy("text_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    placed = pairs.join(needles, "needle_id").join(blocks, "text_id").withColumn("_block", F.pmod(F.xxhash64("needle_id"), "_blocks"))
+    packed = placed.groupBy("text_id", "_block").agg(F.collect_list(F.struct("needle_id", "needle")).alias("_needles"))
+    looked = packed.join(texts, "text_id").select("text_id", F.explode(F.filter(F.transform("_needles", lambda n: F.struct(
+        n.needle_id.alias("needle_id"), F.instr(F.col("text"), n.needle).alias("position"))), lambda h: h.position > 0)).alias("_h"))
+    return looked.select("_h.needle_id", "text_id", "_h.position")
+
+
 def containment_join(needles: DataFrame, texts: DataFrame, passages: bool = False) -> DataFrame:
-    """Exact "text contains needle" join: (needle_id, text_id) with needles(needle_id, needle), texts(text_id, text).
+    """Exact "text contains needle" join: (needle_id, text_id, position from 1) with needles(needle_id, needle), texts(text_id, text).
 
-    ``passages`` blocks needles with an inner word (three words or more) on those; shorter ones go by trigrams as well.
+    ``passages`` is for long texts: needles with an inner word (three words or more) are blocked on those, shorter ones on
+    the words that hold their pieces, and those without a letter or digit on trigrams of the texts.
     """
     if passages:
-        inner = F.size(inner_words("needle")) > 0
+        inner, worded = F.size(inner_words("needle")) > 0, F.size(whole_words("needle")) > 0
         pairs = rare_key_pairs(needles.filter(inner), texts, inner_words("needle"), F.array_distinct(tx.tokens("text"))).unionByName(
-            rare_key_pairs(needles.filter(~inner), texts, substring_keys("needle"), text_keys("text")))
+            vocabulary_pairs(needles.filter(~inner & worded), texts))
+        signs = needles.filter(~inner & ~worded & (F.col("needle") != ""))
+        if not signs.isEmpty():
+            pairs = pairs.unionByName(rare_key_pairs(signs, texts, substring_keys("needle"), text_keys("text")))
     else:
         pairs = rare_key_pairs(needles, texts, substring_keys("needle"), text_keys("text"))
-    return (
-        pairs.join(needles, "needle_id").join(texts, "text_id")
-        .filter(F.contains("text", F.col("needle"))).select("needle_id", "text_id")
-    )
+    return positions(pairs, needles, texts)

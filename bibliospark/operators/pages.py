@@ -214,9 +214,9 @@ def passage_text(located: DataFrame, pairs: DataFrame, pages: DataFrame, ahead:
 
 
 def locate_in_corpus(passages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(needle_id, text_id, position): every text that holds a passage verbatim, blocked on rare inner words."""
-    hits = containment_join(passages, texts, passages=True)
-    return hits.join(passages, "needle_id").join(texts, "text_id").select("needle_id", "text_id", (F.instr(F.col("text"), F.col("needle")) - 1).alias("position"))
+    """(needle_id, text_id, position): every text that holds a passage verbatim; equal passages are searched once."""
+    hits = containment_join(passages.select("needle").distinct().select(F.col("needle").alias("needle_id"), "needle"), texts, passages=True)
+    return hits.withColumnRenamed("needle_id", "needle").join(passages, "needle").select("needle_id", "text_id", (F.col("position") - 1).alias("position"))
 
 
 def recover_placeholders(terms: DataFrame, pages: DataFrame, fuzzy: bool = True, before: int = 1, after: int = 2) -> DataFrame:
