@@ -2,8 +2,9 @@
 
 Category k is a logistic model over the distinct words of a whole text and the probabilities of categories 0..k-1. In
 training those probabilities are out of fold: a document's earlier categories are predicted by models that have not seen
-it, so later models meet inputs of the kind they will meet when scoring. Words become features by their evidence over
-the training sample, tested on all categories.
+it, down to the choice of their words, so later models meet inputs of the kind they will meet when scoring. Words become
+features by their evidence over the documents a model is fitted on. The last category's out-of-fold probabilities also
+set the threshold: the lowest one that at most ``FALSE`` of the documents without the label reach.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bibliospark.llm.common import ascii_lower, plain, restored_id
 
-SAMPLE, FEATURES, FOLDS = 8_000, 2_000, 5
+SAMPLE, FEATURES, FOLDS, FALSE = 8_000, 2_000, 5, 0.002
 TERM = re.compile(r"[^\W\d_]+|[^\w\s]+")
 STEMS = (4, 5)
 
@@ -109,21 +110,38 @@ def probability(w: np.ndarray, x: Sparse) -> np.ndarray:
 def train_chain(texts: list[str], y: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> dict:
     """Terms and one weight vector per category, in the order of the columns of ``y``."""
     bags = [{s for w in terms(t) for s in stems(w)} for t in texts]
-    names = chosen_terms(bags, y, features) if len(y) else []
-    place = {w: i for i, w in enumerate(names)}
-    rows = [sorted(place[w] for w in bag & place.keys()) for bag in bags]
-    fold = np.arange(len(rows)) % folds
+    fold = np.arange(len(bags)) % folds
+
+    def placed(names: list[str]) -> tuple[dict[str, int], list[list[int]]]:
+        place = {w: i for i, w in enumerate(names)}
+        return place, [sorted(place[w] for w in bag & place.keys()) for bag in bags]
+
+    inside = []  # the features of each fold, chosen without its documents
+    for f in range(folds):
+        seen = np.flatnonzero(fold != f)
+        inside.append(placed(chosen_terms([bags[i] for i in seen], y[seen], features) if len(seen) else []))
+    place, rows = placed(chosen_terms(bags, y, features) if len(y) else [])
     earlier, weights = np.empty((len(rows), 0)), []
     for k in range(y.shape[1]):
-        x = Sparse(rows, len(names), np.column_stack([earlier, np.ones(len(rows))]))
+        dense = np.column_stack([earlier, np.ones(len(rows))])
         outside = np.zeros(len(rows))
-        for f in range(folds):
+        for f, (own, found) in enumerate(inside):
             seen, unseen = fold != f, fold == f
-            if unseen.any() and k + 1 < y.shape[1]:
+            if unseen.any():
+                x = Sparse(found, len(own), dense)
                 outside[unseen] = probability(logistic(x.part(seen), y[seen, k]), x.part(unseen))
-        weights.append(logistic(x, y[:, k]))
+        weights.append(logistic(Sparse(rows, len(place), dense), y[:, k]))
         earlier = np.column_stack([earlier, outside])
-    return {"terms": place, "weights": weights}
+    return {"terms": place, "weights": weights, "threshold": threshold(earlier[:, -1], y[:, -1]) if y.shape[1] else 0.5}
+
+
+def threshold(scores: np.ndarray, labels: np.ndarray, false: float = FALSE) -> float:
+    """The lowest probability, 0.5 at most, that no more than a share of ``false`` of the documents of label 0 reach."""
+    clean = np.sort(scores[labels == 0])
+    if not len(clean) or not (labels == 1).any():
+        return 0.5
+    allowed = int(false * len(clean))
+    return float(min(0.5, np.nextafter(clean[len(clean) - 1 - allowed], 1)))
 
 
 def chain_scores(model: dict, texts: list[str], places: Places | None = None) -> np.ndarray:
@@ -153,8 +171,9 @@ def fit(documents: DataFrame, labels: DataFrame, categories: list[str], sampled:
     return train_chain([t for t, _ in found], np.array([v for _, v in found], float).reshape(-1, len(categories)))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5, sampled: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, one probability per category (named like it), predicted (last category >= threshold).
+def toxicity(documents: DataFrame, labels: DataFrame, categories: list[str], threshold: float | None = None, sampled: int = SAMPLE) -> DataFrame:
+    """One row per document: doc_id, one probability per category (named like it), predicted (last category >= threshold,
+    by default the one set by out-of-fold probabilities).
 
     labels(doc_id, the categories as 0/1, in chain order). Null texts count as empty; a category with one label only
     gives its share; without labels every probability is 0.5. Repeated rows give repeated results; other columns are
@@ -169,4 +188,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, categories: list[str], thr
             yield pd.DataFrame({"_id": frame["_id"], **dict(zip(names, chain_scores(model, list(frame["text"]), places).T, strict=True))})
 
     scored = plain(documents).mapInPandas(run, "_id long, " + ", ".join(f"{n} double" for n in names))
-    return scored.select(restored_id(), *[F.col(n).alias(c) for n, c in zip(names, categories, strict=True)], (F.col(names[-1]) >= threshold).cast("int").alias("predicted"))
+    return scored.select(restored_id(), *[F.col(n).alias(c) for n, c in zip(names, categories, strict=True)], (F.col(names[-1]) >= (model["threshold"] if threshold is None else threshold)).cast("int").alias("predicted"))
