@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from bibliospark.functions import text as tx
 from bibliospark.operators.blocking import rare_key_pairs
-from bibliospark.partitioning import top_per_key
+from bibliospark.operators.vectors import cosine, knn
+from bibliospark.partitioning import full_ranks, top_per_key
 from bibliospark.sources.index import token_stats
 
 # Field boosts of the book and term searches, and the constants of score fusion.
@@ -73,9 +74,12 @@ def bm25_scores(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: d
     return scored.join(need, "query_id").filter("_held = _need").select("query_id", "doc_id", "score")
 
 
-def bm25_search(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 50, **options) -> DataFrame:
-    """The best ``limit`` documents of every query with their rank."""
-    return top_per_key(bm25_scores(post, stats, queries, boosts, **options), ["query_id"], limit, F.col("score").desc(), "doc_id")
+def bm25_search(post: DataFrame, stats: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int | None = 50, **options) -> DataFrame:
+    """The best ``limit`` documents of every query with their rank; all of them without a limit."""
+    scores, order = bm25_scores(post, stats, queries, boosts, **options), [F.col("score").desc(), F.col("doc_id")]
+    if limit is None:
+        return full_ranks(scores, ["query_id"], *order)
+    return top_per_key(scores, ["query_id"], limit, *order)
 
 
 def search_filters(books: DataFrame, msc=None, publisher=None, keywords=None) -> DataFrame:
@@ -103,13 +107,60 @@ def hybrid_search(text_hits: DataFrame, vector_hits: DataFrame, pool: int | None
     return scored if pool is None else top_per_key(scored, ["query_id"], pool, F.col("score").desc(), "doc_id").drop("rank")
 
 
+def sort_order(sort_by: str) -> list[Column]:
+    """Sort keys of a result page before the score."""
+    return {"title": [F.lower("title").asc()], "author": [F.lower("author").asc()],
+            "year": [F.coalesce("year", F.lit(0)).desc()], "relevance": []}[sort_by]
+
+
+def with_cosines(text_hits: DataFrame, corpus: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """(query_id, doc_id, score, cosine) of all text hits; null cosine where the document or the query has no vector."""
+    vectors_of = lambda df, key, name: df.filter(F.size("vec") == dim).select(F.col(key).cast("long").alias(name), F.col("vec").cast("array<float>").alias(f"_{name}"))
+    both = text_hits.select("query_id", "doc_id", "score").join(vectors_of(corpus, "id", "doc_id"), "doc_id", "left").join(vectors_of(queries, "query_id", "query_id"), "query_id", "left")
+    return both.select("query_id", "doc_id", "score", cosine("_doc_id", "_query_id").alias("cosine"))
+
+
+def hybrid_page(text_hits: DataFrame, corpus: DataFrame, queries: DataFrame, books: DataFrame, dim: int, sort_by: str = "relevance", limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page per query over all text hits and all vectors, exact, without ranking every vector for every query.
+
+    text_hits(query_id, doc_id, score), corpus(id, vec), queries(query_id, vec), books(doc_id, title, author, year). Each text
+    hit gets its cosine by a join. A book without a text hit scores by its vector alone, so on a page of the n best it is
+    among the n nearest books; sorted by another key it is among the books of the n first keys, and only those are ranked.
+    ``total`` counts text hits and all books with a vector.
+    """
+    n, order = offset + limit, sort_order(sort_by)
+    listed = corpus.join(books.select(F.col("doc_id").alias("id"), "title", "author", "year"), "id").filter((F.size("vec") == dim) & F.exists("vec", lambda x: x != 0))
+    own = with_cosines(text_hits.join(books.select("doc_id"), "doc_id", "left_semi"), corpus, queries, dim)
+    asked = queries.filter(F.size("vec") == dim)
+    if order:
+        first = listed.orderBy(*order, "id").limit(n).select(F.struct(*_keys(sort_by)).alias("_k")).agg((F.min if sort_by == "year" else F.max)("_k").alias("_k"))
+        ahead = F.struct(*_keys(sort_by)) >= F.col("_k") if sort_by == "year" else F.struct(*_keys(sort_by)) <= F.col("_k")
+        near = knn(listed.withColumn("_k", first.scalar()).filter(ahead).select("id", "vec"), asked, None, dim)
+    else:
+        near = knn(listed.select("id", "vec"), asked, n, dim)
+    alone = near.select("query_id", F.col("id").alias("doc_id"), F.lit(None).cast("double").alias("score"), "cosine").join(own, ["query_id", "doc_id"], "left_anti")
+    vector = F.coalesce(VECTOR_BOOST * (1 + F.col("cosine")) / 2, F.lit(0.0))
+    scored = own.unionByName(alone).select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)) + vector, 6).alias("score"))
+    size = listed.agg(F.count(F.lit(1))).scalar()
+    plain = own.groupBy("query_id").agg(F.sum(F.when(F.col("cosine").isNull(), 1).otherwise(0)).alias("_plain"))
+    totals = asked.select(F.col("query_id").cast("long").alias("query_id"), size.alias("_size")).distinct().join(plain, "query_id", "full").select(
+        "query_id", (F.coalesce("_size", F.lit(0)) + F.coalesce("_plain", F.lit(0))).alias("total"))
+    return ranked_page(scored, books, order, limit, offset).join(totals, "query_id")
+
+
+def _keys(sort_by: str) -> list[Column]:
+    return [F.coalesce("year", F.lit(0))] if sort_by == "year" else [F.lower(sort_by)]
+
+
+def ranked_page(hits: DataFrame, books: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    ranked = top_per_key(hits.join(books, "doc_id"), ["query_id"], offset + limit, *order, F.col("score").desc(), "doc_id", rank="position")
+    return ranked.filter(F.col("position") > offset)
+
+
 def result_page(hits: DataFrame, books: DataFrame, sort_by: str = "relevance", limit: int = 20, offset: int = 0) -> DataFrame:
     """One page per query with its total; books(doc_id, title, author, year). Score is the second key, then id."""
-    order = {"title": [F.lower("title").asc()], "author": [F.lower("author").asc()],
-             "year": [F.coalesce("year", F.lit(0)).desc()], "relevance": []}[sort_by]
     totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_per_key(hits.join(books, "doc_id"), ["query_id"], offset + limit, *order, F.col("score").desc(), "doc_id", rank="position")
-    return ranked.filter(F.col("position") > offset).join(totals, "query_id")
+    return ranked_page(hits, books, sort_order(sort_by), limit, offset).join(totals, "query_id")
 
 
 NUMBERS = r"[\s,]*(\d+(?:[\s,–\.-]+\d+)*)"

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.partitioning import top_per_key
+from bibliospark.partitioning import full_ranks, top_per_key
 
 
 def _pack(block: int):
@@ -38,7 +38,7 @@ def _unit(rows) -> np.ndarray:
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
 
 
-def _best(k: int):
+def _best(k: int | None):
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for ids, vecs, queries, query_vecs in zip(frame["ids"], frame["vecs"], frame["qids"], frame["qvecs"]):
@@ -54,9 +54,18 @@ def _best(k: int):
     return best
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 1024, in_place: str = "corpus") -> DataFrame:
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two vector columns, rounded to 6 digits; null where one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.round(F.when(norms > 0, dot(a, b) / norms), 6)
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int | None, dim: int, block: int = 1024, in_place: str = "corpus") -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest rows of corpus(id, vec) to each of queries(query_id, vec).
 
+    Without ``k`` every row is ranked for every query, a result of queries times rows.
+
     ``in_place`` names the large side, which is scanned where it lies; the other side travels in blocks. Vectors of
     another length than ``dim`` or of zero length are skipped. Cosines are rounded to 6 digits before ranking, equal
     ones rank by id.
@@ -79,7 +88,10 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 10
     corpus_first = names if in_place == "corpus" else names[2:] + names[:2]
     pairs = meet.select(*[F.col(a).alias(b) for a, b in zip(corpus_first, ("ids", "vecs", "qids", "qvecs"))])
     scored = pairs.mapInPandas(_best(k), "query_id bigint, id bigint, cosine double")
-    return top_per_key(scored.withColumn("cosine", F.round("cosine", 6)), ["query_id"], k, F.col("cosine").desc(), "id")
+    scored, order = scored.withColumn("cosine", F.round("cosine", 6)), [F.col("cosine").desc(), F.col("id")]
+    if k is None:
+        return full_ranks(scored, ["query_id"], *order)
+    return top_per_key(scored, ["query_id"], k, *order)
 
 
 def similar_items(corpus: DataFrame, k: int, dim: int) -> DataFrame:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibliospark.session import cut_lineage
+
 
 def descending(column: str | Column) -> Column:
     """Sort key for use inside a struct: numeric columns only."""
@@ -124,3 +126,16 @@ def rank_in_key(df: DataFrame, keys: Sequence[str], position: str, name: str, wi
         F.sum("_n").over(Window.partitionBy(*keys)).alias(f"{name}_of"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(position)) - 1
     return rows.withColumn("_r", inside).join(shift, [*keys, "_b"]).withColumn(name, F.col("_shift") + F.col("_r")).drop("_b", "_r", "_shift")
+
+
+def full_ranks(df: DataFrame, keys: Sequence[str], *order: Column, rank: str = "rank") -> DataFrame:
+    """Every row with its rank in its key, from 1, also where a key holds most rows: rows are dealt by range, ranked inside
+    their part of a key and shifted by the rows in its earlier parts. ``order`` must leave no ties."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df)  # read for the bounds of the ranges and for the rows
+    dealt = cut_lineage(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return dealt.withColumn("_r", inside).join(shift, [*keys, "_part"]).withColumn(rank, (F.col("_shift") + F.col("_r")).cast("int")).drop("_part", "_r", "_shift")

@@ -60,10 +60,10 @@ def bm25_search(t):
 COSINE = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-def knn_sql(k: int, left: str, right: str) -> str:
-    """hits(query_id, id, cosine, rank) between embedding rows of two selections."""
+def knn_sql(k: int | None, left: str, right: str) -> str:
+    """hits(query_id, id, cosine, rank) between embedding rows of two selections; all of them without ``k``."""
     return f"""hits AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS cosine,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM {left} a, {right} b) WHERE rank <= {k})"""
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM {left} a, {right} b){f' WHERE rank <= {k}' if k else ''})"""
 
 
 ASKED = "(SELECT e.* FROM embeddings e JOIN benchmark ON item_id = vec_id)"
@@ -93,25 +93,32 @@ def catalogue(t):
     return fx.books(t).select(F.col("id").alias("doc_id"), "title", "author", "year")
 
 
-@query("hybrid_search", f"""WITH {BM25}, {knn_sql(100, ASKED, 'embeddings')}, {HYBRID},
+@query("hybrid_search", f"""WITH {BM25}, {knn_sql(None, ASKED, 'embeddings')}, {HYBRID},
 r AS (SELECT query_id, doc_id, score, title, author, year, count(*) OVER (PARTITION BY query_id) AS total,
   row_number() OVER (PARTITION BY query_id ORDER BY year DESC, score DESC, doc_id) AS position FROM hyb JOIN {fx.BOOKS_SQL} b ON b.id = doc_id)
 SELECT * FROM r WHERE position > 5 AND position <= 25""")
 def hybrid_search(t):
-    hits = op.hybrid_search(searched(t), vectors.knn(corpus(t), query_vectors(t), 100, DIM))
-    return op.result_page(hits.join(catalogue(t).select("doc_id"), "doc_id", "left_semi"), catalogue(t), "year", limit=20, offset=5)
+    return op.hybrid_page(searched(t), corpus(t), query_vectors(t), catalogue(t), DIM, "year", limit=20, offset=5)
+
+
+@query("hybrid_search_relevance", f"""WITH {BM25}, {knn_sql(None, ASKED, 'embeddings')}, {HYBRID},
+r AS (SELECT query_id, doc_id, score, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position
+  FROM hyb JOIN documents USING (doc_id))
+SELECT * FROM r WHERE position <= 20""")
+def hybrid_search_relevance(t):
+    return op.hybrid_page(searched(t), corpus(t), query_vectors(t), catalogue(t), DIM).select("query_id", "doc_id", "score", "total", "position")
 
 
 FILTERED = "(SELECT * FROM documents WHERE starts_with(lang, 'e') AND source = 'src1')"
 
 
 @query("search_filters", f"""WITH {BM25}, f AS (SELECT doc_id FROM {FILTERED}),
-{knn_sql(100, ASKED, '(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ' + FILTERED + '))')},
+{knn_sql(None, ASKED, '(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ' + FILTERED + '))')},
 {HYBRID} SELECT query_id, doc_id, score FROM hyb WHERE doc_id IN (FROM f)""")
 def search_filters(t):
     docs = search_docs(t).withColumnsRenamed({"lang": "msc_class", "source": "publisher"})
     kept = op.search_filters(docs, msc="e", publisher="src1").select("doc_id")
-    near = vectors.knn(corpus(t).join(kept, F.col("id") == F.col("doc_id"), "left_semi"), query_vectors(t), 100, DIM)
+    near = vectors.knn(corpus(t).join(kept, F.col("id") == F.col("doc_id"), "left_semi"), query_vectors(t), None, DIM)
     return op.hybrid_search(searched(t).join(kept, "doc_id", "left_semi"), near)
 
 
@@ -120,7 +127,7 @@ def index_lookup(t):
     pair = F.regexp_extract("text", r"^\p{L}+[^\p{L}]+(\p{L}+ \p{L}+)", 1)
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), pair.alias("query")).filter("query <> ''")
     docs = search_docs(t)
-    hits = op.bm25_search(*index.stored_index(docs, ["title"]), asked, {"title": 4.0}, 1000)
+    hits = op.bm25_scores(*index.stored_index(docs, ["title"]), asked, {"title": 4.0})
     texts = docs.select("doc_id", F.regexp_replace("text", r"[.,]", ", 12, 14-16, 20 ").alias("index_text"))
     return op.index_lookup(hits.join(texts, "doc_id").join(asked, "query_id")).select("query_id", "doc_id", "score", "index_matches")
 
@@ -222,10 +229,10 @@ FORMULA_QUERY = "src3 + ?a"
 
 
 @query("rrf_term_search", f"""WITH {bm25_sql(TERM_FIELDS.replace("@docs", "(SELECT * FROM documents WHERE lang <> 'de')"), TERM_BOOSTS)},
-{knn_sql(250, ASKED, "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'de'))")},
+{knn_sql(None, ASKED, "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'de'))")},
 {HARVEST_SQL},
 ch AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS concept_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM {ASKED} a, {CONCEPTS} b) WHERE rank <= 3),
-tx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scores QUALIFY r <= 250),
+tx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scores),
 fu AS (SELECT query_id, doc_id, tx.r AS r1, h.rank AS r2 FROM tx FULL JOIN (SELECT query_id, id AS doc_id, rank FROM hits) h USING (query_id, doc_id)),
 sc AS (SELECT fu.query_id, fu.doc_id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) + CASE WHEN ch.concept_id IS NULL THEN 0 ELSE 0.15 END
     + CASE WHEN fu.doc_id IN (SELECT id FROM u WHERE regexp_matches(fs[idx + 1], 's\\s*r\\s*c\\s*3\\s*\\+\\s*\\S')) THEN 0.2 ELSE 0 END, 6) AS score
@@ -235,8 +242,8 @@ FROM sc s JOIN documents d ON d.doc_id = s.doc_id QUALIFY position <= 100""")
 def rrf_term_search(t):
     docs = term_docs(t).filter("kind <> 'de'")
     kept = docs.select("doc_id")
-    text = op.bm25_search(*index.stored_index(docs, list(TERM_BOOSTS)), queries(t), TERM_BOOSTS, 250)
-    near = vectors.knn(corpus(t).join(kept, F.col("id") == F.col("doc_id"), "left_semi"), query_vectors(t), 250, DIM)
+    text = op.bm25_search(*index.stored_index(docs, list(TERM_BOOSTS)), queries(t), TERM_BOOSTS, None)
+    near = vectors.knn(corpus(t).join(kept, F.col("id") == F.col("doc_id"), "left_semi"), query_vectors(t), None, DIM)
     concepts = vectors.knn(label_concepts(t), query_vectors(t), 3, DIM, in_place="queries").select("query_id", F.col("id").alias("concept_id"))
     of_term = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("concept_id"))
     formulas = op.formula_match(index.formula_harvest(latex_terms(t)), queries(t).select("query_id", F.lit(FORMULA_QUERY).alias("query")))

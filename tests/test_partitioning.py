@@ -65,3 +65,13 @@ def test_key_helpers_do_not_depend_on_partitions(spark):
         assert top == {(k, v) for k in "ab" for v in sorted(x for y, x, _ in rows if y == k)[:3]}
         counts = {r["k"]: r["n"] for r in with_key_count(df, ["k"]).collect()}
         assert counts == {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
+
+
+def test_full_ranks_of_a_hot_key(spark):
+    from bibliospark.partitioning import full_ranks
+
+    rows = spark.range(3000).select((F.col("id") % 10 == 0).cast("int").alias("k"), (F.col("id") * 7919 % 3001).alias("v"), "id")
+    got = full_ranks(rows, ["k"], F.col("v").desc(), F.col("id")).collect()
+    for k in (0, 1):
+        ordered = sorted(((-r.v, r.id) for r in got if r.k == k))
+        assert [(r.rank, r.id) for r in sorted((r for r in got if r.k == k), key=lambda r: r.rank)] == [(n + 1, i) for n, (_, i) in enumerate(ordered)]
