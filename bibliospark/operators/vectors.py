@@ -1,4 +1,4 @@
-"""Exact nearest neighbours as block products.
+"""Nearest neighbours: exact as block products, or by inverted lists with exact cosines inside the lists probed.
 
 The smaller side is packed into blocks of about ``block`` rows, the larger is packed batch by batch where it lies, and
 the two meet in an equi-join on the block number. Each task multiplies one corpus block with one query block and emits
@@ -9,6 +9,7 @@ A single travelling block is small enough for Spark to broadcast, and then the l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -94,9 +95,80 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | None, dim: int, block: i
     return top_per_key(scored, ["query_id"], k, *order)
 
 
-def similar_items(corpus: DataFrame, k: int, dim: int) -> DataFrame:
-    """The k nearest other rows of every row: k + 1 neighbours minus the row itself, in order."""
-    hits = knn(corpus, corpus.select(F.col("id").alias("query_id"), "vec"), k + 1, dim)
+class Lists(NamedTuple):
+    """Inverted lists: how many, how many of them a query probes, and how many rows at most the centres are fitted on."""
+
+    count: int
+    probes: int
+    sample: int = 20_000
+
+
+def centres(corpus: DataFrame, dim: int, lists: Lists, rounds: int = 12) -> np.ndarray:
+    """Unit centres of ``lists.count`` groups, by spherical k-means over a sample of at most ``lists.sample`` rows chosen by
+    a hash of the id. Each further starting centre is the sampled row that is least like those before it."""
+    usable = corpus.filter((F.size("vec") == dim) & F.exists("vec", lambda x: x != 0))
+    rows = usable.select("id", F.col("vec").cast("array<float>").alias("vec")).orderBy(F.xxhash64("id"), "id").limit(lists.sample).collect()
+    if not rows:
+        return np.zeros((0, dim))
+    units = _unit([r.vec for r in rows])
+    chosen, closest = [0], units @ units[0]
+    while len(chosen) < min(lists.count, len(units)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, units @ units[chosen[-1]])
+    middle = units[chosen]
+    for _ in range(rounds):
+        nearest = (units @ middle.T).argmax(1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, nearest, units)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        middle = np.where(norms > 0, sums / np.maximum(norms, 1e-12), middle)
+    return middle
+
+
+def _listed(middle: np.ndarray, probes: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                near = np.argsort(-np.nan_to_num(_unit(frame["vec"]) @ middle.T, nan=-2.0), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(len(frame)), near.shape[1])
+                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "id": frame["id"].to_numpy()[at], "vec": [frame["vec"].iloc[i] for i in at]})
+
+    return run
+
+
+def in_lists(rows: DataFrame, dim: int, middle: np.ndarray, probes: int = 1) -> DataFrame:
+    """(list, id, vec): every row of the right length in its ``probes`` nearest lists."""
+    usable = rows.filter(F.size("vec") == dim).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    return usable.mapInPandas(_listed(middle, probes), "list int, id bigint, vec array<float>")
+
+
+def _blocks(listed: DataFrame, block: int, ids: str, vecs: str) -> DataFrame:
+    """A list's rows in blocks of about ``block``, so a list that holds most rows becomes many rows."""
+    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    placed = listed.join(sizes, "list").withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks"))
+    packed = placed.groupBy("list", "_b").agg(F.collect_list(F.struct("id", "vec")).alias("_m"))
+    return packed.select("list", F.col("_m.id").alias(ids), F.col("_m.vec").alias(vecs))
+
+
+def knn_in_lists(corpus: DataFrame, queries: DataFrame, k: int, dim: int, lists: Lists, block: int = 1024) -> DataFrame:
+    """(query_id, id, cosine, rank) like ``knn``, among the rows of the lists that a query probes.
+
+    Every row is in the list of its nearest centre. Blocks of a list meet blocks of the queries that probe it; cosines are
+    exact, so only rows of other lists can be missed. Work falls to about probes / count of the exact one.
+    """
+    middle = centres(corpus, dim, lists)
+    if not len(middle):
+        return knn(corpus, queries, k, dim)
+    own = _blocks(in_lists(corpus, dim, middle), block, "ids", "vecs")
+    asked = _blocks(in_lists(queries.withColumnRenamed("query_id", "id"), dim, middle, lists.probes), block, "qids", "qvecs")
+    scored = own.join(asked, "list").select("ids", "vecs", "qids", "qvecs").mapInPandas(_best(k), "query_id bigint, id bigint, cosine double")
+    return top_per_key(scored.withColumn("cosine", F.round("cosine", 6)), ["query_id"], k, F.col("cosine").desc(), "id")
+
+
+def similar_items(corpus: DataFrame, k: int, dim: int, lists: Lists | None = None) -> DataFrame:
+    """The k nearest other rows of every row: k + 1 neighbours minus the row itself, in order; exact unless ``lists`` are given."""
+    asked = corpus.select(F.col("id").alias("query_id"), "vec")
+    hits = knn(corpus, asked, k + 1, dim) if lists is None else knn_in_lists(corpus, asked, k + 1, dim, lists)
     return top_per_key(hits.filter("id <> query_id").drop("rank"), ["query_id"], k, F.col("cosine").desc(), "id")
 
 

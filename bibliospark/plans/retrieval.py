@@ -80,6 +80,14 @@ def similar_items(t):
     return vectors.similar_items(corpus(t), 5, DIM)
 
 
+@query("knn_search_lists")
+def knn_search_lists(t):
+    """Every row whose id is divisible by 20 against all rows, by inverted lists. The vectors of this table point in all
+    directions alike, so many lists have to be probed for a recall of 0.9."""
+    asked = corpus(t).filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return vectors.knn_in_lists(corpus(t), asked, 10, DIM, vectors.Lists(20, 14))
+
+
 @query("recommend_by_vector", f"WITH {knn_sql(3, ASKED, 'embeddings')} SELECT * FROM hits WHERE cosine > 0.4")
 def recommend_by_vector(t):
     return vectors.recommend_by_vector(corpus(t), query_vectors(t), DIM)
