@@ -28,7 +28,7 @@ from bibliospark.llm.common import LAST_ID, WORD, ascii_lower, distinct, hash_wo
 
 WIDTH, PERCENT = 3, 90
 FREQUENT, SEEN = 300_000, 4
-SHARD_BYTES, BLOCK, BITS, GROUP = 40_000_000, 256, 1_024, 10_000
+SHARD_BYTES, BLOCK, BITS, GROUP, FEW_ROWS = 40_000_000, 256, 1_024, 1_000, 4_000_000
 SEEDS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -125,18 +125,25 @@ def _buckets(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _verify(frame: pd.DataFrame, frequent: np.ndarray, rank: np.ndarray, width: int, percent: int) -> pd.DataFrame:
-    """Links between the leader of a block and its members: a shared token under each further order, then whole sets."""
-    sets = dict(zip(frame["c"], map(partial(shingles, width=width), frame["text"]), strict=True))
-    first = lambda tokens: [prefix(tokens, frequent, rank, seed, percent) for seed in SEEDS[1:]]
-    lead = frame["lead"].iloc[0]
-    own, out = sets[lead], []
-    filters = first(own)
-    for c, tokens in sets.items():
-        if c == lead or not all(np.isin(a, b).any() for a, b in zip(filters, first(tokens), strict=True)):
-            continue
-        common = np.intersect1d(own, tokens, assume_unique=True).size
-        if 100 * common >= percent * (len(own) + len(tokens) - common):
-            out.append((c, lead))
+    """Links between leaders and the members of their blocks: a shared token under each further order, then whole sets."""
+    made: dict[int, tuple] = {}
+
+    def described(c: int, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        if c not in made:
+            tokens = shingles(text, width)
+            made[c] = tokens, [prefix(tokens, frequent, rank, seed, percent) for seed in SEEDS[1:]]
+        return made[c]
+
+    out = []
+    for (lead, _), rows in frame.groupby(["lead", "block"], sort=False):
+        texts = dict(zip(rows["c"], rows["text"], strict=True))
+        own, filters = described(lead, texts.pop(lead))
+        for c, text in texts.items():
+            tokens, others = described(c, text)
+            if all(np.isin(a, b).any() for a, b in zip(filters, others, strict=True)):
+                common = np.intersect1d(own, tokens, assume_unique=True).size
+                if 100 * common >= percent * (len(own) + len(tokens) - common):
+                    out.append((c, lead))
     return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
 
@@ -262,8 +269,13 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
         members = passed.join(blocks, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("c"))
         leaders = blocks.select(F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("c"))
         wanted = members.unionByName(leaders).join(classes.select("c", F.col("rep_row").alias("_row")), "c")
-        texts = docs.select("_row", "text").join(wanted, "_row").select("lead", "block", "c", "text")
-        return stored(texts.groupBy("lead", "block").applyInPandas(partial(_verify, frequent=tokens[order], rank=rank, width=width, percent=percent), "a long, b long").distinct(), "verified")
+        rows = stored(wanted, "wanted")
+        asked = rows.select("_row").distinct()
+        few = asked.count() <= FEW_ROWS  # then only their texts are exchanged
+        shards = max(16, rows.count() // GROUP)
+        texts = docs.select("_row", "text").join(F.broadcast(asked) if few else asked, "_row", "left_semi").join(rows, "_row")
+        texts = texts.select("lead", "block", "c", "text", F.pmod(F.xxhash64("lead", "block"), F.lit(shards)).alias("_shard"))
+        return stored(texts.groupBy("_shard").applyInPandas(partial(_verify, frequent=tokens[order], rank=rank, width=width, percent=percent), "a long, b long").distinct(), "verified")
 
     stars = buckets.filter("c != lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     left, right = known.select(F.col("c").alias("a"), "n", "sketch"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
