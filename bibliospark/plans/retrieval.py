@@ -21,7 +21,7 @@ def queries(t):
 def searched(t, docs=None, boosts=BOOSTS, **options):
     docs = search_docs(t) if docs is None else docs
     fields = list(boosts)
-    return op.bm25_scores(*index.stored_index(docs, fields), queries(t), boosts, **options)
+    return op.bm25_scores(*index.kept_index(docs, fields), queries(t), boosts, **options)
 
 
 def corpus(t):
@@ -54,7 +54,7 @@ BM25 = bm25_sql(DOC_FIELDS.replace("@docs", "documents"), BOOSTS)
 @query("bm25_search", f"WITH {BM25} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 50")
 def bm25_search(t):
     docs = search_docs(t)
-    return op.bm25_search(*index.stored_index(docs, list(BOOSTS)), queries(t), BOOSTS, 50)
+    return op.bm25_search(*index.kept_index(docs, list(BOOSTS)), queries(t), BOOSTS, 50)
 
 
 COSINE = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
@@ -135,7 +135,7 @@ def index_lookup(t):
     pair = F.regexp_extract("text", r"^\p{L}+[^\p{L}]+(\p{L}+ \p{L}+)", 1)
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), pair.alias("query")).filter("query <> ''")
     docs = search_docs(t)
-    hits = op.bm25_scores(*index.stored_index(docs, ["title"]), asked, {"title": 4.0})
+    hits = op.bm25_scores(*index.kept_index(docs, ["title"]), asked, {"title": 4.0})
     texts = docs.select("doc_id", F.regexp_replace("text", r"[.,]", ", 12, 14-16, 20 ").alias("index_text"))
     return op.index_lookup(hits.join(texts, "doc_id").join(asked, "query_id")).select("query_id", "doc_id", "score", "index_matches")
 
@@ -156,7 +156,7 @@ def page_queries(t):
 
 def page_index(t):
     docs = page_docs(t)
-    return index.stored_index(docs, ["content"])
+    return index.kept_index(docs, ["content"])
 
 
 @query("search_within", f"""WITH {bm25_sql(PAGE_FIELDS, {'content': 1.0}, source=PAGE_QUERIES)}
@@ -201,7 +201,7 @@ NOTE_FIELDS = f"SELECT conv_id * 10 + turn AS doc_id, 'content' AS field, {TOKEN
 @query("note_search", f"WITH {fts_sql(NOTE_FIELDS, SHORT_QUERIES, 50)} SELECT query_id, doc_id, fts_rank FROM fts")
 def note_search(t):
     notes = t.conversations.select((F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"), F.concat_ws("\n", "text", "role").alias("content"))
-    return op.fts_search(*index.stored_index(notes, ["content"]), short_queries(t), 50).drop("rank")
+    return op.fts_search(*index.kept_index(notes, ["content"]), short_queries(t), 50).drop("rank")
 
 
 MARKED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat('[[PAGE_', i, ']]', x)), chr(10))"
@@ -250,7 +250,7 @@ FROM sc s JOIN documents d ON d.doc_id = s.doc_id QUALIFY position <= 100""")
 def rrf_term_search(t):
     docs = term_docs(t).filter("kind <> 'de'")
     kept = docs.select("doc_id")
-    text = op.bm25_search(*index.stored_index(docs, list(TERM_BOOSTS)), queries(t), TERM_BOOSTS, None)
+    text = op.bm25_search(*index.kept_index(docs, list(TERM_BOOSTS)), queries(t), TERM_BOOSTS, None)
     near = vectors.knn(corpus(t).join(kept, F.col("id") == F.col("doc_id"), "left_semi"), query_vectors(t), None, DIM)
     concepts = vectors.knn(label_concepts(t), query_vectors(t), 3, DIM, in_place="queries").select("query_id", F.col("id").alias("concept_id"))
     of_term = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("concept_id"))
@@ -282,7 +282,7 @@ def concept_search(t):
     asked = t.nation.select(F.col("n_nationkey").alias("query_id"), F.concat(
         F.when(F.col("n_regionkey") < 2, "cold").otherwise("widget"), F.lit(" Brand "), F.col("n_nationkey").cast("string"), F.lit(" promo")).alias("query"))
     boosts = {"name": 2.0, "summary": 1.0}
-    return op.bm25_search(*index.stored_index(docs, list(boosts)), asked, boosts, 20, combine="sum")
+    return op.bm25_search(*index.kept_index(docs, list(boosts)), asked, boosts, 20, combine="sum")
 
 
 @query("keyword_and_search", """SELECT p_partkey AS id, p_name AS title, p_brand AS author, p_type AS filename FROM part
@@ -311,7 +311,7 @@ SELECT item_id AS query_id, coalesce(kb_hits, 0) AS kb_hits, coalesce(placeholde
 FROM benchmark LEFT JOIN k ON k.query_id = item_id LEFT JOIN f ON f.query_id = item_id""")
 def kb_vs_fulltext_eval(t):
     docs = term_docs(t)
-    post, stats = index.stored_index(docs, list(TERM_BOOSTS))
+    post, stats = index.kept_index(docs, list(TERM_BOOSTS))
     scores = op.bm25_scores(post, stats, queries(t), TERM_BOOSTS)
     kb = op.top_per_key(scores, ["query_id"], 50, F.col("score").desc(), "doc_id")
     bodies = docs.select("doc_id", F.when(F.col("source") == "src2", F.concat(F.lit("% Term: "), "latex")).otherwise(F.col("latex")).alias("latex"))

@@ -100,7 +100,7 @@ def search_docs(t):
 
 @query("build_term_index", f"WITH {POSTINGS_SQL} SELECT doc_id, field, token, tf, dl, df FROM post JOIN df USING (field, token)")
 def build_term_index(t):
-    post, _ = index.stored_index(search_docs(t), ["title", "text"])
+    post, _ = index.kept_index(search_docs(t), ["title", "text"])
     return post.drop("lead").join(index.token_stats(post), ["field", "token"])
 
 

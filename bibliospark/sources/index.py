@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
@@ -73,22 +76,42 @@ def corpus_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
     return sizes.filter("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def stored_index(docs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Postings and corpus statistics of docs(doc_id, <fields>), tokenised once.
+def write_index(post: DataFrame, table: str, buckets: int, folder: str | None = None) -> None:
+    """Postings as a table bucketed by token, one sorted file a bucket: joins and counts by token read it without an
+    exchange. ``folder`` places the files, the warehouse otherwise."""
+    writer = post.repartition(buckets, "token").write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").format("parquet")
+    (writer.option("path", folder) if folder else writer).saveAsTable(table)
+
+
+def open_index(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and corpus statistics of a written index."""
+    post = spark.table(table)
+    return post, post.filter("lead").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
 
-    The postings are written to a new folder of the shared directory; frequencies, lengths and every search then read
-    that table instead of the texts.
+def kept_index(docs: DataFrame, fields: list[str], table: str | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings and corpus statistics of docs(doc_id, <fields>), built at the first call and read at later ones.
+
+    The table is named after the files and the plan of ``docs`` unless ``table`` names it. It holds the documents as they were at the
+    first call; ``drop_index`` lets the next call build it anew.
     """
     spark = docs.sparkSession
-    folder = work_folder(spark, "postings")
-    postings(docs, fields).write.parquet(folder)
-    post = spark.read.parquet(folder)
-    return post, post.filter("lead").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    table = table or index_name(docs, fields)
+    if not spark.catalog.tableExists(table):
+        write_index(postings(docs, fields), table, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), work_folder(spark, "index"))
+    return open_index(spark, table)
+
+
+def index_name(docs: DataFrame, fields: list[str]) -> str:
+    """A name that follows from the files that ``docs`` reads and what it makes of them; a new one for rows without files."""
+    files = docs.inputFiles()
+    read = "|".join([*fields, *docs.schema.fieldNames(), docs._jdf.queryExecution().analyzed().canonicalized().toString(), *(sorted(files) or [uuid.uuid4().hex])])
+    return "postings_" + hashlib.md5(read.encode()).hexdigest()
 
 
-def write_index(post: DataFrame, table: str, buckets: int) -> None:
-    """Postings as a table bucketed by token: token joins against it read co-located buckets."""
-    post.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").format("parquet").saveAsTable(table)
+def drop_index(spark: SparkSession, table: str) -> None:
+    """Forgets the table; its files stay in the shared folder for searches that still read them."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def formula_harvest(terms: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from bibliospark.functions.similarity import ratio, token_set
 from bibliospark.operators import filters, matcher, quality, resolve, retrieval, vectors
 from bibliospark.operators.aggregate import parse_authors
 from bibliospark.sources import catalog, exports
-from bibliospark.sources.index import stored_index
+from bibliospark.sources.index import kept_index
 
 
 def test_index_pages(spark):
@@ -185,7 +185,7 @@ def test_knn_blocks_and_sides_agree(spark):
 
 def test_highlight_and_search(spark):
     docs = spark.createDataFrame([(1, "Measure theory and integration"), (2, "Theory of sets"), (3, "Measures")], "doc_id long, text string")
-    post, stats = stored_index(docs, ["text"])
+    post, stats = kept_index(docs, ["text"])
     asked = spark.createDataFrame([(9, "measure theory")], "query_id long, query string")
     assert [r["doc_id"] for r in retrieval.bm25_search(post, stats, asked, {"text": 1.0}).orderBy("rank").collect()] == [1, 2]
     assert [r["doc_id"] for r in retrieval.fts_search(post, stats, asked, field="text").collect()] == [1]
