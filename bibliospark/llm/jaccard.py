@@ -5,7 +5,8 @@ link when 100 * intersection >= ``percent`` * union (90). In any global order of
 token among the first n - ceil(percent / 100 * n) + 1 of each. Candidates must pass that filter under three orders before
 their sets are compared: all put the corpus' most frequent tokens last, and shuffle the rest by different hashes. The
 first order's tokens form the buckets; a candidate's other two prefixes are drawn up where its texts meet. Before texts
-move, 1024 parity bits of a set's tokens tell most unlike sets: sets differ in at least as many tokens as bits.
+move, 1024 parity bits of a set's tokens tell most unlike sets: sets differ in at least as many tokens as bits. Sets of
+over 2048 tokens have as many bits again as tokens, which only meet for the pairs that are left.
 
 Documents with equal sets form one class and take part once. Classes that meet under a token of the first order are not
 paired with each other at once: each meets the bucket's leader of its length first (a star), verified links are merged
@@ -58,9 +59,14 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, seed: np.
     return tokens[np.argpartition(order, size - 1)[:size]] if n else tokens
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """The parity of the tokens in each of 1024 cells, as bits."""
-    return np.packbits(np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def sketch(tokens: np.ndarray, bits: int = BITS) -> bytes:
+    """The parity of the tokens in each of ``bits`` cells, as bits."""
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """For long sets: as many cells as tokens, up to the next power of two."""
+    return sketch(tokens, 1 << (len(tokens) - 1).bit_length()) if len(tokens) > 2 * BITS else None
 
 
 def near(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -78,13 +84,28 @@ def _can_link(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield frame.loc[near(unpacked(frame["sketch"]), unpacked(frame["_sketch"]), (frame["n"] + frame["_n"]).to_numpy(), percent), ["a", "b"]]
 
 
+def _can_link_wide(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs whose wide sketches allow a link; the wider of two is folded, as a cell's parity is that of its two halves'."""
+    for frame in frames:
+        keep = []
+        for a, b, n in zip(frame["wide"], frame["_wide"], frame["n"], strict=True):
+            if a is None or b is None:
+                keep.append(True)
+                continue
+            x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+            while len(x) != len(y):
+                x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+            keep.append(bool(near(x[None], y[None], np.array([n]), percent)[0]))
+        yield frame.loc[np.array(keep, bool), ["a", "b"]]
+
+
 def _describe(frames: Iterator[pd.DataFrame], frequent: np.ndarray, rank: np.ndarray, width: int, percent: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         sets = [shingles(t, width) for t in frame["text"]]
         classes = mix(np.array([[np.bitwise_xor.reduce(mix(s ^ SEEDS[0])), mix(s).sum(dtype=np.uint64), len(s)] if len(s) else [0, 0, 0] for s in sets], np.uint64).reshape(-1, 3))
         classes = mix(classes[:, 0] + mix(classes[:, 1] + mix(classes[:, 2])))
         yield pd.DataFrame({
-            "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64), "sketch": [sketch(s) for s in sets],
+            "_id": frame["_id"], "_row": frame["_row"], "n": [len(s) for s in sets], "c": classes.view(np.int64), "sketch": [sketch(s) for s in sets], "wide": [wide_sketch(s) for s in sets],
             "p1": [prefix(s, frequent, rank, SEEDS[0], percent).view(np.int64) for s in sets]})
 
 
@@ -256,15 +277,20 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     order = np.argsort(tokens)
     rank = np.arange(len(tokens), 0, -1).astype(np.uint64)[order]  # the most frequent token is last of all
     described = stored(docs.mapInPandas(
-        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, sketch binary, p1 array<long>"), "shingles")
+        partial(_describe, frequent=tokens[order], rank=rank, width=width, percent=percent), "_id long, _row long, n long, c long, sketch binary, wide binary, p1 array<long>"), "shingles")
     filled = described.filter("n > 0")
     classes = filled.groupBy("c").agg(F.min("_id").alias("rep"), F.min_by("_row", F.struct("_id", "_row")).alias("rep_row"))
     known = filled.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     spread = filled.select("c", "n", "p1").mapInPandas(partial(_spread, shards=max(1, -(-total // shard_bytes))), "_shard int, tokens binary, c binary, n binary")
     buckets = stored(spread.groupBy("_shard").applyInPandas(partial(_buckets, percent=percent), "token long, c long, n long, lead long"), "buckets")
 
-    def verified(passed: DataFrame) -> DataFrame:
+    long = stored(filled.filter("wide is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "wide")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         """Links among (a, b), in blocks of one leader and members."""
+        left, right = long.select(F.col("c").alias("a"), "n", "wide"), long.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("wide").alias("_wide"))
+        both = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), "wide", "_wide")
+        passed = stored(both.mapInPandas(partial(_can_link_wide, percent=percent), "a long, b long"), "passed")
         blocks = passed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         members = passed.join(blocks, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("c"))
         leaders = blocks.select(F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("c"))

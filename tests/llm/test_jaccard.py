@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from bibliospark.llm.common import LAST_ID, WORD
@@ -82,3 +83,28 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_sketches_never_part_linked_sets():
+    import pandas as pd
+
+    from bibliospark.llm.jaccard import BITS, _can_link_wide, near, sketch, unpacked, wide_sketch
+
+    rng = np.random.default_rng(2)
+    parted = 0
+    for size in (50, 700, 2 * BITS + 1, 4 * BITS - 50, 9000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, size // 8 + 1)], rng.integers(0, 2**63, rng.integers(0, size // 8 + 1)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            for percent in (80, 90):
+                linked = 100 * common >= percent * (len(a) + len(b) - common)
+                if linked:
+                    assert near(unpacked([sketch(a)]), unpacked([sketch(b)]), np.array([len(a) + len(b)]), percent)[0]
+                frame = pd.DataFrame({"a": [1], "b": [2], "n": [len(a) + len(b)], "wide": [wide_sketch(a)], "_wide": [wide_sketch(b)]})
+                kept = sum(len(f) for f in _can_link_wide(iter([frame]), percent))
+                assert kept or not linked
+        other = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        frame = pd.DataFrame({"a": [1], "b": [2], "n": [2 * size], "wide": [wide_sketch(a)], "_wide": [wide_sketch(other)]})
+        parted += size > 2 * BITS and not sum(len(f) for f in _can_link_wide(iter([frame]), 80))
+    assert parted == 3
