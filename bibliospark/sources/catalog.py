@@ -49,10 +49,13 @@ def catalog_scan(files: DataFrame, own_folders: Sequence[str] = ()) -> DataFrame
 
 
 def catalog_delta(current: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
-    """(path, change): new, changed or unchanged against known(path, last_modified, index_version)."""
+    """(path, change): new, changed or unchanged against known(path, last_modified, index_version).
+
+    Times are doubles, so a difference of one second may come out a little above 1; differences count to the microsecond.
+    """
     stored = known.select("path", "last_modified", "index_version", F.lit(True).alias("_known"))
     stale = (
-        F.lit(force) | F.col("last_modified").isNull() | (F.abs(F.col("mtime") - F.col("last_modified")) > 1.0)
+        F.lit(force) | F.col("last_modified").isNull() | (F.round(F.abs(F.col("mtime") - F.col("last_modified")), 6) > 1.0)
         | F.col("index_version").isNull() | (F.col("index_version") < 1))
     return current.join(stored, "path", "left").select(
         "path", F.when(F.col("_known").isNull(), "new").when(stale, "changed").otherwise("unchanged").alias("change"))
