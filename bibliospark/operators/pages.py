@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
-from bibliospark.functions.passages import marker_position
+from bibliospark.functions.passages import first_found, marker_position
 from bibliospark.operators.blocking import containment_join
 from bibliospark.partitioning import halo_buckets, rank_in_key, runs, spread, top_per_key
 
@@ -225,10 +225,11 @@ def recover_placeholders(terms: DataFrame, pages: DataFrame, fuzzy: bool = True,
     wanted = terms.filter(F.contains("latex", F.lit("(marker: "))).withColumn("marker", marker).filter("marker <> ''")
     near = wanted.select("id", "book_id", "marker", F.explode(F.sequence(F.col("page") - before, F.col("page") + after)).alias("page")).join(pages, ["book_id", "page"])
     at = F.instr(F.col("content"), F.col("marker")) - 1
-    rows = near.withColumn("_at", at)
-    hits = rows.filter("_at >= 0")
     if fuzzy:
-        hits = hits.unionByName(spread(rows.filter("_at < 0"), "id", "page").withColumn("_at", marker_position("content", "marker")).filter("_at >= 0"))
+        rows = near.select("id", "page", "marker", "content", F.coalesce(at, F.lit(-1)).alias("at"))
+        kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "page")]
+        return spread(rows, "id").sortWithinPartitions("id", "page").mapInPandas(first_found, f"id {kinds[0]}, page {kinds[1]}, body string")
+    hits = near.withColumn("_at", at).filter("_at >= 0")
     body = F.expr("substring(content, _at + 1)")
     return hits.groupBy("id").agg(F.min_by(F.struct("page", body.alias("body")), "page").alias("_h")).select("id", "_h.*")
 
