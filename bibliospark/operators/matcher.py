@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
 from bibliospark.functions.similarity import indel_ratio, ratio_possible, token_set_ratio
-from bibliospark.operators.blocking import containment_join, rare_key_pairs, substring_keys, text_keys
+from bibliospark.operators.blocking import containment_join, inner_words, rare_key_pairs, substring_keys, text_keys
 from bibliospark.operators.joins import expand_author_initials
 from bibliospark.operators.resolve import tagged, title_author_pairs
 from bibliospark.partitioning import first_per_key, spread
@@ -39,13 +39,23 @@ def match_exact(wanted: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def match_normalized(wanted: DataFrame, books: DataFrame) -> DataFrame:
-    """Normalised title and any expansion of the author inside the loosened catalogue values. Never matches without an author."""
+    """Normalised title and any expansion of the author inside the loosened catalogue values. Never matches without an author.
+
+    Titles of three words or more are looked up by the rarest of their inner words, which stand whole in any title that
+    holds them; their grams would lead to far more titles. Shorter ones go by grams of title and author.
+    """
     authored = wanted.filter("author <> ''")
     variants = expand_author_initials(authored, books.select(F.col("b_author").alias("author")).filter("author <> ''"))
     asked = authored.join(variants, "author").select("title", "author", tx.normalize_title("title").alias("_t"), tx.normalize_title("variant").alias("_a")).filter("_t <> ''")
     needles = asked.select(F.struct("_t", "_a").alias("needle_id"), F.col("_t").alias("title"), F.col("_a").alias("author")).distinct()
     texts = books.select(F.col("id").alias("text_id"), tx.loose_title("b_title").alias("title"), tx.loose_title("b_author").alias("author"))
-    found = title_author_pairs(needles, texts).groupBy("needle_id").agg(F.min("text_id").alias("id")).select("needle_id.*", "id")
+    long_title = F.size(inner_words("title")) > 0
+    titles = needles.filter(long_title).select(F.col("title").alias("needle_id"), F.col("title").alias("needle")).distinct()
+    held = rare_key_pairs(titles, texts.select("text_id", F.col("title").alias("text")), inner_words("needle"), F.array_distinct(tx.tokens("text")))
+    holding = held.join(texts, "text_id").filter(F.contains("title", F.col("needle_id"))).select(F.col("needle_id").alias("_t"), "text_id", F.col("author").alias("_has"))
+    by_words = holding.join(needles.filter(long_title).select("needle_id", F.col("title").alias("_t"), F.col("author").alias("_wanted")), "_t").filter(
+        F.contains("_has", F.col("_wanted"))).select("needle_id", "text_id")
+    found = by_words.unionByName(title_author_pairs(needles.filter(~long_title), texts)).groupBy("needle_id").agg(F.min("text_id").alias("id")).select("needle_id.*", "id")
     return asked.join(found, ["_t", "_a"]).groupBy("title", "author").agg(F.min("id").alias("id")).select(
         "title", "author", "id", F.lit(0.95).alias("score"), F.lit("normalized").alias("strategy"))
 
