@@ -51,3 +51,24 @@ def test_all_lists_probed_is_exact(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, vec array<double>")
     assert knn_in_lists(none, none.withColumnRenamed("id", "query_id"), 3, 6, Lists(4, 2)).count() == 0
+
+
+def test_two_large_sides_meet_in_a_grid(spark):
+    """Blocks, cells and the single-precision bound lose nothing: ties by id, copies, odd vectors, more rows than one block."""
+    rng = np.random.default_rng(3)
+    vecs = np.concatenate([rng.integers(-2, 3, (2500, 6)), np.tile([1, 0, 2, 0, 0, 1], (900, 1)), rng.normal(size=(300, 6))]).astype(np.float32)
+    data = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(len(vecs)), vecs)] + [(9001, [0.0] * 6), (9002, [1.0]), (9003, None), (9004, [float("nan")] * 6)]
+    rows = spark.createDataFrame(data, "id long, vec array<float>").repartition(3)
+    ids = np.array([i for i, v in data[: len(vecs)]])
+    norms = np.linalg.norm(vecs.astype(np.float64), axis=1)
+    ids, units = ids[norms > 0], vecs[norms > 0].astype(np.float64) / norms[norms > 0][:, None]
+    scores = np.round(units @ units.T, 6)
+    want = {int(q): [int(ids[j]) for j in np.lexsort((ids, -scores[i]))[:4]] for i, q in enumerate(ids)}
+    for side in ("corpus", "queries"):
+        found = knn(rows, rows.withColumnRenamed("id", "query_id"), 4, 6, in_place=side, cell=1 << 19)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+        exchanged = sum(n for n in [found._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow")])
+        assert exchanged == 1  # one meeting per cell, no join that copies a side once per block of the other
