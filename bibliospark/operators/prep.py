@@ -21,10 +21,21 @@ CHUNK = 8000
 
 
 def mask_display_math(latex: Column) -> Column:
-    """The flat part of the masking: closed proofs of the plain style, $$ $$ and \\[ \\]."""
-    out = F.regexp_replace(latex, r"(?s)Proof\..*?\\blacksquare", "")
+    """The flat part of the masking: closed proofs of the plain style, $$ $$ and \\[ \\].
+
+    Nothing after the last closing mark is searched: there each opening mark would be followed to the end of the text.
+    """
+    def closed(text: Column, close: str, pattern: str, by: str) -> Column:
+        def replaced(parts: Column) -> Column:
+            rest = F.substring_index(parts, close, -1)
+            head = F.substring(parts, F.lit(1), F.length(parts) - F.length(rest))
+            return F.concat(F.regexp_replace(head, pattern, by), rest)
+
+        return tx.let(text, replaced)
+
+    out = closed(latex, r"\blacksquare", r"(?s)Proof\..*?\\blacksquare", "")
     out = F.regexp_replace(out, r"(?s)\$\$.*?\$\$", EQUATION)
-    return F.regexp_replace(out, r"(?s)\\\[.*?\\\]", EQUATION)
+    return closed(out, r"\]", r"(?s)\\\[.*?\\\]", EQUATION)
 
 
 def used_terms_text(used_terms: str | Column) -> Column:
@@ -34,17 +45,18 @@ def used_terms_text(used_terms: str | Column) -> Column:
 
 
 def embedding_text_terms(terms: DataFrame) -> DataFrame:
-    """(id, text) for terms(id, name, kind, latex, used_terms); only bodies with environments to remove pass through Python."""
+    """(id, text) for terms(id, name, kind, latex, used_terms), read once; only bodies with environments to remove pass through Python."""
     latex = F.coalesce("latex", F.lit(""))
     rows = terms.select("id", "name", "kind", "used_terms", latex.alias("latex"))
     nested = F.contains("latex", F.lit(r"\begin{proof}"))
     for env in DISPLAY_ENVS:
         nested = nested | F.contains("latex", F.lit(f"\\begin{{{env}}}"))
-    flat = rows.filter(~nested).withColumn("latex", mask_display_math(F.col("latex")))
-    deep = rows.filter(nested).withColumn("latex", environment_dropper(["proof"], "")("latex"))
-    deep = deep.withColumn("latex", mask_display_math(F.col("latex"))).withColumn("latex", environment_dropper(DISPLAY_ENVS, EQUATION)("latex"))
+    deep = rows.withColumn("_nested", nested)
+    latex, if_nested = F.col("latex"), F.when(F.col("_nested"), F.col("latex"))
+    deep = deep.withColumn("latex", F.coalesce(environment_dropper(["proof"], "")(if_nested), latex)).withColumn("latex", mask_display_math(latex))
+    deep = deep.withColumn("latex", F.coalesce(environment_dropper(DISPLAY_ENVS, EQUATION)(if_nested), latex))
     statement = tx.squeeze("latex")
-    return flat.unionByName(deep).select("id", F.concat(
+    return deep.select("id", F.concat(
         "name", F.lit(" (Type: "), "kind", F.lit("). Concepts: "), used_terms_text("used_terms"), F.lit(". Statement: "), statement).alias("text"))
 
 
