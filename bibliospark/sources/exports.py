@@ -28,6 +28,13 @@ def export_network(nodes: DataFrame, links: DataFrame, coordinates: bool = True)
     return node_rows.unionByName(kept.select(F.lit("edge").alias("kind"), F.concat_ws("|", "source", "target").alias("id"), F.to_json(edge).alias("json")))
 
 
+def active_occurrences(occurrences: DataFrame) -> DataFrame:
+    """Occurrences (id, canon, n) of authors with more than one book. No other author has a link on the canvas, so the
+    pairs of the others need not be made."""
+    active = occurrences.groupBy("canon").agg(F.sum("n").alias("_books")).filter("_books > 1").select("canon")
+    return occurrences.join(active, "canon", "left_semi")
+
+
 def bibtex_key(author, title):
     """First word of the author plus first title word of more than three characters, else ``Book``."""
     def words(c):
