@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bibliospark.operators.retrieval import bm25_scores
+from bibliospark.partitioning import input_parts
 from bibliospark.sources import index
 
 
@@ -38,6 +39,28 @@ def test_postings_are_joined_and_counted_without_an_exchange(spark, folder):
     assert kept == {(r.query_id, r.doc_id): r.score for r in plain} and len(kept) > 20
 
 
+def test_postings_meet_their_counts_without_an_exchange(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    post, _ = index.kept_index(docs, ["text", "lang"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted = index.with_token_counts(post)
+        assert scans_below_exchanges(counted._jdf.queryExecution().executedPlan()) == [False, False]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    plain = post.drop("lead").join(index.token_stats(post), ["field", "token"])
+    assert counted.columns == plain.columns and counted.count() == plain.count() > 1000 and counted.exceptAll(plain).isEmpty()
+
+
+def test_more_documents_more_buckets(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert input_parts(docs) == 4 and input_parts(docs, 10_000) > 10 and input_parts(docs.join(docs.limit(9), "doc_id"), 10_000) < 10 * input_parts(docs, 10_000)
+    assert input_parts(spark.createDataFrame([(1,)], "doc_id long").checkpoint(), 10_000) == 4
+
+
 def test_second_call_reads_what_the_first_built(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     name = index.index_name(docs, ["text"])
