@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bibliospark.operators import aggregate as op
+from bibliospark.partitioning import input_parts
 from bibliospark.plans import fixtures as fx
 from bibliospark.plans.registry import query
 from bibliospark.session import cut_lineage
@@ -11,9 +12,9 @@ def order_authors(t):
     """(id, author, zb_authors): suppliers of an order as an author string, JSON names for status P."""
     rows = (
         t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(F.col("l_orderkey").alias("id"), "o_orderstatus", "s_suppkey").distinct()
+        .select(F.col("l_orderkey").alias("id"), "o_orderstatus", "s_suppkey")
     )
-    return rows.groupBy("id", "o_orderstatus").agg(F.array_sort(F.collect_list("s_suppkey")).alias("s")).select(
+    return rows.groupBy("id", "o_orderstatus").agg(F.array_sort(F.collect_set("s_suppkey")).alias("s")).select(
         "id",
         F.when(F.col("o_orderstatus") == "F", F.array_join(F.transform("s", lambda k: F.concat(F.lit("Ann. Sup"), k.cast("string"))), "; "))
         .otherwise(F.array_join(F.transform("s", lambda k: F.concat(F.lit("Ann Sup"), k.cast("string"))), " & ")).alias("author"),
@@ -31,7 +32,7 @@ SELECT 'node' AS kind, id AS a, name AS b, n AS weight FROM nodes WHERE n > 1 OR
 UNION ALL SELECT 'link', source, target, value FROM links""")
 def coauthor_network(t):
     found = cut_lineage(op.author_occurrences(op.canonical_author(op.author_names(order_authors(t)))))
-    links, nodes = op.coauthor_links(found), op.coauthor_nodes(found)
+    links, nodes = op.coauthor_links(found, input_parts(t.lineitem)), op.coauthor_nodes(found)
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("count").alias("weight")).unionByName(
         links.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("value").alias("weight")))
 
