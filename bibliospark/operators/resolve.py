@@ -124,11 +124,11 @@ def near_dup_pairs(terms: DataFrame, pages_apart: int = 5, length_gap: float = 0
     width = pages_apart + 1
     bucket = F.floor(F.col("page") / width).cast("long")
     band = F.floor(F.log(F.length("text")) / -F.log(F.lit(1 - length_gap))).cast("int")
-    left = reps.select("id", "text", "book_id", bucket.alias("_bucket"), band.alias("_band"))
+    left = reps.select("id", F.col("page").alias("place"), "text", "book_id", bucket.alias("_bucket"), band.alias("_band"))
     right = reps.select(
-        "id", "text", "book_id", F.explode(F.array(bucket, bucket - 1)).alias("_bucket"), F.array(band - 1, band, band + 1).alias("_bands")
-    ).select("id", "text", "book_id", "_bucket", F.explode("_bands").alias("_band"))
-    scored = matching_pairs(left, right, ["book_id", "_bucket", "_band"], "sequence", least, length_gap)
+        "id", F.col("page").alias("place"), "text", "book_id", F.explode(F.array(bucket, bucket - 1)).alias("_bucket"), F.array(band - 1, band, band + 1).alias("_bands")
+    ).select("id", "place", "text", "book_id", "_bucket", F.explode("_bands").alias("_band"))
+    scored = matching_pairs(left, right, ["book_id", "_bucket", "_band"], "sequence", least, length_gap, apart=pages_apart)
     place = reps.select("id", "page", "copies")
     a, b = [place.select(F.col("id").alias(f"id_{x}"), F.col("page").alias(f"page_{x}"), F.col("copies").alias(f"copies_{x}")) for x in "ab"]
     pairs = scored.withColumnsRenamed({"left_id": "id_a", "right_id": "id_b", "score": "similarity"}).join(a, "id_a").join(b, "id_b")

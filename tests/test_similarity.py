@@ -3,6 +3,9 @@
 import difflib
 import random
 
+import numpy as np
+import pandas as pd
+
 from bibliospark.functions.similarity import Blocks, Subsequence, lcs_length, partial, ratio, token_set
 from bibliospark.functions.passages import Form, aligned, locate, proposed_starts
 
@@ -167,3 +170,28 @@ def test_all_windows_come_from_one_table():
     other = "".join(pick.choice("abcdefghij klmnopqrst") for _ in range(9500))
     assert sim.partial(title, other) < 50
     assert time.time() - start < 20  # minutes where every window was aligned
+
+
+def test_blocks_of_near_copies_need_no_table():
+    """Near copies are settled by pieces; texts that repeat themselves go to the table, with difflib's blocks either way."""
+    from bibliospark.operators import blockpairs
+
+    rng = random.Random(14)
+    for text in (words(rng, 1500, "abcdefgh "), "ab" * 400, "Repeated line here.\n" * 30):
+        copy = "".join(c if rng.random() < 0.97 else "x" for c in text)
+        want = sum(x.size for x in difflib.SequenceMatcher(None, text, copy, autojunk=False).get_matching_blocks())
+        assert [Blocks(text, copy, looks=looks).total() for looks in (-1, 0, 16, 10**6)] == [want] * 4
+    text = words(rng, 1500, "abcdefgh ")
+    blocks = Blocks(text, text.replace("ab", "ba"))
+    assert blocks.total() > 1000 and blocks.runs is None  # no table of all letters by all letters
+    # Of two texts only the later is compared with the earlier, and only within the given number of places.
+    compared, score = [], blockpairs._score
+    blockpairs._score = lambda *a: compared.append(a[1:3]) or score(*a)
+    try:
+        side = {"ids": [np.array([1, 2, 3])], "places": [np.array([1, 1, 9])], "texts": [["one body", "one body!", "one body?"]]}
+        frame = pd.DataFrame({f"{x}{k}": v for x in "lr" for k, v in side.items()})
+        got = pd.concat(blockpairs._evaluate("sequence", 60.0, None, 5)(iter([frame])))
+    finally:
+        blockpairs._score = score
+    assert {(r.left_id, r.right_id) for r in got.itertuples() if r.left_id != r.right_id} == {(1, 2)}
+    assert ("one body!", "one body") not in compared and ("one body", "one body?") not in compared
