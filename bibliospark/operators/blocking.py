@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bibliospark.functions import text as tx
 from bibliospark.session import cut_lineage
 
+FEW, FEW_LETTERS, ROWS = 2_000, 1_000_000, 100_000
+GRAM, CELL_BITS, KEPT = 4, 18, 8
+
 
 def substring_keys(needle: str | Column) -> Column:
     """Keys every text containing ``needle`` must hold: its trigrams, or the needle itself when shorter."""
@@ -85,13 +94,66 @@ def positions(pairs: DataFrame, needles: DataFrame, texts: DataFrame, block: int
     return looked.select("_h.needle_id", "text_id", "_h.position")
 
 
+def gram_cells(text: str) -> np.ndarray:
+    """A cell number for every ``GRAM`` letters of a text; none for shorter ones."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = max(0, len(codes) - GRAM + 1)
+    cells = np.zeros(size, np.uint32)
+    for i in range(GRAM):
+        cells = cells * np.uint32(0x9E3779B1) + codes[i : i + size]
+    return (cells * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
+
+
+def _found(batches: Iterator[pa.RecordBatch], ids: pa.Array, needles: list[str]) -> Iterator[pa.RecordBatch]:
+    """(needle_id, text_id, position) of the needles that each text holds.
+
+    Up to ``KEPT`` grams of a needle must have their cells marked by the text before the needle is looked up in it.
+    """
+    marked = np.zeros((1 << CELL_BITS) + 1, bool)  # the last cell stands for needles with fewer grams
+    wanted = np.full((len(needles), KEPT), 1 << CELL_BITS, np.int64)
+    for row, needle in zip(wanted, needles, strict=True):
+        cells = gram_cells(needle)
+        row[: min(KEPT, len(cells))] = cells[np.linspace(0, len(cells) - 1, min(KEPT, len(cells))).astype(np.int64)]
+
+    def rows(batch: pa.RecordBatch, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        needle, text, at = (pa.array(x, pa.int32()) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        return pa.RecordBatch.from_arrays([ids.take(needle), batch.column("text_id").take(text), at], names=["needle_id", "text_id", "position"])
+
+    for batch in batches:
+        found = []
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            if text and needles:
+                marked[:] = False
+                marked[gram_cells(text)] = marked[-1] = True
+                possible = np.flatnonzero(marked[wanted].all(axis=1)).tolist()
+                found += [(k, row, at + 1) for k in possible if (at := text.find(needles[k])) >= 0]
+            if len(found) > ROWS:
+                yield rows(batch, found)
+                found = []
+        yield rows(batch, found)
+
+
+def positions_of_few(needles: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``containment_join`` for at most ``FEW`` needles, which all texts meet where they are read; None if there are more."""
+    needles = needles.filter("needle <> ''").select("needle_id", "needle")
+    count, letters = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
+    if count > FEW or letters > FEW_LETTERS:
+        return None
+    asked = needles.toArrow().combine_chunks()
+    schema = needles.select("needle_id").schema.add(texts.schema["text_id"]).add("position", T.IntegerType())
+    ids = pa.concat_arrays(asked.column("needle_id").chunks) if count else pa.array([], asked.schema.field("needle_id").type)
+    return texts.select("text_id", "text").mapInArrow(partial(_found, ids=ids, needles=asked.column("needle").to_pylist()), schema)
+
+
 def containment_join(needles: DataFrame, texts: DataFrame, passages: bool = False) -> DataFrame:
     """Exact "text contains needle" join: (needle_id, text_id, position from 1) with needles(needle_id, needle), texts(text_id, text).
 
-    ``passages`` is for long texts: needles with an inner word (three words or more) are blocked on those, shorter ones on
+    ``passages`` is for long texts: a bounded number of needles is looked up in one scan of the texts. Of more needles, those with an inner word (three words or more) are blocked on those, shorter ones on
     the words that hold their pieces, and those without a letter or digit on trigrams of the texts.
     """
     if passages:
+        if (hits := positions_of_few(needles, texts)) is not None:
+            return hits
         inner, worded = F.size(inner_words("needle")) > 0, F.size(whole_words("needle")) > 0
         pairs = rare_key_pairs(needles.filter(inner), texts, inner_words("needle"), F.array_distinct(tx.tokens("text"))).unionByName(
             vocabulary_pairs(needles.filter(~inner & worded), texts))
