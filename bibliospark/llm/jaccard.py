@@ -11,7 +11,8 @@ over 2048 tokens have as many bits again as tokens, which only meet for the pair
 Documents with equal sets form one class and take part once. Classes that meet under a token of the first order are not
 paired with each other at once: each meets the bucket's leader of its length first (a star), verified links are merged
 into components, and only classes of different components that still meet are compared after that, block against block,
-under one token of those that the very same classes hold. So a group of n near
+under one token of those that the very same classes hold: first every class with one other of each block that may link (a
+forest, which joins near copies whose leader was a stranger), then, of what is still apart, all pairs. So a group of n near
 copies costs about n comparisons, every pair whose link could matter is verified, and no candidate is dropped.
 """
 
@@ -84,18 +85,20 @@ def _can_link(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield frame.loc[near(unpacked(frame["sketch"]), unpacked(frame["_sketch"]), (frame["n"] + frame["_n"]).to_numpy(), percent), ["a", "b"]]
 
 
+def near_wide(a: bytes | None, b: bytes | None, n: int, percent: int) -> bool:
+    """``near`` of two wide sketches; the wider is folded, as a cell's parity is that of its two halves'."""
+    if a is None or b is None:
+        return True
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+    return bool(near(x[None], y[None], np.array([n]), percent)[0])
+
+
 def _can_link_wide(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs whose wide sketches allow a link; the wider of two is folded, as a cell's parity is that of its two halves'."""
+    """Pairs whose wide sketches allow a link."""
     for frame in frames:
-        keep = []
-        for a, b, n in zip(frame["wide"], frame["_wide"], frame["n"], strict=True):
-            if a is None or b is None:
-                keep.append(True)
-                continue
-            x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
-            while len(x) != len(y):
-                x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
-            keep.append(bool(near(x[None], y[None], np.array([n]), percent)[0]))
+        keep = [near_wide(a, b, n, percent) for a, b, n in zip(frame["wide"], frame["_wide"], frame["n"], strict=True)]
         yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
 
@@ -230,11 +233,13 @@ def _meeting(token: np.ndarray, side: np.ndarray, most: int = 500_000) -> Iterat
         yield np.concatenate(lefts), np.concatenate(rights)
 
 
-def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block pair, or of the small tokens of a shard, whose lengths and sketches allow a link."""
+def _meet(frame: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
+    """Pairs of a block pair, or of the small tokens of a shard, whose lengths and sketches allow a link; with ``forest``
+    each class with the smallest of those only."""
     frame = frame.sort_values(["token", "side", "c"])
     token, side, c, n, component = (frame[k].to_numpy() for k in ("token", "side", "c", "n", "component"))
-    marks, out = unpacked(frame["sketch"]), [np.empty((0, 2), np.int64)]
+    marks, wide, out = unpacked(frame["sketch"]), dict(zip(frame["c"], frame["wide"], strict=True)), [np.empty((0, 2), np.int64)]
+    size = dict(zip(frame["c"], frame["n"], strict=True))
     for left, right in _meeting(token, side):
         fits = (component[left] != component[right]) & (c[left] != c[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
         left, right = left[fits], right[fits]
@@ -243,24 +248,33 @@ def _meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             keep = near(marks[a], marks[b], n[a] + n[b], percent)
             a, b = c[a[keep]], c[b[keep]]
             out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0))
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+    pairs = np.unique(np.concatenate(out), axis=0)
+    pairs = pairs[np.array([near_wide(wide[a], wide[b], size[a] + size[b], percent) for a, b in pairs.tolist()], bool)]
+    if forest:
+        pairs = pairs[np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)]]
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
-def met_in_blocks(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def met_in_blocks(rest: DataFrame, known: DataFrame, long: DataFrame, percent: int, forest: bool = False) -> DataFrame:
     """(a, b): classes of different components that share an open token and may link; every pair of a token is looked at.
 
-    A token's classes are cut into blocks of about ``BLOCK``; every two blocks meet in a group of their own that emits
+    Tokens of nearly the same classes have the same smallest class more often than not and share a shard, so a pair that
+    meets under many tokens comes once or a few times. With ``forest`` each class keeps one pair of a group. A token's classes are cut into blocks of about ``BLOCK``; every two blocks meet in a group of their own that emits
     only what passes, and tokens of one block share groups. So no group and no row count grows with the square of a
     bucket, and a hot bucket spreads over many tasks.
     """
     shards = max(16, rest.count() // GROUP)
-    sizes = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "token").join(known.select("c", "sketch"), "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "sketch")
+    counts = rest.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("first"))
+    parts = counts.groupBy("first").agg(F.ceil(F.sum("rows") / (20 * GROUP)).alias("parts"))
+    sizes = counts.join(parts, "first").select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"),
+        F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("token"), "parts")), F.lit(shards)).cast("int").alias("shard"))
+    held = known.select("c", "sketch").join(long.select("c", "wide"), "c", "left")
+    placed = rest.join(sizes, "token").join(held, "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    small = placed.filter("blocks = 1").select(F.lit(None).cast("long").alias("key"), F.col("shard").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "token", "c", "n", "component", "sketch", "wide")
     large = placed.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select(F.col("token").alias("key"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
-                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "sketch")
-    return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent), "a long, b long").distinct()
+                         F.signum(F.col("block") - F.col("o")).cast("int").alias("side"), "token", "c", "n", "component", "sketch", "wide")
+    return small.unionByName(large).groupBy("key", "i", "j").applyInPandas(partial(_meet, percent=percent, forest=forest), "a long, b long").distinct()
 
 
 def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES, width: int = WIDTH) -> DataFrame:
@@ -307,7 +321,9 @@ def linked_components(documents: DataFrame, percent: int = PERCENT, frequent: in
     left, right = known.select(F.col("c").alias("a"), "n", "sketch"), known.select(F.col("c").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
     links = verified(stored(stars.join(left, "a").join(right, "b").mapInPandas(partial(_can_link, percent=percent), "a long, b long"), "candidates"))
     rest = still_open(buckets, links)
-    final = components(links.unionByName(verified(stored(met_in_blocks(rest, known, percent), "candidates"))))
+    links = links.unionByName(verified(stored(met_in_blocks(rest, known, long, percent, forest=True), "candidates")))
+    rest = still_open(rest.select("token", "c", "n"), links)
+    final = components(links.unionByName(verified(stored(met_in_blocks(rest, known, long, percent), "candidates"))))
     smallest = final.join(classes.select(F.col("c").alias("node"), "rep"), "node")
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("c"), "least")
     own = classes.select("c", "rep").join(smallest, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
