@@ -8,7 +8,7 @@ from bibliospark.operators import quality
 from bibliospark.plans import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["latex_lint_counts"])
+@pytest.mark.parametrize("name", ["latex_lint_counts", "latex_lint_report"])
 def test_against_sql(spark, tmp_path, name):
     texts = ["", None, " ", "$", "$$", "a the b", "} \\& &", "\\begin{a}", "\\{ {", "plain"]
     rows = [(i, text, "en", "src1", len(text or "")) for i, text in enumerate(texts)]
