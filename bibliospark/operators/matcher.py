@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from bibliospark.functions import text as tx
 from bibliospark.functions.similarity import indel_ratio, ratio_possible, token_set_ratio
-from bibliospark.operators.blocking import containment_join, inner_words, rare_key_pairs, substring_keys, text_keys
+from bibliospark.operators.blocking import containment_join, rare_key_pairs, substring_keys, text_keys
 from bibliospark.operators.joins import expand_author_initials
-from bibliospark.operators.resolve import tagged, title_author_pairs
+from bibliospark.operators.resolve import tagged
 from bibliospark.partitioning import first_per_key, spread
 from bibliospark.session import cut_lineage
 
@@ -38,24 +38,84 @@ def match_exact(wanted: DataFrame, books: DataFrame) -> DataFrame:
     return hits.select("title", "author", "id", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"))
 
 
+WORD_LETTER = r"[\p{L}\p{N}_]"
+SHORT_WORDS = 10_000
+
+
+def word_windows(text: str | Column, size: int) -> Column:
+    """Every ``size`` neighbouring words with one blank between them; words are runs of letters, digits and underscores."""
+    return F.regexp_extract_all(tx.column(text), F.lit(rf"(?<!{WORD_LETTER})(?=({WORD_LETTER}++(?: {WORD_LETTER}++){{{size - 1}}}))"), F.lit(1))
+
+
+def first_inner_last(window: Column) -> tuple[Column, Column, Column]:
+    first, last = F.substring_index(window, " ", 1), F.substring_index(window, " ", -1)
+    return first, F.substring(window, F.length(first) + 1, F.length(window) - F.length(first) - F.length(last)), last
+
+
+def titles_inside(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle_id, id): the lowest text whose title holds the needle's title, of the same author.
+
+    needles(needle_id, title, author) with normalised titles, texts(id, title, author) with loosened ones; equal titles of
+    an author share a row. A needle lies in neighbouring words of the text: its inner words are whole there, the
+    first and the last may be longer. One word is looked up in the distinct words; two to four words in the distinct
+    windows of as many words, which carry their lowest text, by the inner words and three letters of either edge;
+    longer ones by their rarest three inner words. So no needle meets the many texts that share a common word with it.
+    """
+    size = F.size(F.split("title", " "))
+
+    def held(windows: Column) -> DataFrame:
+        return texts.select("id", "author", F.explode(F.array_distinct(windows)).alias("_w")).groupBy("author", "_w").agg(F.min("id").alias("id"))
+
+    words, single = held(word_windows("title", 1)), needles.filter(size == 1)
+    inside = containment_join(single.select(F.col("title").alias("needle_id"), F.col("title").alias("needle")).distinct(),
+                              words.select(F.col("_w").alias("text_id"), F.col("_w").alias("text")).distinct())
+    by_word = inside.select(F.col("needle_id").alias("title"), F.col("text_id").alias("_w")).join(words, "_w").join(single, ["title", "author"]).select("needle_id", "id")
+
+    first, inner, last = first_inner_last(F.col("title"))
+    short = needles.filter((size >= 2) & (size <= 4)).withColumn("_key", F.xxhash64("author", F.right(first, F.lit(3)), inner, F.left(last, F.lit(3))))
+
+    def edges(word: Column, side, of_needle: Column) -> Column:
+        """The last or first three letters of a text's word, and fewer if they are a whole edge word of a needle."""
+        few = [r.w for r in short.select(of_needle.alias("w")).filter(F.length("w") < 3).distinct().limit(SHORT_WORDS + 1).collect()]
+        wanted = (lambda e: F.lit(True)) if len(few) > SHORT_WORDS else (lambda e: e.isin(few))
+        return F.filter(F.array_distinct(F.array(*[side(word, F.lit(n)) for n in (1, 2, 3)])), lambda e: (F.length(e) == 3) | wanted(e))
+
+    windows = held(F.concat(*[word_windows("title", n) for n in (2, 3, 4)])).withColumnRenamed("author", "_author")
+    w_first, w_inner, w_last = first_inner_last(F.col("_w"))
+    placed = windows.withColumn("_end", F.explode(edges(w_first, F.right, first))).withColumn("_start", F.explode(edges(w_last, F.left, last)))
+    placed = placed.select("_w", "_author", "id", F.xxhash64("_author", "_end", w_inner, "_start").alias("_key"))
+    by_window = placed.join(short, "_key").filter((F.col("author") == F.col("_author")) & F.contains("_w", F.col("title"))).select("needle_id", "id")
+
+    def keys(text: Column) -> Column:
+        return F.transform(F.array_distinct(word_windows(text, 3)), lambda w: F.xxhash64("author", w))
+
+    long = needles.filter(size > 4)
+    pairs = rare_key_pairs(long, texts.withColumnRenamed("id", "text_id"), keys(F.trim(inner)), keys(F.col("title")))
+    whole = texts.select(F.col("id").alias("text_id"), F.col("title").alias("_text"), F.col("author").alias("_author"))
+    by_inner = pairs.join(long, "needle_id").join(whole, "text_id").filter(
+        (F.col("author") == F.col("_author")) & F.contains("_text", F.col("title"))).select("needle_id", F.col("text_id").alias("id"))
+    return by_word.unionByName(by_window).unionByName(by_inner).groupBy("needle_id").agg(F.min("id").alias("id"))
+
+
 def match_normalized(wanted: DataFrame, books: DataFrame) -> DataFrame:
     """Normalised title and any expansion of the author inside the loosened catalogue values. Never matches without an author.
 
-    Titles of three words or more are looked up by the rarest of their inner words, which stand whole in any title that
-    holds them; their grams would lead to far more titles. Shorter ones go by grams of title and author.
+    Authors are looked up among the distinct authors first, then each title among the titles of those authors.
     """
     authored = wanted.filter("author <> ''")
     variants = expand_author_initials(authored, books.select(F.col("b_author").alias("author")).filter("author <> ''"))
     asked = authored.join(variants, "author").select("title", "author", tx.normalize_title("title").alias("_t"), tx.normalize_title("variant").alias("_a")).filter("_t <> ''")
-    needles = asked.select(F.struct("_t", "_a").alias("needle_id"), F.col("_t").alias("title"), F.col("_a").alias("author")).distinct()
-    texts = books.select(F.col("id").alias("text_id"), tx.loose_title("b_title").alias("title"), tx.loose_title("b_author").alias("author"))
-    long_title = F.size(inner_words("title")) > 0
-    titles = needles.filter(long_title).select(F.col("title").alias("needle_id"), F.col("title").alias("needle")).distinct()
-    held = rare_key_pairs(titles, texts.select("text_id", F.col("title").alias("text")), inner_words("needle"), F.array_distinct(tx.tokens("text")))
-    holding = held.join(texts, "text_id").filter(F.contains("title", F.col("needle_id"))).select(F.col("needle_id").alias("_t"), "text_id", F.col("author").alias("_has"))
-    by_words = holding.join(needles.filter(long_title).select("needle_id", F.col("title").alias("_t"), F.col("author").alias("_wanted")), "_t").filter(
-        F.contains("_has", F.col("_wanted"))).select("needle_id", "text_id")
-    found = by_words.unionByName(title_author_pairs(needles.filter(~long_title), texts)).groupBy("needle_id").agg(F.min("text_id").alias("id")).select("needle_id.*", "id")
+    texts = books.groupBy(tx.loose_title("b_title").alias("title"), tx.loose_title("b_author").alias("author")).agg(F.min("id").alias("id"))
+    texts = cut_lineage(spread(texts, "id"))
+    wanted_authors, authors = asked.select("_a").distinct(), texts.select("author").distinct()
+    within = containment_join(wanted_authors.select(F.col("_a").alias("needle_id"), F.col("_a").alias("needle")), authors.select(F.col("author").alias("text_id"), F.col("author").alias("text")))
+    # Every author holds one without letters.
+    any_author = authors.select(F.lit("").alias("_a"), F.col("author").alias("_has")).join(wanted_authors, "_a", "left_semi")
+    within = within.select(F.col("needle_id").alias("_a"), F.col("text_id").alias("_has")).unionByName(any_author)
+    meant = asked.select("_t", "_a").distinct().join(within, "_a")
+    needles = cut_lineage(meant.select(F.col("_t").alias("title"), F.col("_has").alias("author")).distinct().withColumn("needle_id", F.monotonically_increasing_id()))
+    found = needles.join(titles_inside(needles, texts), "needle_id").select(F.col("title").alias("_t"), F.col("author").alias("_has"), "id")
+    found = meant.join(found, ["_t", "_has"]).groupBy("_t", "_a").agg(F.min("id").alias("id"))
     return asked.join(found, ["_t", "_a"]).groupBy("title", "author").agg(F.min("id").alias("id")).select(
         "title", "author", "id", F.lit(0.95).alias("score"), F.lit("normalized").alias("strategy"))
 
